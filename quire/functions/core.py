@@ -37,4 +37,5 @@ def ascii_lower(col: Column) -> Column:
 
 
 def literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(part) for pair in entries.items() for part in pair])
+    """Map constant; keys and values must not hold quotes or backslashes."""
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in entries.items()) + ")")

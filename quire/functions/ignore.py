@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire import constants as C
 from quire.functions.core import bind
-from quire.functions.paths import normalize_path, path_segments
+from quire.functions.paths import normalize_path
 
 
 class IgnoreRuleError(ValueError):
@@ -277,7 +277,7 @@ class IgnoreRules:
                 lambda s: F.when(s < 0, F.lit(True)).when(s == 0, free).otherwise(held),
             )
 
-        return bind(path_segments(normalize_path(path)), decide)
+        return bind(F.split(normalize_path(path), "/", -1), decide)
 
     def pruned_directory(self, path: Column) -> Column:
         """The ancestor that a walk would skip as a whole, or null."""
@@ -290,6 +290,4 @@ class IgnoreRules:
                 lambda s: F.when(s < 0, F.array_join(F.slice(segments, F.lit(1), -s), "/")),
             )
 
-        found = bind(path_segments(normalize_path(path)), locate)
-        # Only an ignored path can lie below a skipped directory.
-        return F.when(self.ignored(path), found)
+        return bind(F.split(normalize_path(path), "/", -1), locate)

@@ -22,10 +22,8 @@ def display_path(path: Column) -> Column:
 
 
 def normalize_path(path: Column) -> Column:
-    """Relative path without ``./`` in front and with single slashes."""
-    shown = display_path(path)
-    messy = F.contains(shown, F.lit("//")) | F.startswith(shown, F.lit("/"))
-    return F.when(messy, F.array_join(path_segments(shown), "/")).otherwise(shown)
+    """Relative path without ``./`` or slashes in front and with single slashes."""
+    return F.regexp_replace(path, r"\A(?:\./)?/*|(?<=/)/+", "")
 
 
 def scope_path(path: Column, prefix: str) -> Column:

@@ -17,32 +17,33 @@ from quire.functions.text import fence_length, is_binary, line_count
 from quire.options import ExportOptions
 
 
-def skip_reason(options: ExportOptions, ignored: Column | None = None,
-                pruned: Column | None = None) -> Column:
+def skip_reason(options: ExportOptions) -> Column:
     """First reason to reject a row of ``files``; null for a file to export.
 
     The order decides which reason is counted: an oversized ignored file is oversized, but
-    nothing is ever looked at below a directory that a walk would not enter.
+    nothing is ever looked at below a directory that a walk would not enter. Each costly
+    part occurs once in the expression and runs only for rows that got that far.
     """
-    content, size = F.col("content"), F.col("size")
-    kind = F.col("kind")
-    too_large = size > options.max_file_bytes
-    reason = F.when(kind == "unreadable_dir", C.SKIP_UNREADABLE_DIR)
-    if options.scans:
-        rules = options.ignore_rules()
-        ignored = rules.ignored(F.col("path")) if ignored is None else ignored
-        pruned = rules.pruned_directory(F.col("path")).isNotNull() if pruned is None else pruned
-        # With an ignored path the walk may have stopped above it; otherwise it cannot have.
-        reason = reason.when(ignored & pruned, C.SKIP_IGNORED)
-    reason = (
-        reason.when(kind == "symlink", C.SKIP_SYMLINK)
+    content, size, kind, path = F.col("content"), F.col("size"), F.col("kind"), F.col("path")
+    at_sight = (
+        F.when(kind == "symlink", C.SKIP_SYMLINK)
         .when(kind == "other", C.SKIP_NOT_REGULAR)
-        .when(too_large, C.SKIP_TOO_LARGE)
+        .when(size > options.max_file_bytes, C.SKIP_TOO_LARGE)
+    )
+    seen = F.col("kind").isin("symlink", "other") | (size > options.max_file_bytes)
+    reason = F.when(kind == "unreadable_dir", C.SKIP_UNREADABLE_DIR).when(
+        kind == "pruned_dir", C.SKIP_IGNORED
     )
     if options.scans:
-        reason = reason.when(ignored, C.SKIP_IGNORED)
+        rules = options.ignore_rules()
+        hidden = rules.pruned_directory(path).isNotNull()
+        reason = reason.when(seen, F.when(hidden, C.SKIP_IGNORED).otherwise(at_sight)).when(
+            rules.ignored(path), C.SKIP_IGNORED
+        )
+    else:
+        reason = reason.when(seen, at_sight)
     if not options.allow_sensitive:
-        reason = reason.when(is_sensitive_name(basename(F.col("path"))), C.SKIP_SENSITIVE_NAME)
+        reason = reason.when(is_sensitive_name(basename(path)), C.SKIP_SENSITIVE_NAME)
     reason = (
         reason.when((kind == "unreadable") | content.isNull(), C.SKIP_UNREADABLE)
         .when(F.octet_length(content) > options.max_file_bytes, C.SKIP_TOO_LARGE)

@@ -95,20 +95,23 @@ def omissions(merged: DataFrame) -> DataFrame:
     ``total_lines + 1``. Gaps of no lines are not listed.
     """
     by_file = Window.partitionBy("repo", "path").orderBy("start_line")
-    previous = F.coalesce(F.lag("end_line").over(by_file), F.lit(0))
-    following = F.lead("start_line").over(by_file)
-    gaps = merged.select(
+    placed = merged.withColumn("_previous", F.lag("end_line", 1, 0).over(by_file)).withColumn(
+        "_following", F.lead("start_line").over(by_file)
+    )
+    gaps = placed.select(
         "repo",
         "path",
         F.explode(
             F.array(
                 F.struct(
                     F.col("start_line").alias("before_line"),
-                    (F.col("start_line") - previous - 1).alias("omitted_lines"),
+                    (F.col("start_line") - F.col("_previous") - 1).alias("omitted_lines"),
                 ),
                 F.struct(
                     (F.col("total_lines") + 1).alias("before_line"),
-                    F.when(following.isNull(), F.col("total_lines") - F.col("end_line"))
+                    F.when(
+                        F.col("_following").isNull(), F.col("total_lines") - F.col("end_line")
+                    )
                     .otherwise(0)
                     .alias("omitted_lines"),
                 ),
@@ -118,24 +121,20 @@ def omissions(merged: DataFrame) -> DataFrame:
     return gaps.filter("gap.omitted_lines > 0").select("repo", "path", "gap.*")
 
 
-def range_lists(merged: DataFrame) -> DataFrame:
-    """One row per file with its ordered ranges."""
+def file_ranges(hunks: DataFrame, sizes: DataFrame, context: int) -> DataFrame:
+    """One row per file with the ordered, merged ranges to show."""
+    merged = merge_ranges(render_ranges(hunks, sizes, context))
     return merged.groupBy("repo", "path").agg(
         F.array_sort(F.collect_list(F.struct("start_line", "end_line"))).alias("ranges")
     )
 
 
-def with_render_mode(
-    entries: DataFrame, changes: DataFrame, hunks: DataFrame, context: int
-) -> DataFrame:
+def with_render_mode(entries: DataFrame, changes: DataFrame, ranges: DataFrame) -> DataFrame:
     """Entries with ``mode`` and ``ranges`` for an export of changed lines.
 
     Added files are shown whole, files with ranges in slices, others not at all.
     """
     added = changes.filter(F.col("change_type") == "A").select("repo", "path").distinct()
-    ranges = range_lists(
-        merge_ranges(render_ranges(hunks, entries.select("repo", "path", "total_lines"), context))
-    )
     joined = entries.join(
         added.withColumn("_added", F.lit(True)), ["repo", "path"], "left"
     ).join(ranges, ["repo", "path"], "left")

@@ -39,10 +39,17 @@ def artifact_metrics(blocks: DataFrame, options: ExportOptions) -> DataFrame:
 def within_budget(
     blocks: DataFrame, metrics: DataFrame, min_hot_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:
-    """Blocks of artifacts that may be written."""
+    """Blocks of artifacts that may be written. ``metrics`` should be stored."""
     failed = metrics.filter(F.col("verdict") == "fail").select("repo")
+    # Every file is a block, so the counts are already there.
+    large = metrics.filter(F.col("files_exported") >= min_hot_rows).select("repo")
     return hot_key_join(
-        blocks, failed, ["repo"], F.concat_ws("\0", "section", "order_key"), "left_anti", min_hot_rows
+        blocks,
+        failed,
+        ["repo"],
+        None if large.isEmpty() else large,
+        F.concat_ws("\0", F.col("section").cast("string"), "order_key"),
+        "left_anti",
     ).select(*blocks.columns)
 
 

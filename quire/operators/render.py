@@ -22,7 +22,8 @@ from quire.functions.text import (
     with_final_newline,
 )
 from quire.operators.changes import change_context, context_heads
-from quire.operators.tree import tree_fences, tree_rows
+from quire.operators.scale import checkpointed
+from quire.operators.tree import draw_tree, marked_nodes, tree_fences
 from quire.options import ExportOptions
 
 HEADER, CONTEXT, TREE, BEGIN, FILES, END = range(6)
@@ -144,13 +145,12 @@ def context_blocks(repos: DataFrame, changes: DataFrame, options: ExportOptions)
     ]
 
 
-def tree_blocks(repos: DataFrame, entries: DataFrame, options: ExportOptions) -> list[DataFrame]:
+def tree_blocks(repos: DataFrame, nodes: DataFrame, options: ExportOptions) -> list[DataFrame]:
     """Tree section: opening fence, one row per node, closing fence."""
-    shown = visible(entries).select("repo", "path")
-    fences = repos.join(tree_fences(shown), "repo", "left")
+    fences = repos.join(tree_fences(nodes), "repo", "left")
     fence = _ticks(F.coalesce("fence_len", F.lit(3)))
     empty = F.when(F.col("fence_len").isNull(), F.lit(f"{C.EMPTY_TREE_LINE}\n")).otherwise(F.lit(""))
-    rows = tree_rows(shown, options.tree_depth)
+    rows = draw_tree(nodes, options.tree_depth)
     return [
         _rows(fences, TREE, "", F.concat(F.lit(f"{C.TREE_HEADING}\n\n"), fence, F.lit("text\n"), empty)),
         # Keys of nodes begin with 0 or 1.
@@ -159,9 +159,9 @@ def tree_blocks(repos: DataFrame, entries: DataFrame, options: ExportOptions) ->
     ]
 
 
-def marker_blocks(entries: DataFrame, options: ExportOptions) -> list[DataFrame]:
+def marker_blocks(shown: DataFrame, options: ExportOptions) -> list[DataFrame]:
     """Begin and end marker, for repositories that show at least one file."""
-    repos = visible(entries).select("repo").distinct()
+    repos = shown.select("repo").distinct()
     return [
         _rows(repos, BEGIN, "", F.lit(f"{options.files_begin}\n\n")),
         _rows(repos, END, "", F.lit(f"{options.files_end}\n\n")),
@@ -176,16 +176,23 @@ def blocks(
 ) -> DataFrame:
     """All blocks of all artifacts.
 
-    ``repos`` lists the repositories that get an artifact, also without any file.
+    ``repos`` lists the repositories that get an artifact, also without any file. Bodies are
+    read twice: once to learn which paths are shown, which is stored for tree and markers,
+    and once to print them.
     """
+    repos = checkpointed(repos.select("repo").distinct())
+    if options.show_tree:
+        shown = marked_nodes(visible(entries))
+    else:
+        shown = checkpointed(visible(entries).select("repo").distinct())
     parts = [header_blocks(repos, options)]
     if options.is_delta:
         if changes is None:
             raise ValueError(f"mode {options.mode} needs change records")
         parts += context_blocks(repos, changes, options)
     if options.show_tree:
-        parts += tree_blocks(repos, entries, options)
-    parts += marker_blocks(entries, options)
+        parts += tree_blocks(repos, shown, options)
+    parts += marker_blocks(shown, options)
     parts.append(file_blocks(entries, options))
     return reduce(DataFrame.unionByName, parts).withColumn(
         "n_bytes", F.octet_length("body").cast("bigint")

@@ -37,50 +37,47 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Keys with at least ``min_rows`` rows.
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
+    """Keys with at least ``min_rows`` rows, or None when there are none.
 
     At most ``count(df) / min_rows`` keys can qualify, which bounds the result by the
-    choice of ``min_rows``: ten billion rows give no more than ten thousand keys.
+    choice of ``min_rows``: ten billion rows give no more than ten thousand keys. The counts
+    are taken right away, so ``df`` should be stored or cheap.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= min_rows)
-        .select(*keys)
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    found = checkpointed(counts.filter(F.col("_rows") >= min_rows).select(*keys))
+    return None if found.isEmpty() else found
 
 
 def hot_key_join(
     big: DataFrame,
     small: DataFrame,
     on: list[str],
+    hot: DataFrame | None,
     spread: Column,
     how: str = "left",
-    min_rows: int = HOT_KEY_ROWS,
     pieces: int = HOT_KEY_PIECES,
 ) -> DataFrame:
-    """Join many rows to few when some keys of ``big`` hold a large share of its rows.
+    """Join many rows to few when the keys ``hot`` hold a large share of ``big``.
 
     Rows of a hot key are spread over ``pieces`` tasks by the hash of ``spread``, which must
     be a function of the row so that a retried task puts each row in the same piece. The
     matching rows of ``small`` are repeated per piece, those of other keys stay single.
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``hot`` comes from :func:`hot_keys`, whose size is bounded; without any it is a plain
+    join. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
-    hot = F.broadcast(hot_keys(big, on, min_rows).withColumn("_hot", F.lit(True)))
-    left = big.join(hot, on, "left").withColumn(
-        "_piece",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(pieces))).otherwise(0).cast("int"),
-    ).drop("_hot")
-    right = small.join(hot, on, "left").withColumn(
-        "_piece",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    ).drop("_hot")
-    return left.join(right, [*on, "_piece"], how).drop("_piece")
+    if hot is None:
+        return big.join(small, on, how)
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    piece = F.pmod(F.xxhash64(spread), F.lit(pieces)).cast("int")
+    left = big.join(marked, on, "left").withColumn(
+        "_piece", F.when(F.col("_hot"), piece).otherwise(0)
+    )
+    all_pieces = F.sequence(F.lit(0), F.lit(pieces - 1))
+    right = small.join(marked, on, "left").withColumn(
+        "_piece", F.explode(F.when(F.col("_hot"), all_pieces).otherwise(F.array(F.lit(0))))
+    )
+    return left.drop("_hot").join(right.drop("_hot"), [*on, "_piece"], how).drop("_piece")
 
 
 def running(
@@ -143,10 +140,11 @@ def narrow_by_keys(
 ) -> DataFrame:
     """Rows of ``big`` whose key is in ``keys``, without moving ``big`` when keys are few.
 
-    ``keys`` is materialized and counted. Up to ``broadcast_rows`` it is broadcast, so large
-    rows are filtered where they are read; beyond that both sides are shuffled.
+    ``keys`` is counted right away, so it should be stored or cheap. Up to ``broadcast_rows``
+    it is broadcast, so large rows are filtered where they are read; beyond that both sides
+    are shuffled.
     """
-    known = checkpointed(keys.select(*on).distinct())
+    known = keys.select(*on).distinct()
     if known.count() <= broadcast_rows:
         known = F.broadcast(known)
     return big.join(known, on, "left_semi")

@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import constants as C
-from quire.functions.core import bind
 from quire.functions.paths import path_segments, visible_text
 from quire.functions.text import fence_for_run, longest_backtick_run
-from quire.operators.scale import HOT_KEY_ROWS, hot_key_join
+from quire.operators.scale import HOT_KEY_ROWS, checkpointed, hot_key_join, hot_keys
 
 
 def node_names(path: Column) -> Column:
@@ -80,28 +79,39 @@ def tree_nodes(entries: DataFrame) -> DataFrame:
     )
 
 
-def _with_last_flag(nodes: DataFrame) -> DataFrame:
-    """Mark the last child of every directory.
+def marked_nodes(entries: DataFrame) -> DataFrame:
+    """Tree nodes with ``is_last``, stored once because drawing reads them several times.
 
-    The last child is a maximum, which is found by partial aggregation; the mark comes back
-    by the child's own path.
+    The last child of a directory is a maximum, which is found by partial aggregation; the
+    mark comes back by the child's own path. Only paths are stored, never file bodies.
     """
+    nodes = tree_nodes(entries)
     last = nodes.groupBy("repo", "parent").agg(
         F.max_by("node", F.struct(~F.col("is_dir"), F.col("name"))).alias("node")
     )
-    return nodes.join(
-        last.select("repo", "node", F.lit(True).alias("_last")), ["repo", "node"], "left"
-    ).withColumn("is_last", F.coalesce("_last", F.lit(False))).drop("_last")
+    return checkpointed(
+        nodes.join(
+            last.select("repo", "node", F.lit(True).alias("_last")), ["repo", "node"], "left"
+        )
+        .withColumn("is_last", F.coalesce("_last", F.lit(False)))
+        .drop("_last")
+    )
 
 
 def tree_rows(
     entries: DataFrame, max_depth: int | None = None, min_hot_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:
-    """Printed tree lines: ``repo, order_key, depth, name, is_dir, is_last, line``.
+    """Printed tree lines of ``entries``; see :func:`draw_tree`."""
+    return draw_tree(marked_nodes(entries), max_depth, min_hot_rows)
+
+
+def draw_tree(
+    nodes: DataFrame, max_depth: int | None = None, min_hot_rows: int = HOT_KEY_ROWS
+) -> DataFrame:
+    """Tree lines: ``repo, order_key, depth, name, is_dir, is_last, line``.
 
     ``max_depth`` hides what lies deeper; a directory at the limit is still printed.
     """
-    nodes = _with_last_flag(tree_nodes(entries))
     shown = nodes if max_depth is None else nodes.filter(F.col("depth") <= max_depth)
     parents = nodes.filter("is_dir")
     if max_depth is not None:
@@ -119,9 +129,8 @@ def tree_rows(
     )
     flags = parents.select("repo", F.col("node").alias("step"), "is_last")
     # A top-level directory is an ancestor of nearly everything below it.
-    pairs = hot_key_join(
-        steps, flags, ["repo", "step"], F.col("node"), "inner", min_hot_rows
-    )
+    crowded = hot_keys(steps, ["repo", "step"], min_hot_rows)
+    pairs = hot_key_join(steps, flags, ["repo", "step"], crowded, F.col("node"), "inner")
     # One group is one directory's own ancestor chain, as long as the path is deep.
     prefixes = pairs.groupBy("repo", "node").agg(
         F.array_sort(F.collect_list(F.struct("level", "is_last"))).alias("chain")
@@ -136,8 +145,9 @@ def tree_rows(
             "",
         ).alias("prefix"),
     )
+    wide = hot_keys(shown, ["repo", "parent"], min_hot_rows)
     placed = hot_key_join(
-        shown.drop("names"), prefixes, ["repo", "parent"], F.col("node"), "left", min_hot_rows
+        shown.drop("names"), prefixes, ["repo", "parent"], wide, F.col("node"), "left"
     )
     return placed.select(
         "repo", "order_key", "depth", "name", "is_dir", "is_last",
@@ -149,15 +159,10 @@ def tree_rows(
     )
 
 
-def tree_fences(entries: DataFrame) -> DataFrame:
+def tree_fences(nodes: DataFrame) -> DataFrame:
     """Fence length per repository; hidden nodes count as well."""
-    longest = bind(
-        node_names(F.col("path")),
-        lambda names: F.array_max(F.transform(names, lambda n: longest_backtick_run(n))),
-    )
     return (
-        entries.select("repo", longest.alias("run"))
-        .groupBy("repo")
-        .agg(F.max("run").alias("run"))
+        nodes.groupBy("repo")
+        .agg(F.max(longest_backtick_run(F.col("name"))).alias("run"))
         .select("repo", fence_for_run(F.col("run")).alias("fence_len"))
     )

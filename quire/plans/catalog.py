@@ -340,9 +340,10 @@ def sliced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("previous_path"),
     )
     options = ExportOptions(mode="staged", hunks=True, hunk_context=1, line_numbers=True)
+    accepted = entries(files, options)
+    hunks = hunk_ops.hunks_from_patches(corpora.patches(spark, sf_dir))
     marked = hunk_ops.with_render_mode(
-        entries(files, options), changes,
-        hunk_ops.hunks_from_patches(corpora.patches(spark, sf_dir)), 1,
+        accepted, changes, hunk_ops.file_ranges(hunks, accepted, 1)
     )
     return file_blocks(marked, options).select("repo", "path", "body")
 

@@ -37,7 +37,7 @@ FILE_TEXT = f"""CASE doc_id % 16
  WHEN 9 THEN concat(text, chr(10), 'AKIA', lpad({_ID}, 16, '0'))
  WHEN 10 THEN concat(text, chr(0))
  WHEN 11 THEN ''
- WHEN 12 THEN repeat('x', 102401)
+ WHEN 12 THEN repeat('x', cast(102401 + doc_id - doc_id AS int))
  ELSE text END"""
 
 _D = "cast(floor(doc_id / {}) AS bigint)"

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from quire.operators import changes as change_ops
 from quire.operators import delta, hunks as hunk_ops
-from quire.operators.decisions import decisions, entries, skip_counters
+from quire.operators.decisions import decisions, describe, entries, skip_counters
 from quire.operators.metrics import artifact_metrics, require_budget, within_budget
 from quire.operators.render import blocks
 from quire.operators.scale import checkpointed, narrow_by_keys
@@ -20,18 +21,27 @@ from quire.sinks.artifact import artifact_parts, write_artifacts
 
 @dataclass(frozen=True)
 class Export:
-    """Lazy results of one export. Nothing runs before a result is used."""
+    """Results of one export.
+
+    ``decisions`` and ``entries`` are lazy. The first use of ``blocks`` runs a job that stores
+    the shown paths.
+    """
 
     options: ExportOptions
+    repos: DataFrame
     decisions: DataFrame
     entries: DataFrame
-    blocks: DataFrame
+    changes: DataFrame | None = None
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return blocks(self.repos, self.entries, self.options, self.changes)
 
     @property
     def counters(self) -> DataFrame:
         return skip_counters(self.decisions)
 
-    @property
+    @cached_property
     def metrics(self) -> DataFrame:
         return artifact_metrics(self.blocks, self.options)
 
@@ -66,9 +76,7 @@ def export_files(
     repos = files.select("repo").distinct()
     chosen = files if selected is None else select_files(files, selected)
     accepted = entries(chosen, options)
-    return Export(
-        options, decisions(chosen, options), accepted, blocks(repos, accepted, options)
-    )
+    return Export(options, repos, decisions(chosen, options), accepted)
 
 
 def export_changes(
@@ -84,19 +92,17 @@ def export_changes(
     """
     if options.hunks and hunks is None:
         raise ValueError("hunks are switched on but not given")
+    key = ["repo", "path"]
     repos = files.select("repo").distinct()
     wanted = checkpointed(change_ops.export_changes(distinct_changes(changes)))
-    chosen = narrow_by_keys(files, wanted, ["repo", "path"])
-    accepted = entries(chosen, options)
-    listed = change_ops.surviving_changes(wanted, accepted)
+    chosen = narrow_by_keys(files, wanted, key)
+    listed = checkpointed(change_ops.surviving_changes(wanted, entries(chosen, options)))
+    # From here on the accepted files are known by path.
+    accepted = describe(narrow_by_keys(files, listed, key))
     if options.hunks:
-        accepted = hunk_ops.with_render_mode(accepted, listed, hunks, options.hunk_context)
-    return Export(
-        options,
-        decisions(chosen, options),
-        accepted,
-        blocks(repos, accepted, options, listed),
-    )
+        ranges = checkpointed(hunk_ops.file_ranges(hunks, accepted, options.hunk_context))
+        accepted = hunk_ops.with_render_mode(accepted, listed, ranges)
+    return Export(options, repos, decisions(chosen, options), accepted, listed)
 
 
 def export_snapshots(base: DataFrame, head: DataFrame, options: ExportOptions) -> Export:
@@ -105,10 +111,10 @@ def export_snapshots(base: DataFrame, head: DataFrame, options: ExportOptions) -
     hunks = None
     if options.hunks:
         modified = changes.filter("change_type <> 'A'")
-        accepted = entries(narrow_by_keys(head, modified, ["repo", "path"]), options)
+        after = narrow_by_keys(head, modified, ["repo", "path"])
         old_paths = modified.selectExpr("repo", "coalesce(previous_path, path) AS path")
         before = narrow_by_keys(base, old_paths, ["repo", "path"])
-        hunks = delta.line_hunks(delta.changed_pairs(before, accepted, modified))
+        hunks = delta.line_hunks(delta.changed_pairs(before, entries(after, options), modified))
     return export_changes(head, changes, options, hunks)
 
 
