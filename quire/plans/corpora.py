@@ -95,8 +95,8 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "pages").select(
             F.regexp_extract("url", parts, 1).alias("repo"),
             F.concat(
-                F.regexp_extract("url", parts, 2), F.lit("/p"), F.col("page_id").cast("string"),
-                F.lit(".html"),
+                F.lit("p"), F.col("page_id").cast("string"), F.lit("/"),
+                F.regexp_extract("url", parts, 2), F.lit("_index.html"),
             ).alias("path"),
             F.col("html").alias("text"),
         )
