@@ -38,11 +38,16 @@ class SecretRule:
     severity: str = "hard"
     needs_context: bool = False
 
-    def regex(self) -> str:
+    def _token(self) -> str:
         before = f"(?<![{self.alphabet}])" if self.alphabet else ""
         after = f"(?![{self.alphabet}])" if self.alphabet else ""
-        context = r"(?<=Bearer |[=:][^\n\r]{0,31})" if self.needs_context else ""
-        return f"{context}{before}{self.pattern}{after}"
+        return f"{before}{self.pattern}{after}"
+
+    def regex(self) -> str:
+        if not self.needs_context:
+            return self._token()
+        # The token is tried first; looking back is the slow part.
+        return rf"(?={self._token()})(?<=Bearer |[=:][^\n\r]{{0,31}}){self._token()}"
 
     def _subject(self, text: Column) -> Column:
         # One character per byte, so that the 32-byte reach is counted in bytes.
@@ -50,15 +55,22 @@ class SecretRule:
             return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
         return text
 
+    def _worth_searching(self, text: Column) -> Column | None:
+        if self.hint:
+            return F.contains(text, F.lit(self.hint))
+        return text.rlike(self._token()) if self.needs_context else None
+
     def found_in(self, text: Column) -> Column:
         hit = self._subject(text).rlike(self.regex())
-        return F.contains(text, F.lit(self.hint)) & hit if self.hint else hit
+        likely = self._worth_searching(text)
+        return hit if likely is None else likely & hit
 
     def hits_in(self, text: Column) -> Column:
         hits = F.regexp_count(self._subject(text), F.lit(self.regex())).cast("bigint")
-        if not self.hint:
+        likely = self._worth_searching(text)
+        if likely is None:
             return hits
-        return F.when(F.contains(text, F.lit(self.hint)), hits).otherwise(F.lit(0).cast("bigint"))
+        return F.when(likely, hits).otherwise(F.lit(0).cast("bigint"))
 
 
 # Key block titles, token prefixes, token lengths and alphabets.

@@ -18,6 +18,7 @@ from quire.functions.paths import escape_markdown
 from quire.functions.text import (
     line_prefix,
     number_lines,
+    number_width,
     split_lines,
     with_final_newline,
 )
@@ -59,31 +60,38 @@ def sliced_block(line_numbers: bool = False) -> Column:
 
     Fence and number width are those of the whole file.
     """
-    total, ranges = F.col("total_lines"), F.col("ranges")
-    fence = _ticks(F.col("fence_len"))
+    # Bound once per row: inside the lambdas they would be computed again per range or line.
+    bound = F.struct(
+        split_lines(F.col("text")).alias("lines"),
+        _ticks(F.col("fence_len")).alias("fence"),
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.col("total_lines").alias("total"),
+        number_width(F.col("total_lines")).alias("width"),
+        F.col("ranges").alias("ranges"),
+    )
 
-    def draw(lines: Column) -> Column:
+    def draw(file: Column) -> Column:
         def one(span: Column, i: Column) -> Column:
             first, last = span["start_line"], span["end_line"]
-            before = F.when(i > 0, F.try_element_at(ranges, i)["end_line"]).otherwise(0)
-            shown = F.slice(lines, first.cast("int"), (last - first + 1).cast("int"))
+            before = F.when(i > 0, F.try_element_at(file["ranges"], i)["end_line"]).otherwise(0)
+            shown = F.slice(file["lines"], first.cast("int"), (last - first + 1).cast("int"))
             printed = F.transform(
                 shown,
                 lambda line, k: F.concat(
-                    line_prefix(first + k, total) if line_numbers else F.lit(""),
+                    line_prefix(first + k, file["width"]) if line_numbers else F.lit(""),
                     line, F.lit("\n"),
                 ),
             )
             return F.concat(
                 _omission(first - before - 1),
-                fence, F.coalesce("lang", F.lit("")), F.lit("\n"),
-                F.array_join(printed, ""), fence, F.lit("\n\n\n"),
+                file["fence"], file["lang"], F.lit("\n"),
+                F.array_join(printed, ""), file["fence"], F.lit("\n\n\n"),
             )
 
-        return F.array_join(F.transform(ranges, one), "")
+        tail = file["total"] - F.element_at(file["ranges"], -1)["end_line"]
+        return F.concat(F.array_join(F.transform(file["ranges"], one), ""), _omission(tail))
 
-    tail = total - F.element_at(ranges, -1)["end_line"]
-    return F.concat(_heading(F.col("path")), bind(split_lines(F.col("text")), draw), _omission(tail))
+    return F.concat(_heading(F.col("path")), bind(bound, draw))
 
 
 def file_blocks(entries: DataFrame, options: ExportOptions) -> DataFrame:
