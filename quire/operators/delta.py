@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import split_lines
-from quire.operators.scale import checkpointed, running
+from quire.operators.scale import running, stored
 
 
 def _digests(files: DataFrame, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def exact_renames(delta: DataFrame) -> DataFrame:
 def snapshot_changes(base: DataFrame, head: DataFrame, renames: bool = True) -> DataFrame:
     """Change records from ``base`` to ``head``; deletions are not exported."""
     # Stored: renames read it twice more, and only paths and digests are in it.
-    delta = checkpointed(path_delta(base, head)) if renames else path_delta(base, head)
+    delta = stored(path_delta(base, head)) if renames else path_delta(base, head)
     plain = delta.filter(F.col("change_type").isin("A", "M")).select(
         "repo", "path", "change_type", F.lit(None).cast("string").alias("previous_path")
     )

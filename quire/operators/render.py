@@ -23,7 +23,7 @@ from quire.functions.text import (
     with_final_newline,
 )
 from quire.operators.changes import change_context, context_heads
-from quire.operators.scale import checkpointed
+from quire.operators.scale import stored
 from quire.operators.tree import draw_tree, marked_nodes, tree_fences
 from quire.options import ExportOptions
 
@@ -188,11 +188,11 @@ def blocks(
     read twice: once to learn which paths are shown, which is stored for tree and markers,
     and once to print them.
     """
-    repos = checkpointed(repos.select("repo").distinct())
+    repos = stored(repos.select("repo").distinct())
     if options.show_tree:
         shown = marked_nodes(visible(entries))
     else:
-        shown = checkpointed(visible(entries).select("repo").distinct())
+        shown = stored(visible(entries).select("repo").distinct())
     parts = [header_blocks(repos, options)]
     if options.is_delta:
         if changes is None:

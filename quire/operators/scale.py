@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,21 +32,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there.
+
+    The rows are computed once, the lineage ends here, and a lost executor costs nothing but
+    a repeated read. Tables stay until the folder is cleaned, as checkpoints do.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    location = f"{spark.sparkContext.getCheckpointDir()}/quire-{uuid.uuid4().hex}"
+    df.write.parquet(location)
+    return spark.read.schema(df.schema).parquet(location)
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
-    """Keys with at least ``min_rows`` rows, or None when there are none.
+def hot_keys(
+    df: DataFrame, keys: list[str], total_rows: int, min_rows: int = HOT_KEY_ROWS
+) -> DataFrame | None:
+    """Keys with at least ``min_rows`` of the ``total_rows`` rows, or None without any.
 
     At most ``count(df) / min_rows`` keys can qualify, which bounds the result by the
     choice of ``min_rows``: ten billion rows give no more than ten thousand keys. The counts
     are taken right away, so ``df`` should be stored or cheap.
     """
+    if total_rows < min_rows:
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    found = checkpointed(counts.filter(F.col("_rows") >= min_rows).select(*keys))
+    found = stored(counts.filter(F.col("_rows") >= min_rows).select(*keys))
     return None if found.isEmpty() else found
 
 
@@ -95,9 +107,9 @@ def running(
     counts its own rows, and a small table of slice totals supplies what came before.
     ``(group, order)`` must be unique per row.
     """
-    # The slice numbers become data in the checkpoint: the range bounds come from a sample
-    # and must not be drawn a second time when a lost task is repeated.
-    sliced = checkpointed(
+    # The slice numbers become stored data: the range bounds come from a sample and must not
+    # be drawn a second time when a lost task is repeated.
+    sliced = stored(
         df.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id())
     )
     amount = F.col(value) if value else F.lit(0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire import constants as C
 from quire.functions.paths import path_segments, visible_text
 from quire.functions.text import fence_for_run, longest_backtick_run
-from quire.operators.scale import HOT_KEY_ROWS, checkpointed, hot_key_join, hot_keys
+from quire.operators.scale import HOT_KEY_ROWS, hot_key_join, hot_keys, stored
 
 
 def node_names(path: Column) -> Column:
@@ -89,7 +89,7 @@ def marked_nodes(entries: DataFrame) -> DataFrame:
     last = nodes.groupBy("repo", "parent").agg(
         F.max_by("node", F.struct(~F.col("is_dir"), F.col("name"))).alias("node")
     )
-    return checkpointed(
+    return stored(
         nodes.join(
             last.select("repo", "node", F.lit(True).alias("_last")), ["repo", "node"], "left"
         )
@@ -129,7 +129,8 @@ def draw_tree(
     )
     flags = parents.select("repo", F.col("node").alias("step"), "is_last")
     # A top-level directory is an ancestor of nearly everything below it.
-    crowded = hot_keys(steps, ["repo", "step"], min_hot_rows)
+    size = parents.agg(F.sum("depth")).head()[0] or 0
+    crowded = hot_keys(steps, ["repo", "step"], size, min_hot_rows)
     pairs = hot_key_join(steps, flags, ["repo", "step"], crowded, F.col("node"), "inner")
     # One group is one directory's own ancestor chain, as long as the path is deep.
     prefixes = pairs.groupBy("repo", "node").agg(
@@ -145,7 +146,7 @@ def draw_tree(
             "",
         ).alias("prefix"),
     )
-    wide = hot_keys(shown, ["repo", "parent"], min_hot_rows)
+    wide = hot_keys(shown, ["repo", "parent"], shown.count(), min_hot_rows)
     placed = hot_key_join(
         shown.drop("names"), prefixes, ["repo", "parent"], wide, F.col("node"), "left"
     )

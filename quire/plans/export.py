@@ -12,7 +12,7 @@ from quire.operators import delta, hunks as hunk_ops
 from quire.operators.decisions import decisions, describe, entries, skip_counters
 from quire.operators.metrics import artifact_metrics, require_budget, within_budget
 from quire.operators.render import blocks
-from quire.operators.scale import checkpointed, narrow_by_keys
+from quire.operators.scale import narrow_by_keys, stored
 from quire.operators.selection import distinct_changes, select_files
 from quire.operators.unpack import STATUS_OK, unpack
 from quire.options import ExportOptions
@@ -21,18 +21,21 @@ from quire.sinks.artifact import artifact_parts, write_artifacts
 
 @dataclass(frozen=True)
 class Export:
-    """Results of one export.
+    """Results of one export: what was looked at, and everything derived from it.
 
-    ``decisions`` and ``entries`` are lazy. The first use of ``blocks`` runs a job that stores
-    the shown paths.
+    The first use of ``blocks`` runs a job that stores the shown paths.
     """
 
     options: ExportOptions
     repos: DataFrame
-    decisions: DataFrame
+    chosen: DataFrame
     entries: DataFrame
     changes: DataFrame | None = None
 
+    @cached_property
+    def decisions(self) -> DataFrame:
+        return decisions(self.chosen, self.options)
+
     @cached_property
     def blocks(self) -> DataFrame:
         return blocks(self.repos, self.entries, self.options, self.changes)
@@ -58,7 +61,7 @@ class Export:
         """
         chosen = self.blocks
         if self.options.max_tokens:
-            measured = checkpointed(self.metrics)
+            measured = stored(self.metrics)
             if strict:
                 require_budget(measured)
             chosen = within_budget(chosen, measured)
@@ -76,7 +79,7 @@ def export_files(
     repos = files.select("repo").distinct()
     chosen = files if selected is None else select_files(files, selected)
     accepted = entries(chosen, options)
-    return Export(options, repos, decisions(chosen, options), accepted)
+    return Export(options, repos, chosen, accepted)
 
 
 def export_changes(
@@ -94,20 +97,20 @@ def export_changes(
         raise ValueError("hunks are switched on but not given")
     key = ["repo", "path"]
     repos = files.select("repo").distinct()
-    wanted = checkpointed(change_ops.export_changes(distinct_changes(changes)))
+    wanted = stored(change_ops.export_changes(distinct_changes(changes)))
     chosen = narrow_by_keys(files, wanted, key)
-    listed = checkpointed(change_ops.surviving_changes(wanted, entries(chosen, options)))
+    listed = stored(change_ops.surviving_changes(wanted, entries(chosen, options)))
     # From here on the accepted files are known by path.
     accepted = describe(narrow_by_keys(files, listed, key))
     if options.hunks:
-        ranges = checkpointed(hunk_ops.file_ranges(hunks, accepted, options.hunk_context))
+        ranges = stored(hunk_ops.file_ranges(hunks, accepted, options.hunk_context))
         accepted = hunk_ops.with_render_mode(accepted, listed, ranges)
-    return Export(options, repos, decisions(chosen, options), accepted, listed)
+    return Export(options, repos, chosen, accepted, listed)
 
 
 def export_snapshots(base: DataFrame, head: DataFrame, options: ExportOptions) -> Export:
     """Export what changed from ``base`` to ``head``, both ``files`` tables."""
-    changes = checkpointed(delta.snapshot_changes(base, head))
+    changes = stored(delta.snapshot_changes(base, head))
     hunks = None
     if options.hunks:
         modified = changes.filter("change_type <> 'A'")

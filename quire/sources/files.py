@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.ignore import IgnoreRules
-from quire.operators.scale import checkpointed
+from quire.operators.scale import stored
 from quire.schemas import FILES
 
 
@@ -119,7 +119,7 @@ def scan_directories(
             below = F.concat("path", F.lit("/."))
             skipped = (F.col("kind") == "dir") & rules.pruned_directory(below).isNotNull()
             listed = listed.withColumn("kind", F.when(skipped, "pruned_dir").otherwise(F.col("kind")))
-        found = checkpointed(listed)
+        found = stored(listed)
         levels.append(found.filter(F.col("kind") != "dir"))
         level = found.filter(F.col("kind") == "dir").select("repo", "root", "path")
         if level.isEmpty():
