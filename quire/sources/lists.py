@@ -35,8 +35,7 @@ def _file_stem() -> Column:
 def read_name_status(spark: SparkSession, location: str) -> DataFrame:
     """One NUL-separated change list per file ``<repo>.<ext>``: ``(repo, blob)``."""
     return (
-        spark.read.option("wholetext", "true")
-        .text(location)
+        spark.read.text(location, wholetext=True)
         .select(_file_stem().alias("repo"), F.col("value").alias("blob"))
     )
 
@@ -49,8 +48,7 @@ def read_patches(spark: SparkSession, location: str) -> DataFrame:
 def read_artifacts(spark: SparkSession, location: str) -> DataFrame:
     """Artifacts, one whole text file each, named ``<repo>.<ext>``: ``ARTIFACTS`` rows."""
     rows = (
-        spark.read.option("wholetext", "true")
-        .text(location)
+        spark.read.text(location, wholetext=True)
         .select(_file_stem().alias("repo"), F.col("value").alias("body"))
     )
     return with_flags(rows)
