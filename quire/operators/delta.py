@@ -35,17 +35,16 @@ def exact_renames(delta: DataFrame) -> DataFrame:
     positions come from a distributed count.
     """
 
-    def positions(kind: str, sha: str, name: str) -> DataFrame:
-        side = delta.filter(F.col("change_type") == kind).select(
-            "repo", F.col(sha).alias("sha"), F.col("path").alias(name)
-        )
-        return running(side, ["repo", "sha"], [name], row_no="_n")
-
-    deleted = positions("D", "base_sha", "previous_path")
-    added = positions("A", "head_sha", "path")
-    return added.join(deleted, ["repo", "sha", "_n"]).select(
-        "repo", "path", F.lit("R").alias("change_type"), "previous_path"
+    kind = F.col("change_type")
+    moved = delta.filter(kind.isin("A", "D")).select(
+        "repo", F.coalesce("base_sha", "head_sha").alias("sha"), "change_type", "path"
     )
+    placed = running(moved, ["repo", "sha", "change_type"], ["path"], row_no="_n")
+    deleted = placed.filter(kind == "D").withColumnRenamed("path", "previous_path")
+    added = placed.filter(kind == "A")
+    return added.drop("change_type").join(
+        deleted.drop("change_type"), ["repo", "sha", "_n"]
+    ).select("repo", "path", F.lit("R").alias("change_type"), "previous_path")
 
 
 def snapshot_changes(base: DataFrame, head: DataFrame, renames: bool = True) -> DataFrame:

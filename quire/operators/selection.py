@@ -33,7 +33,7 @@ def select_files(files: DataFrame, selected: DataFrame) -> DataFrame:
 
     A leading ``./`` on either side does not matter.
     """
-    wanted = selected.select("repo", display_path(F.col("path")).alias("_shown"))
+    wanted = selected.select("repo", display_path(F.col("path")).alias("_shown")).distinct()
     return (
         files.withColumn("_shown", display_path(F.col("path")))
         .join(wanted, ["repo", "_shown"], "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import constants as C
+from quire.functions.core import bind
 from quire.functions.paths import path_segments, visible_text
 from quire.functions.text import fence_for_run, longest_backtick_run
 from quire.operators.scale import HOT_KEY_ROWS, hot_key_join, hot_keys, stored
@@ -24,9 +25,22 @@ def node_names(path: Column) -> Column:
 
 
 def _node_id(names: Column) -> Column:
+    """Names joined by slashes; below the node ``/`` this starts with two of them."""
     return F.array_join(names, "/")
 
 
+def _names_of(node: Column) -> Column:
+    """Inverse of :func:`_node_id`."""
+    return (
+        F.when(node == "/", F.array(F.lit("/")))
+        .when(
+            F.startswith(node, F.lit("//")),
+            F.concat(F.array(F.lit("/")), F.split(F.substr(node, F.lit(3)), "/", -1)),
+        )
+        .otherwise(F.split(node, "/", -1))
+    )
+
+
 def _order_key(names: Column, is_dir: Column) -> Column:
     """Sorts as the tree prints: directories before files, then by name, parents first.
 
@@ -50,10 +64,10 @@ def tree_nodes(entries: DataFrame) -> DataFrame:
     names = entries.select("repo", node_names(F.col("path")).alias("names")).filter(
         F.size("names") > 0
     )
-    parents = F.transform(
+    nodes = F.transform(
         F.sequence(F.lit(1), F.size("names")),
         lambda depth: F.struct(
-            F.slice(F.col("names"), F.lit(1), depth).alias("names"),
+            _node_id(F.slice(F.col("names"), F.lit(1), depth)).alias("node"),
             # "/" is a directory even as the last step of a path.
             ((depth < F.size("names")) | (F.col("names")[0] == "/") & (depth == 1)).alias(
                 "is_dir"
@@ -62,30 +76,32 @@ def tree_nodes(entries: DataFrame) -> DataFrame:
     )
     # Ancestors repeat for every file below them and collapse before the shuffle.
     distinct = (
-        names.select("repo", F.explode(parents).alias("n"))
-        .groupBy("repo", F.col("n.names").alias("names"))
+        names.select("repo", F.explode(nodes).alias("n"))
+        .groupBy("repo", F.col("n.node").alias("node"))
         .agg(F.max("n.is_dir").alias("is_dir"))
+        .withColumn("names", _names_of(F.col("node")))
     )
     depth = F.size("names")
     return distinct.select(
         "repo",
-        _node_id(F.col("names")).alias("node"),
+        "node",
         _node_id(F.slice("names", F.lit(1), depth - 1)).alias("parent"),
         F.element_at("names", -1).alias("name"),
         depth.cast("bigint").alias("depth"),
         "is_dir",
         _order_key(F.col("names"), F.col("is_dir")).alias("order_key"),
-        "names",
     )
 
 
 def marked_nodes(entries: DataFrame) -> DataFrame:
-    """Tree nodes with ``is_last``, stored once because drawing reads them several times.
+    """Tree nodes with ``is_last``, stored because drawing reads them several times.
 
     The last child of a directory is a maximum, which is found by partial aggregation; the
-    mark comes back by the child's own path. Only paths are stored, never file bodies.
+    mark comes back by the child's own path. The bare nodes are stored first, so that
+    ``entries``, with all the work on file bodies behind it, is evaluated only once. Only
+    paths are stored, never bodies.
     """
-    nodes = tree_nodes(entries)
+    nodes = stored(tree_nodes(entries))
     last = nodes.groupBy("repo", "parent").agg(
         F.max_by("node", F.struct(~F.col("is_dir"), F.col("name"))).alias("node")
     )
@@ -121,9 +137,12 @@ def draw_tree(
         "repo",
         "node",
         F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("names")),
-                lambda depth: _node_id(F.slice(F.col("names"), F.lit(1), depth)),
+            bind(
+                _names_of(F.col("node")),
+                lambda names: F.transform(
+                    F.sequence(F.lit(1), F.size(names)),
+                    lambda depth: _node_id(F.slice(names, F.lit(1), depth)),
+                ),
             )
         ).alias("level", "step"),
     )
@@ -148,7 +167,7 @@ def draw_tree(
     )
     wide = hot_keys(shown, ["repo", "parent"], shown.count(), min_hot_rows)
     placed = hot_key_join(
-        shown.drop("names"), prefixes, ["repo", "parent"], wide, F.col("node"), "left"
+        shown, prefixes, ["repo", "parent"], wide, F.col("node"), "left"
     )
     return placed.select(
         "repo", "order_key", "depth", "name", "is_dir", "is_last",

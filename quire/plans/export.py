@@ -53,7 +53,7 @@ class Export:
         return artifact_parts(self.blocks, self.options, **extra)
 
     def write(self, location: str, by_repo: bool = True, mode: str = "errorifexists",
-              strict: bool = False) -> None:
+              strict: bool = False, partitions: int | None = None) -> None:
         """Write the artifacts within the token budget.
 
         ``strict`` writes nothing at all when any artifact is over it. Sizes are only summed
@@ -65,7 +65,7 @@ class Export:
             if strict:
                 require_budget(measured)
             chosen = within_budget(chosen, measured)
-        write_artifacts(chosen, location, by_repo, mode)
+        write_artifacts(chosen, location, by_repo, mode, partitions)
 
 
 def export_files(
@@ -95,9 +95,16 @@ def export_changes(
     """
     if options.hunks and hunks is None:
         raise ValueError("hunks are switched on but not given")
+    wanted = stored(change_ops.export_changes(distinct_changes(changes)))
+    return _export_wanted(files, wanted, options, hunks)
+
+
+def _export_wanted(
+    files: DataFrame, wanted: DataFrame, options: ExportOptions, hunks: DataFrame | None
+) -> Export:
+    """``wanted`` holds distinct change records and is stored."""
     key = ["repo", "path"]
     repos = files.select("repo").distinct()
-    wanted = stored(change_ops.export_changes(distinct_changes(changes)))
     chosen = narrow_by_keys(files, wanted, key)
     listed = stored(change_ops.surviving_changes(wanted, entries(chosen, options)))
     # From here on the accepted files are known by path.
@@ -110,6 +117,8 @@ def export_changes(
 
 def export_snapshots(base: DataFrame, head: DataFrame, options: ExportOptions) -> Export:
     """Export what changed from ``base`` to ``head``, both ``files`` tables."""
+    if not options.is_delta:
+        raise ValueError("comparing snapshots needs one of the modes staged, unstaged and diff")
     changes = stored(delta.snapshot_changes(base, head))
     hunks = None
     if options.hunks:
@@ -118,7 +127,7 @@ def export_snapshots(base: DataFrame, head: DataFrame, options: ExportOptions) -
         old_paths = modified.selectExpr("repo", "coalesce(previous_path, path) AS path")
         before = narrow_by_keys(base, old_paths, ["repo", "path"])
         hunks = delta.line_hunks(delta.changed_pairs(before, entries(after, options), modified))
-    return export_changes(head, changes, options, hunks)
+    return _export_wanted(head, changes, options, hunks)
 
 
 def unpack_files(artifacts: DataFrame, options: ExportOptions | None = None) -> DataFrame:

@@ -16,7 +16,11 @@ PART_BYTES = 32 * 1024 * 1024
 
 
 def write_artifacts(
-    blocks: DataFrame, location: str, by_repo: bool = True, mode: str = "errorifexists"
+    blocks: DataFrame,
+    location: str,
+    by_repo: bool = True,
+    mode: str = "errorifexists",
+    partitions: int | None = None,
 ) -> None:
     """Write all artifacts as text.
 
@@ -24,8 +28,16 @@ def write_artifacts(
     fills several tasks. Files in name order are the artifacts, byte for byte. With
     ``by_repo`` every repository gets its own folder ``repo=...``. Output appears only when
     the job commits, and an existing one is kept unless ``mode`` says otherwise.
+    ``partitions`` is the number of ranges, by default the session's shuffle partitions; about
+    one per 128 MB of output suits large jobs.
     """
-    ordered = blocks.repartitionByRange("repo", *ORDER).sortWithinPartitions("repo", *ORDER)
+    keys = ["repo", *ORDER]
+    ranged = (
+        blocks.repartitionByRange(*keys)
+        if partitions is None
+        else blocks.repartitionByRange(partitions, *keys)
+    )
+    ordered = ranged.sortWithinPartitions(*keys)
     # The text writer ends every row with a newline.
     lines = ordered.select("repo", without_last_newline(F.col("body")).alias("value"))
     if by_repo:
