@@ -1,7 +1,7 @@
 """Column functions. All are row-local, so they also work on streaming DataFrames."""
 
 from quire.functions.core import bind
-from quire.functions.ignore import IgnoreRules, IgnoreRuleError
+from quire.functions.ignore import IgnoreRuleError, IgnoreRules, RuleColumn
 from quire.functions.language import language_of, shebang_language
 from quire.functions.paths import (
     basename,
@@ -34,7 +34,7 @@ from quire.functions.text import (
 )
 
 __all__ = [
-    "IgnoreRuleError", "IgnoreRules", "SecretRule", "basename", "bind", "contained_path",
+    "IgnoreRuleError", "IgnoreRules", "RuleColumn", "SecretRule", "basename", "bind", "contained_path",
     "decode_heading", "default_secret_rules", "display_path", "escape_markdown",
     "estimate_tokens", "fence_length", "finding_counts", "first_secret_rule", "is_binary",
     "is_sensitive_name", "language_of", "line_count", "longest_backtick_run",

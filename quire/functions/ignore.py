@@ -161,60 +161,23 @@ def _alternation(patterns: Iterable[str]) -> str:
     return "(?:" + "|".join(dict.fromkeys(patterns)) + ")"
 
 
-class IgnoreRules:
-    """An ordered rule list; the last matching rule decides.
-
-    >>> rules = IgnoreRules(["*.tmp", "!keep.tmp"])
-    >>> files.filter(~rules.ignored(F.col("path")))
-    """
-
-    def __init__(self, lines: Iterable[str] = (), use_defaults: bool = True):
-        defaults = C.DEFAULT_IGNORE_RULES if use_defaults else ()
-        own = [line for raw in lines for line in rule_lines(raw)]
-        self.rules = tuple(IgnoreRule.compile(raw) for raw in (*defaults, *own))
-        self.has_negations = any(rule.negated for rule in self.rules)
-
-    # -- one node ------------------------------------------------------------
-
-    def _runs(self, is_dir: bool, name_negations: bool):
-        usable = [
-            rule
-            for rule in self.rules
-            if (is_dir or not rule.dir_only)
-            and (name_negations or not rule.negated or rule.path_match)
-        ]
-        # Neighbours with the same effect share one regular expression.
-        for (negated, path_match), run in groupby(
-            usable, key=lambda rule: (rule.negated, rule.path_match)
-        ):
-            yield negated, path_match, rf"(?s)\A{_alternation(r.match for r in run)}\z"
+class _PathFold:
+    """Folds the state of a path's directories; rules are supplied by subclasses."""
 
     def _outcome(self, path: Column, base: Column, is_dir: bool, parent_ignored: bool,
                  ignored_state: Column) -> Column:
         """Next state of one node, 0 for "not ignored" or ``ignored_state``."""
-        state = ignored_state if parent_ignored else F.lit(0)
-        for negated, path_match, pattern in self._runs(is_dir, not parent_ignored):
-            hit = (path if path_match else base).rlike(pattern)
-            state = F.when(hit, F.lit(0) if negated else ignored_state).otherwise(state)
-        return state
+        raise NotImplementedError
+
+    def _may_match_below(self, directory: Column) -> Column | None:
+        """Whether an ignored directory can still hold kept files; None means always."""
+        raise NotImplementedError
 
     def node_ignored(self, path: Column, is_dir: bool, parent_ignored: bool = False) -> Column:
         """State of a single path, given the state of its parent directory."""
         base = F.substring_index(path, "/", -1)
         return self._outcome(path, base, is_dir, parent_ignored, F.lit(1)) == 1
 
-    def _may_match_below(self, directory: Column) -> Column | None:
-        """Whether an ignored directory can still hold kept files; None means always."""
-        negated = [rule for rule in self.rules if rule.negated]
-        if any(not rule.path_match for rule in negated):
-            return None
-        if not negated:
-            return F.lit(False)
-        pattern = _alternation(rule.below for rule in negated)
-        return directory.rlike(rf"(?s)\A{pattern}\z")
-
-    # -- a whole path --------------------------------------------------------
-
     def _directory_state(self, segments: Column) -> Column:
         """State handed to a file by its directories.
 
@@ -243,29 +206,6 @@ class IgnoreRules:
 
         return F.aggregate(chain, F.lit(0), step)
 
-    def _flat_regex(self) -> str:
-        """Without negations a path is ignored iff some rule hits it or a parent."""
-        parts = []
-        for rule in self.rules:
-            lead = r"\A" if rule.path_match else r"(?:\A|/)"
-            tail = "/" if rule.dir_only else r"(?:/|\z)"
-            parts.append((lead, tail, rule.match))
-        grouped: dict[tuple[str, str], list[str]] = {}
-        for lead, tail, match in parts:
-            grouped.setdefault((lead, tail), []).append(match)
-        return "(?s)" + "|".join(
-            lead + _alternation(matches) + tail for (lead, tail), matches in grouped.items()
-        )
-
-    def ignored(self, path: Column) -> Column:
-        """Whether the file at ``path`` is ignored, its directories included."""
-        if not self.rules:
-            return F.lit(False)
-        clean = normalize_path(path)
-        if not self.has_negations:
-            return clean.rlike(self._flat_regex())
-        return self._folded(path)
-
     def _folded(self, path: Column) -> Column:
         def decide(segments: Column) -> Column:
             full = F.array_join(segments, "/")
@@ -279,11 +219,15 @@ class IgnoreRules:
 
         return bind(F.split(normalize_path(path), "/", -1), decide)
 
+    def ignored(self, path: Column) -> Column:
+        """Whether the file at ``path`` is ignored, its directories included."""
+        return self._folded(path)
+
     def pruned_directory(self, path: Column) -> Column:
         """The ancestor that a walk would skip as a whole, or null."""
-        if not self.rules:
-            return F.lit(None).cast("string")
+        return self._pruned(path)
 
+    def _pruned(self, path: Column) -> Column:
         def locate(segments: Column) -> Column:
             return bind(
                 self._directory_state(segments),
@@ -291,3 +235,130 @@ class IgnoreRules:
             )
 
         return bind(F.split(normalize_path(path), "/", -1), locate)
+
+
+class IgnoreRules(_PathFold):
+    """An ordered rule list that is the same for all rows; the last matching rule decides.
+
+    >>> rules = IgnoreRules(["*.tmp", "!keep.tmp"])
+    >>> files.filter(~rules.ignored(F.col("path")))
+    """
+
+    def __init__(self, lines: Iterable[str] = (), use_defaults: bool = True):
+        defaults = C.DEFAULT_IGNORE_RULES if use_defaults else ()
+        own = [line for raw in lines for line in rule_lines(raw)]
+        self.rules = tuple(IgnoreRule.compile(raw) for raw in (*defaults, *own))
+        self.has_negations = any(rule.negated for rule in self.rules)
+
+    def _runs(self, is_dir: bool, name_negations: bool):
+        usable = [
+            rule
+            for rule in self.rules
+            if (is_dir or not rule.dir_only)
+            and (name_negations or not rule.negated or rule.path_match)
+        ]
+        # Neighbours with the same effect share one regular expression.
+        for (negated, path_match), run in groupby(
+            usable, key=lambda rule: (rule.negated, rule.path_match)
+        ):
+            yield negated, path_match, rf"(?s)\A{_alternation(r.match for r in run)}\z"
+
+    def _outcome(self, path: Column, base: Column, is_dir: bool, parent_ignored: bool,
+                 ignored_state: Column) -> Column:
+        state = ignored_state if parent_ignored else F.lit(0)
+        for negated, path_match, pattern in self._runs(is_dir, not parent_ignored):
+            hit = (path if path_match else base).rlike(pattern)
+            state = F.when(hit, F.lit(0) if negated else ignored_state).otherwise(state)
+        return state
+
+    def _may_match_below(self, directory: Column) -> Column | None:
+        negated = [rule for rule in self.rules if rule.negated]
+        if any(not rule.path_match for rule in negated):
+            return None
+        if not negated:
+            return F.lit(False)
+        pattern = _alternation(rule.below for rule in negated)
+        return directory.rlike(rf"(?s)\A{pattern}\z")
+
+    def _flat_regex(self) -> str:
+        """Without negations a path is ignored iff some rule hits it or a parent."""
+        grouped: dict[tuple[str, str], list[str]] = {}
+        for rule in self.rules:
+            lead = r"\A" if rule.path_match else r"(?:\A|/)"
+            tail = "/" if rule.dir_only else r"(?:/|\z)"
+            grouped.setdefault((lead, tail), []).append(rule.match)
+        return "(?s)" + "|".join(
+            lead + _alternation(matches) + tail for (lead, tail), matches in grouped.items()
+        )
+
+    def ignored(self, path: Column) -> Column:
+        if not self.rules:
+            return F.lit(False)
+        if not self.has_negations:
+            return normalize_path(path).rlike(self._flat_regex())
+        return self._folded(path)
+
+    def pruned_directory(self, path: Column) -> Column:
+        return super().pruned_directory(path) if self.rules else F.lit(None).cast("string")
+
+
+#: Compiled rules as they travel in a column; patterns are anchored.
+RULE_LIST = (
+    "array<struct<negated:boolean,dir_only:boolean,path_match:boolean,match:string,below:string>>"
+)
+
+
+def compiled_rules(text: str | None, lines: tuple[str, ...], use_defaults: bool) -> list[tuple]:
+    """Rules of one ignore file behind the shared ones, as rows of ``RULE_LIST``.
+
+    Between two changes of polarity the order of rules has no effect, so each such stretch
+    needs no more than four patterns: by name or by path, for directories only or for all.
+    """
+    compiled: list[tuple] = []
+    rules = IgnoreRules([*lines, text or ""], use_defaults).rules
+    for negated, stretch in groupby(rules, key=lambda rule: rule.negated):
+        kinds: dict[tuple[bool, bool], list[IgnoreRule]] = {}
+        for rule in stretch:
+            kinds.setdefault((rule.dir_only, rule.path_match), []).append(rule)
+        for (dir_only, path_match), members in kinds.items():
+            below = None
+            if negated and path_match:
+                below = rf"(?s)\A{_alternation(rule.below for rule in members)}\z"
+            match = rf"(?s)\A{_alternation(rule.match for rule in members)}\z"
+            compiled.append((negated, dir_only, path_match, match, below))
+    return compiled
+
+
+class RuleColumn(_PathFold):
+    """Rules that differ by row, taken from a column of type ``RULE_LIST``."""
+
+    def __init__(self, rules: Column):
+        self.column = rules
+
+    def ignored(self, path: Column) -> Column:
+        return bind(self.column, lambda rules: RuleColumn(rules)._folded(path))
+
+    def pruned_directory(self, path: Column) -> Column:
+        return bind(self.column, lambda rules: RuleColumn(rules)._pruned(path))
+
+    def _outcome(self, path: Column, base: Column, is_dir: bool, parent_ignored: bool,
+                 ignored_state: Column) -> Column:
+        def step(state: Column, rule: Column) -> Column:
+            subject = F.when(rule["path_match"], path).otherwise(base)
+            usable = F.rlike(subject, rule["match"])
+            if not is_dir:
+                usable = ~rule["dir_only"] & usable
+            if parent_ignored:
+                usable = (~rule["negated"] | rule["path_match"]) & usable
+            return F.when(
+                usable, F.when(rule["negated"], F.lit(0)).otherwise(ignored_state)
+            ).otherwise(state)
+
+        return F.aggregate(self.column, ignored_state if parent_ignored else F.lit(0), step)
+
+    def _may_match_below(self, directory: Column) -> Column | None:
+        return F.exists(
+            self.column,
+            lambda rule: rule["negated"]
+            & (~rule["path_match"] | F.coalesce(F.rlike(directory, rule["below"]), F.lit(False))),
+        )

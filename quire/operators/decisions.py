@@ -10,19 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import constants as C
+from quire.functions.ignore import RuleColumn
 from quire.functions.language import language_of
 from quire.functions.paths import basename, display_path
 from quire.functions.sensitive import first_secret_rule, has_secret, is_sensitive_name
 from quire.functions.text import fence_length, is_binary, line_count
 from quire.options import ExportOptions
 
+#: Column that holds a row's own compiled ignore rules.
+OWN_RULES = "_own_rules"
 
-def skip_reason(options: ExportOptions) -> Column:
+
+def _rules(options: ExportOptions, own_rules: Column | None):
+    return options.ignore_rules() if own_rules is None else RuleColumn(own_rules)
+
+
+def skip_reason(options: ExportOptions, own_rules: Column | None = None) -> Column:
     """First reason to reject a row of ``files``; null for a file to export.
 
     The order decides which reason is counted: an oversized ignored file is oversized, but
     nothing is ever looked at below a directory that a walk would not enter. Each costly
-    part occurs once in the expression and runs only for rows that got that far.
+    part occurs once in the expression and runs only for rows that got that far. ``own_rules``
+    is a column of compiled rules that takes the place of the shared ones.
     """
     content, size, kind, path = F.col("content"), F.col("size"), F.col("kind"), F.col("path")
     at_sight = (
@@ -35,7 +44,7 @@ def skip_reason(options: ExportOptions) -> Column:
         kind == "pruned_dir", C.SKIP_IGNORED
     )
     if options.scans:
-        rules = options.ignore_rules()
+        rules = _rules(options, own_rules)
         hidden = rules.pruned_directory(path).isNotNull()
         reason = reason.when(seen, F.when(hidden, C.SKIP_IGNORED).otherwise(at_sight)).when(
             rules.ignored(path), C.SKIP_IGNORED
@@ -58,8 +67,15 @@ def skip_reason(options: ExportOptions) -> Column:
 
 
 def decide(files: DataFrame, options: ExportOptions) -> DataFrame:
-    """``files`` with ``skip_reason``; bodies stay in place."""
-    return files.withColumn("skip_reason", skip_reason(options))
+    """``files`` with ``skip_reason``; bodies stay in place.
+
+    Rules attached by :func:`quire.operators.ignore_files.with_own_rules` are used.
+    """
+    return files.withColumn("skip_reason", skip_reason(options, _own_rules(files)))
+
+
+def _own_rules(files: DataFrame) -> Column | None:
+    return F.col(OWN_RULES) if OWN_RULES in files.columns else None
 
 
 def decisions(files: DataFrame, options: ExportOptions) -> DataFrame:
@@ -74,7 +90,7 @@ def decisions(files: DataFrame, options: ExportOptions) -> DataFrame:
     if options.scans:
         pruned = F.when(
             F.col("skip_reason") == C.SKIP_IGNORED,
-            options.ignore_rules().pruned_directory(F.col("path")),
+            _rules(options, _own_rules(files)).pruned_directory(F.col("path")),
         )
     return decide(files, options).select(
         "repo", "path", "size", "skip_reason",

@@ -29,7 +29,7 @@ from quire.operators import changes as change_ops
 from quire.operators import delta, hunks as hunk_ops
 from quire.operators.decisions import decisions, entries, skip_counters, skip_summary
 from quire.operators.findings import secret_findings
-from quire.operators.metrics import artifact_metrics
+from quire.operators.ignore_files import with_own_rules
 from quire.operators.render import file_blocks
 from quire.operators.selection import in_subtree, parse_path_lists, select_files, worktree_paths
 from quire.operators.tree import tree_nodes, tree_rows
@@ -52,6 +52,7 @@ BUDGET = ExportOptions(
     ignore_lines=("!build/keep/*.txt",), generated_at=STAMP, warn_tokens=20_000, max_tokens=24_000
 )
 
+SHARED = ExportOptions(ignore_lines=("cache/*",), max_file_bytes=10_000_000)
 DEEP_RULES = IgnoreRules([
     "vendor/", "!vendor/keep/", "*.tmp", "!keep.tmp", "/apps/**/gen/", "!build/**/dist/main.c",
     "docs/**", "!docs/web/", "cache/*",
@@ -239,6 +240,29 @@ def ignore_pruned_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OWN_IGNORE_SQL = (
+    "CASE WHEN source LIKE '%1' THEN concat('# own', chr(10), '*.tmp', chr(10), '!keep.tmp') "
+    "WHEN source LIKE '%2' THEN concat('docs/', chr(13), chr(10), '!build/lib/') "
+    "ELSE concat('/apps/web', chr(10), 'src/**', chr(10), '!src/keep/a/*.c') END"
+)
+
+
+def own_ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions where repositories bring ignore files of three kinds, and some none."""
+    documents = corpora.table(spark, sf_dir, "documents")
+    texts = documents.filter("source NOT LIKE '%0'").select(
+        F.col("source").alias("repo"), F.expr(OWN_IGNORE_SQL).alias("text")
+    ).distinct()
+    files = corpora.as_files(
+        documents.select(
+            F.col("source").alias("repo"), F.expr(corpora.DEEP_PATH).alias("path"), "text"
+        )
+    )
+    return decisions(with_own_rules(files, texts, SHARED), SHARED).groupBy("repo", "path").agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("skip_reason") == "ignored").alias("n_ignored")
+    )
+
+
 def tracked_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventory = _documents(
         spark, sf_dir, F.col("source").alias("repo"), F.expr(corpora.FILE_PATH).alias("path"),
@@ -456,6 +480,7 @@ QUERIES: dict[str, Query] = {
     "contextual_secrets": contextual_secrets,
     "ignore_decisions": ignore_decisions,
     "ignore_pruned_dirs": ignore_pruned_dirs,
+    "own_ignore_files": own_ignore_files,
     "tracked_union": tracked_union,
     "path_list": path_list,
     "selected_files": selected_files,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from quire.operators import changes as change_ops
 from quire.operators import delta, hunks as hunk_ops
 from quire.operators.decisions import decisions, describe, entries, skip_counters
+from quire.operators.ignore_files import with_own_rules
 from quire.operators.metrics import artifact_metrics, require_budget, within_budget
 from quire.operators.render import blocks
 from quire.operators.scale import narrow_by_keys, stored
@@ -69,15 +70,26 @@ class Export:
 
 
 def export_files(
-    files: DataFrame, options: ExportOptions, selected: DataFrame | None = None
+    files: DataFrame,
+    options: ExportOptions,
+    selected: DataFrame | None = None,
+    ignore_files: DataFrame | None = None,
 ) -> Export:
-    """Export scanned files, or those named by ``selected`` ``(repo, path)``."""
+    """Export scanned files, or those named by ``selected`` ``(repo, path)``.
+
+    ``ignore_files`` ``(repo, text)`` adds each repository's own ignore file to a scan;
+    :func:`quire.operators.ignore_files.root_ignore_files` takes them from ``files``.
+    """
     if options.is_delta:
         raise ValueError("use export_changes or export_snapshots for delta modes")
     if options.scans == (selected is not None):
         raise ValueError(f"mode {options.mode} {'takes no' if options.scans else 'needs'} paths")
+    if ignore_files is not None and not options.scans:
+        raise ValueError("ignore files apply to a scan only")
     repos = files.select("repo").distinct()
     chosen = files if selected is None else select_files(files, selected)
+    if ignore_files is not None:
+        chosen = with_own_rules(chosen, ignore_files, options)
     accepted = entries(chosen, options)
     return Export(options, repos, chosen, accepted)
 

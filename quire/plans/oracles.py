@@ -7,6 +7,8 @@ unique keys and distributed totals.
 
 from __future__ import annotations
 
+import re
+
 from quire.plans import catalog, corpora
 
 NL = "chr(10)"
@@ -255,6 +257,32 @@ walked(prefix, is_dir, depth, ignored) AS (
     ON f.prefix = p.prefix AND f.is_dir = p.is_dir)"""
 
 
+_OWN = {
+    "1": [(0, 0, 0, ".*\\.tmp"), (1, 0, 0, "keep\\.tmp")],
+    "2": [(0, 1, 0, "docs"), (1, 1, 1, "build/lib")],
+    "x": [(0, 0, 1, "apps/web"), (0, 0, 1, "src(?:/.*)?"), (1, 0, 1, "src/keep/a/[^/]*\\.c")],
+    "0": [],
+}
+_CACHE = [(0, 0, 1, "cache/[^/]*")]
+
+
+def own_walk() -> str:
+    """The walk of every kind of rule list, and the kind of every repository."""
+    lists = {kind: walk(rules(_CACHE + own)) for kind, own in _OWN.items()}
+    ctes = []
+    for i, (kind, text) in enumerate(lists.items()):
+        for name in ("rules", "paths", "prefixes", "hits", "walked"):
+            text = re.sub(rf"\b{name}\b", f"{name}{i}", text)
+        ctes.append(text)
+    branches = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, prefix, ignored FROM walked{i} WHERE NOT is_dir"
+        for i, kind in enumerate(lists)
+    )
+    return ", ".join(ctes) + f""", verdicts AS ({branches}),
+kinds AS (SELECT *, CASE WHEN repo LIKE '%1' THEN '1' WHEN repo LIKE '%2' THEN '2'
+  WHEN repo LIKE '%0' THEN '0' ELSE 'x' END AS kind FROM paths0)"""
+
+
 # --- snapshots ---------------------------------------------------------------
 SNAPSHOTS = f"""base AS (SELECT source AS repo, concat('doc/', doc_id, '.txt') AS path, text AS body
  FROM documents WHERE doc_id % 7 <> 0),
@@ -501,6 +529,9 @@ ORACLES: dict[str, str] = {
   JOIN walked w ON w.is_dir AND starts_with(p.path, w.prefix || '/') AND w.ignored
    AND w.prefix NOT IN ('vendor', 'vendor/keep') GROUP BY p.repo, p.doc_id) GROUP BY repo, directory""",
                                 recursive=True),
+    "own_ignore_files": _with(own_walk(), """SELECT k.repo, k.path, count(*) AS n_files,
+ count(*) FILTER (v.ignored) AS n_ignored FROM kinds k JOIN verdicts v
+ ON v.kind = k.kind AND v.prefix = k.path GROUP BY k.repo, k.path""", recursive=True),
     "tracked_union": f"""SELECT DISTINCT source AS repo, path FROM (SELECT doc_id, source,
   {corpora.FILE_PATH} AS path FROM documents) WHERE doc_id % 3 = 0 OR NOT (
   regexp_matches(path, '(^|/)(build|node_modules)/') AND NOT starts_with(path, 'build/keep/')
