@@ -30,6 +30,8 @@ def path_delta(base: DataFrame, head: DataFrame) -> DataFrame:
 def exact_renames(delta: DataFrame) -> DataFrame:
     """Deleted and added paths with equal content, paired in path order.
 
+    ``delta`` comes from :func:`path_delta` and should be stored, as it is read twice.
+
     The n-th deleted copy of a content goes with the n-th added copy, so a content with
     millions of copies yields as many pairs as there are copies, not their product. The
     positions come from a distributed count.

@@ -20,10 +20,9 @@ def secret_findings(
     skip its regular expression.
     """
     rules = options.secret_rules if rules is None else rules
-    reason = F.col("skip_reason")
-    readable = decide(files, options).filter(
-        reason.isNull() | (reason == C.SKIP_SENSITIVE_CONTENT)
-    )
+    # One reference to the reason, so that it is worked out once per file.
+    reason = F.coalesce("skip_reason", F.lit(C.SKIP_SENSITIVE_CONTENT))
+    readable = decide(files, options).filter(reason == C.SKIP_SENSITIVE_CONTENT)
     return readable.select(
         "repo",
         "path",

@@ -143,20 +143,22 @@ def running(
     return result if value else result.drop(before)
 
 
-#: Key tables up to this many rows may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Key tables up to this size may be broadcast; larger ones are shuffled.
+BROADCAST_KEY_BYTES = 64 * 1024 * 1024
 
 
 def narrow_by_keys(
-    big: DataFrame, keys: DataFrame, on: list[str], broadcast_rows: int = BROADCAST_ROWS
+    big: DataFrame, keys: DataFrame, on: list[str], broadcast_bytes: int = BROADCAST_KEY_BYTES
 ) -> DataFrame:
     """Rows of ``big`` whose key is in ``keys``, without moving ``big`` when keys are few.
 
-    ``keys`` is counted right away, so it should be stored or cheap. Up to ``broadcast_rows``
-    it is broadcast, so large rows are filtered where they are read; beyond that both sides
-    are shuffled.
+    The keys are measured right away, so they should be stored or cheap. Up to
+    ``broadcast_bytes`` they are broadcast, so large rows are filtered where they are read;
+    beyond that both sides are shuffled.
     """
     known = keys.select(*on).distinct()
-    if known.count() <= broadcast_rows:
+    lengths = [F.octet_length(F.col(key).cast("string")) + 16 for key in on]
+    size = known.agg(F.sum(sum(lengths[1:], lengths[0]))).head()[0] or 0
+    if size <= broadcast_bytes:
         known = F.broadcast(known)
     return big.join(known, on, "left_semi")

@@ -31,6 +31,7 @@ from quire.operators.decisions import decisions, entries, skip_counters, skip_su
 from quire.operators.findings import secret_findings
 from quire.operators.ignore_files import with_own_rules
 from quire.operators.render import file_blocks
+from quire.operators.scale import stored
 from quire.operators.selection import in_subtree, parse_path_lists, select_files, worktree_paths
 from quire.operators.tree import tree_nodes, tree_rows
 from quire.operators.unpack import unpack
@@ -304,7 +305,7 @@ def exact_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = delta.path_delta(
         corpora.base_snapshot(spark, sf_dir), corpora.head_snapshot(spark, sf_dir)
     )
-    return delta.exact_renames(found)
+    return delta.exact_renames(stored(found))
 
 
 def change_context(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.core import div
 from quire.functions.text import without_last_newline
-from quire.operators.scale import running
+from quire.operators.scale import running, stored
 from quire.options import ExportOptions
 
 ORDER = ["section", "order_key"]
@@ -55,9 +55,9 @@ def artifact_parts(
     so no row and no task ever holds more than one part. Offsets come from a distributed
     running total over the sizes alone.
     """
-    sizes = running(
-        blocks.select("repo", *ORDER, "n_bytes"), ["repo"], ORDER, "n_bytes", before="offset"
-    )
+    # Stored first: sizes take a whole rendering, and the running total reads them twice.
+    measured = stored(blocks.select("repo", *ORDER, "n_bytes"))
+    sizes = running(measured, ["repo"], ORDER, "n_bytes", before="offset")
     placed = sizes.select("repo", *ORDER, div(F.col("offset"), part_bytes).alias("part"))
     return (
         blocks.join(placed, ["repo", *ORDER])

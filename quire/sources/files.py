@@ -43,6 +43,8 @@ def read_binary_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
     )
 
 
+_BATCH_ROWS = 10_000
+_BATCH_BYTES = 8 * 1024 * 1024
 _LISTED = "repo string, root string, path string, size long, kind string"
 
 
@@ -56,7 +58,7 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                 with os.scandir(os.path.join(root, path)) as found:
                     for entry in found:
                         rows.append((repo, root, *_describe(entry, path)))
-                        if len(rows) == 10_000:
+                        if len(rows) == _BATCH_ROWS:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
             except OSError:
@@ -79,8 +81,11 @@ def _describe(entry: os.DirEntry, parent: str) -> tuple[str, int, str]:
 
 
 def _read_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bodies of listed files, in output batches of a few megabytes."""
+    columns = FILES.fieldNames()
+    rows: list[tuple] = []
+    held = 0
     for batch in batches:
-        # One file per output batch keeps memory at one body.
         for repo, root, path, size, kind, wanted in batch.itertuples(index=False):
             content = None
             if wanted:
@@ -90,9 +95,13 @@ def _read_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     size = len(content)
                 except OSError:
                     kind = "unreadable"
-            yield pd.DataFrame(
-                [(repo, path, content, size, kind)], columns=FILES.fieldNames()
-            )
+            rows.append((repo, path, content, size, kind))
+            held += size if content is not None else 0
+            if held > _BATCH_BYTES or len(rows) == _BATCH_ROWS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def scan_directories(

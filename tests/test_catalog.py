@@ -32,6 +32,9 @@ def test_every_query_has_a_counterpart():
 @pytest.mark.parametrize("name", sorted(entry_points.queries()))
 def test_query(spark, tables, name):
     result = entry_points.queries()[name](spark, SF_DIR)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    for shape in ("CartesianProduct", "NestedLoopJoin", "SinglePartition", "EvalPython"):
+        assert shape not in plan
     columns = sorted(result.columns)
     got = [tuple(row[c] for c in columns) for row in result.collect()]
     oracle = tables.execute(entry_points.oracle_sql()[name])

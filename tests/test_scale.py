@@ -54,11 +54,11 @@ def test_hot_key_join_equals_plain_join(spark, how, min_rows):
     assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
-@pytest.mark.parametrize("limit", [0, 100])
+@pytest.mark.parametrize("limit", [0, 10_000])
 def test_narrow_by_keys(spark, limit):
     big = spark.range(50).withColumnRenamed("id", "k")
     keys = spark.createDataFrame([(3,), (3,), (7,), (99,)], "k bigint")
-    got = narrow_by_keys(big, keys, ["k"], broadcast_rows=limit)
+    got = narrow_by_keys(big, keys, ["k"], broadcast_bytes=limit)
     assert sorted(r.k for r in got.collect()) == [3, 7]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastHashJoin" in plan) or limit == 0
