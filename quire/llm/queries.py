@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, quality, secrets, sharding
+from quire.llm import extraction, mixing, pieces, quality, secrets, sharding, warc
 from quire.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+def op3_sentencepiece(spark, sf_dir):
+    return pieces.piece_report(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -22,7 +30,12 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard_plan(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark, sf_dir):
+    return extraction.extraction_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op4_secret_scans, op5_mixing, op6_sharding,
+    op1_quality_rules, op2_warc, op3_sentencepiece, op4_secret_scans, op5_mixing, op6_sharding,
+    op8_html_extraction,
 )}
 ORACLES: dict[str, str] = {}
