@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import extraction, mixing, pieces, quality, secrets, sharding, warc
+from quire.llm import extraction, mixing, pieces, quality, secrets, sharding, substrings, warc
 from quire.llm.common import table
 
 
@@ -30,12 +30,16 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard_plan(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark, sf_dir):
     return extraction.extraction_report(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_warc, op3_sentencepiece, op4_secret_scans, op5_mixing, op6_sharding,
-    op8_html_extraction,
+    op7_substring_dedup, op8_html_extraction,
 )}
 ORACLES: dict[str, str] = {}
