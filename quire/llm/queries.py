@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import extraction, mixing, ngram_join, pieces, quality, secrets, sharding, substrings, warc
+from quire.llm import extraction, mixing, ngram_join, pieces, quality, secrets, sharding, substrings, vectors, warc
 from quire.llm.common import table
 
 
@@ -42,8 +42,12 @@ def op9_ngram_join(spark, sf_dir):
     return ngram_join.join_report(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark, sf_dir):
+    return vectors.vector_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_warc, op3_sentencepiece, op4_secret_scans, op5_mixing, op6_sharding,
-    op7_substring_dedup, op8_html_extraction, op9_ngram_join,
+    op7_substring_dedup, op8_html_extraction, op9_ngram_join, op10_embedding_near_dedup,
 )}
 ORACLES: dict[str, str] = {}
