@@ -15,6 +15,8 @@ MOST_COPIES = 2
 #: Newton steps end when every source is this close to its target, relatively, or after MAX_STEPS.
 TOLERANCE = 1e-9
 MAX_STEPS = 60
+#: Copies are broadcast to the rows up to this size and shuffled beyond.
+BROADCAST_BYTES = 8 * 1024 * 1024
 #: Starting points of the rounding that are tried per source.
 OFFSETS = 64
 
@@ -109,7 +111,7 @@ def mix(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
 ) -> DataFrame:
-    """How often each row is taken: key, size, source_size, target, taken, copies.
+    """How often each row is taken: key, size, source_size, target, taken, copies, row.
 
     ``size`` is the number of words (null and empty texts: 0, never taken). A null source is a
     source of its own, last in order. The rates are rounded by cumulative sums in the order
@@ -168,5 +170,20 @@ def mix(
     return joined.withColumn("_copies", copies).select(
         F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target",
         (F.col("_size") * F.col("_copies")).cast("bigint").alias("taken"),
-        F.col("_copies").cast("bigint").alias("copies"),
+        F.col("_copies").cast("bigint").alias("copies"), F.col("_row").alias("row"),
+    )
+
+
+def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """All columns, each row as often as the mix takes it.
+
+    ``df`` is read twice and must number its rows alike each time, as a scan of stored files does.
+    """
+    copies = mix(df, key, text, source).filter("copies > 0").select(F.col("row").alias("_row"), "copies")
+    if df.count() * 16 <= BROADCAST_BYTES:
+        copies = F.broadcast(copies)
+    return (
+        df.withColumn("_row", F.monotonically_increasing_id()).join(copies, "_row")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .select(*[F.col(f"`{c}`") for c in df.columns])
     )

@@ -23,7 +23,7 @@ def op4_secret_scans(spark, sf_dir):
 
 
 def op5_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op6_sharding(spark, sf_dir):
