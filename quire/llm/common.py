@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,12 @@ class Scratch:
                 delete(self.spark, location)
 
 
+def release(scratch: Scratch) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored."""
+    gc.collect()
+    scratch.spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, location: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(location)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

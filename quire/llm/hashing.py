@@ -14,8 +14,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Odd 64-bit numbers, one for bytes in words and one for words in runs.
 BYTE_BASE, WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-#: Texts are hashed together up to this many bytes; a longer one is cut at spaces.
-GROUP_BYTES = 1 << 21
+#: Texts are hashed together up to this many bytes.
+GROUP_BYTES = 1 << 20
+#: Bytes are hashed in pieces of about this length, cut where a word begins.
+PIECE_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -98,8 +100,7 @@ def hash_group(rows: range, raw: list[bytes], lower: bool) -> Group:
     hashes = np.empty(len(starts), dtype=U)
     low = 0
     while low < len(starts):
-        # Cut where a word begins, so that no array is much longer than GROUP_BYTES.
-        high = max(low + 1, int(np.searchsorted(starts, starts[low] + 2 * GROUP_BYTES)))
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + PIECE_BYTES)))
         base = starts[low]
         sums, down = run_sums(data[base : ends[high - 1]].astype(U) + U(1), BYTES)
         hashes[low:high] = run_hash(sums, down, starts[low:high] - base, ends[low:high] - base)

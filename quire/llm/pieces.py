@@ -26,7 +26,7 @@ LITERAL = "\ud800"
 #: What a character outside the vocabulary costs below the least likely piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose segmentations a Python worker remembers.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 100_000
 NBEST = 4
 
 

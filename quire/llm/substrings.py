@@ -10,16 +10,16 @@ documents are formed.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, release
 from quire.llm.hashing import U, WORDS, Group, mix, run_hash, run_sums, signed, word_groups
 
 WINDOW = 13
@@ -111,10 +111,19 @@ def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids, "doc", "left_semi")
 
 
-def release(scratch: Scratch) -> None:
-    """Let Spark delete the shuffle files of steps whose results are stored."""
-    gc.collect()
-    scratch.spark._jvm.System.gc()
+def packed() -> Column:
+    """A range as one number, start above and length below 32 bits."""
+    return F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("n")
+
+
+def unpacked(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ranges = np.asarray(places, dtype=np.int64)
+    return ranges >> 32, ranges & 0xFFFFFFFF
+
+
+def within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count in turn."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def repeated_ranges(
@@ -137,20 +146,23 @@ def repeated_ranges(
     whole = shared.filter(~F.col("mixed")).select("doc", "body", "start", "n")
     mixed = scratch.store(
         shared.filter("mixed").groupBy("doc", "body")
-        .agg(F.collect_set(F.struct("start", "n")).alias("places")), "mixed")
+        .agg(F.collect_set(packed()).alias("places")), "mixed")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs, bodies, places = (batch[c].tolist() for c in ("doc", "body", "places"))
+            docs, bodies = batch["doc"].to_numpy(), batch["body"].to_numpy()
+            places = batch["places"].tolist()
             for group in word_groups(batch["text"].tolist()):
                 sums, down = run_sums(group.hashes, WORDS)
-                for k, row in enumerate(group.rows):
-                    spots = np.array([(p["start"], p["n"]) for p in places[row]], dtype=np.int64)
-                    at = np.unique(np.concatenate([np.arange(s, s + n) for s, n in spots]))
-                    begin = at + group.first[k]
-                    yield pd.DataFrame({
-                        "hash": signed(run_hash(sums, down, begin, begin + window)),
-                        "doc": docs[row], "body": bodies[row], "at": at.astype(np.int32)})
+                spots = [unpacked(places[row]) for row in group.rows]
+                at = [np.unique(np.repeat(s, n) + within(n)) for s, n in spots]
+                owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
+                at = np.concatenate(at)
+                begin = at + group.first[owner]
+                rows = owner + group.rows.start
+                yield pd.DataFrame({
+                    "hash": signed(run_hash(sums, down, begin, begin + window)),
+                    "doc": docs[rows], "body": bodies[rows], "at": at.astype(np.int32)})
 
     ids = scratch.store(mixed.select("doc").distinct(), "ids")
     texts = with_body(picked(rows, ids)).join(mixed, ["doc", "body"])
@@ -170,7 +182,7 @@ def clean_rows(
     """
     ranges = repeated_ranges(rows.select("doc", "text"), scratch, window, seed)
     grouped = scratch.store(
-        ranges.groupBy("doc", "body").agg(F.collect_set(F.struct("start", "n")).alias("places")), "places")
+        ranges.groupBy("doc", "body").agg(F.collect_set(packed()).alias("places")), "places")
     ids = scratch.store(grouped.select("doc").distinct(), "ids")
     release(scratch)
     names = [f.split()[0] for f in schema.split(", ")]
@@ -185,9 +197,11 @@ def clean_rows(
                 listed = (text or "").encode().split()
                 removed = None
                 if spots is not None and len(spots):
-                    removed = np.zeros(len(listed), dtype=bool)
-                    for spot in spots:
-                        removed[spot["start"] : spot["start"] + spot["n"] + window - 1] = True
+                    start, n = unpacked(spots)
+                    steps = np.zeros(len(listed) + 1, dtype=np.int64)
+                    np.add.at(steps, start, 1)
+                    np.add.at(steps, start + n + window - 1, -1)
+                    removed = np.cumsum(steps[:-1]) > 0
                 results.append(handle(listed, removed))
             frame = batch[kept].reset_index(drop=True)
             for k, name in enumerate(names):
@@ -209,7 +223,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.struct(*[F.col(f"`{c}`") for c in other]).alias("_row") if other else F.lit(None).alias("_row"))
 
     def handle(listed, removed):
-        kept = listed if removed is None else [w for w, r in zip(listed, removed, strict=True) if not r]
+        kept = listed if removed is None else list(compress(listed, ~removed))
         return (b" ".join(kept).decode(),)
 
     cleaned = clean_rows(rows, scratch, handle, "kept string")
@@ -228,7 +242,7 @@ def repeat_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = df.select(order_key(key).alias("doc"), F.col(text).alias("text"), F.col(key).alias(key))
 
     def handle(listed, removed):
-        kept = listed if removed is None else [w for w, r in zip(listed, removed, strict=True) if not r]
+        kept = listed if removed is None else list(compress(listed, ~removed))
         return len(listed), len(listed) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
     return clean_rows(rows, scratch, handle, "n_words bigint, n_removed bigint, kept_sha256 string")
