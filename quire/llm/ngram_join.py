@@ -1,13 +1,15 @@
 """Jaccard self-join of shingle sets with token-combination prefixes.
 
-1. Documents with equal sets become one; their sets and a hash-ordered prefix are computed.
-2. Sets that share too few prefix tokens with any other set have no partner and leave.
-3. Tokens of the rest are ordered by document frequency. A pair that reaches the threshold shares
-   two tokens of its prefixes extended by one: either a rare one, or two frequent ones. Rare tokens
-   are indexed alone, frequent ones as pairs.
-4. In a large bucket every set is first compared with one pivot. What is joined with the pivot
+1. Rows with equal sets become one. A set is ordered so that shingles of long words come first;
+   its prefix is extended so that a pair that reaches the threshold shares several prefix tokens.
+2. Prefix tokens that no other set has are dropped; sets that are left with too few have no
+   partner. The others order their tokens by frequency and keep the rarest: enough that a
+   pair still shares two of them, either a rare one or two frequent ones. Rare tokens are indexed
+   alone, frequent ones as pairs.
+3. In a large bucket every set is first compared with one pivot. What is joined with the pivot
    is connected already, so only pairs with a set outside the bucket's main component follow.
-5. Candidates are verified on the whole sets; components follow from the links.
+4. Candidates must fit in size and in parity sketch, a lower bound on the symmetric difference;
+   the rest are verified on their whole sets. Components follow from the links.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, release
 from quire.llm.components import components
 from quire.llm.hashing import U, Group, mix, signed, word_groups
 
@@ -30,7 +32,9 @@ HOT_BUCKET = 32
 MOST_COMBINED = 24
 BROADCAST_BYTES = 8 * 1024 * 1024
 
-SETS = "row bigint, n int, k1 bigint, k2 bigint, prefix array<bigint>"
+#: Words of the parity sketch of a set, 64 bits each.
+SKETCH = ("s0", "s1", "s2", "s3")
+SETS = "row bigint, n int, k1 bigint, k2 bigint, prefix array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
 
 def shingles(group: Group, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +87,10 @@ def set_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 sums = [np.zeros(texts, dtype=U) for _ in range(2)]
                 for k, salt in enumerate((U(0x51), U(0xA7))):
                     np.add.at(sums[k], owner, mix(gram ^ (salt << U(40))))
+                sketch = {s: np.zeros(texts, dtype=U) for s in SKETCH}
+                for k, s in enumerate(SKETCH):
+                    mine = (gram >> U(6)) % U(len(SKETCH)) == U(k)
+                    np.bitwise_xor.at(sketch[s], owner[mine], U(1) << (gram[mine] & U(63)))
                 rank = (3 - np.clip(length // (8 * size), 0, 3)).astype(U)
                 order = np.lexsort(((rank << U(62)) | (gram >> U(2)), owner))
                 starts = np.concatenate(([0], np.cumsum(n)))
@@ -91,7 +99,8 @@ def set_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 yield pd.DataFrame({
                     "row": ids[group.rows.start : group.rows.stop], "n": n,
                     "k1": signed(sums[0]), "k2": signed(sums[1]),
-                    "prefix": [tokens[s : s + w] for s, w in zip(starts[:-1], width, strict=True)]})
+                    "prefix": [tokens[s : s + w] for s, w in zip(starts[:-1], width, strict=True)],
+                    **{s: signed(v) for s, v in sketch.items()}})
 
     return docs.mapInPandas(run, SETS)
 
@@ -116,64 +125,43 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def reachable(percent: int) -> Column:
-    """Sizes, and tokens that occur in one set only, allow sets x and y to be linked."""
-    need = least_overlap(F.col("x.n"), F.col("y.n"), percent)
+    """Sizes and sketches allow sets x and y to be linked."""
+    apart = F.col("x.n") + F.col("y.n") - least_overlap(F.col("x.n"), F.col("y.n"), percent) * 2
     smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    return (smaller * 100 >= larger * percent) & (
-        F.least(F.col("x.n") - F.col("x.u"), F.col("y.n") - F.col("y.u")) >= need)
+    seen = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in SKETCH), F.lit(0))
+    return (smaller * 100 >= larger * percent) & (seen <= apart)
 
 
-def suspects(reps: DataFrame, percent: int) -> DataFrame:
-    """Sets that share enough prefix tokens with other sets: (sid)."""
-    tokens = reps.select("sid", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_f")).filter("_f > 1").select("token")
-    counted = tokens.join(shared, "token").groupBy("sid", "n").agg(F.count(F.lit(1)).alias("_c"))
-    partner = F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0) - F.lit(1e-9))
-    return counted.filter(F.col("_c") > F.floor(partner / 32)).select("sid")
-
-
-def ranked_tokens(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(sid, n, u, ranked): tokens shared with other sets, rarest first, as (f, t); u others."""
-    tokens = sets.select("sid", "n", F.explode("tokens").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    return scratch.store(
-        tokens.join(counts, "t").groupBy("sid", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ranked"))
-        .withColumn("u", F.col("n") - F.size("ranked"))
-        .filter(F.size("ranked") * 100 >= F.col("n") * percent), "ranked")
-
+def entries(reps: DataFrame, percent: int) -> DataFrame:
+    """Index entries (sig, sid, n, u, wide, lone, sketch).
 
-def signatures(ranked: DataFrame, percent: int) -> DataFrame:
-    """Index entries (sig, sid, n, u, idx, lone): ``idx`` when the set may be the smaller one.
-
-    ``lone`` entries of frequent tokens serve only pairs of which one set has too many frequent
-    tokens to pair them all.
+    ``u`` counts prefix tokens that no other set has. ``lone`` entries of frequent tokens serve only
+    pairs of which one set is ``wide``: it cannot use pairs, or has too many frequent tokens.
     """
-    n, u = F.col("n"), F.col("u")
-    probe = F.least(n, n - F.ceil(n * F.lit(percent) / 100.0 - F.lit(1e-9)) + 2)
-    index = F.least(n, n - least_overlap(n, n, percent) + 2)
-    listed = ranked.withColumn("_p", F.greatest(F.lit(0), (probe - u)).cast("int")).withColumn(
-        "_i", (index - u).cast("int")
-    ).withColumn("_head", F.transform(
-        F.slice("ranked", F.lit(1), F.col("_p")),
-        lambda t, k: F.struct(t["f"].alias("f"), t["t"].alias("t"), (k < F.col("_i")).alias("idx"))))
-    frequent = F.filter("_head", lambda t: t["f"] > HOT_BUCKET)
-    listed = listed.withColumn("_often", frequent).withColumn("wide", F.size("_often") > MOST_COMBINED)
-
-    def entry(kind: str, idx: Column, *tokens: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(kind), *tokens).alias("sig"), idx.alias("idx"),
-                        F.lit(kind == "lone").alias("lone"))
-
-    rare = F.transform(
-        F.filter("_head", lambda t: t["f"] <= HOT_BUCKET), lambda t: entry("rare", t["idx"], t["t"]))
-    lone = F.transform("_often", lambda t: entry("lone", t["idx"], t["t"]))
+    tokens = reps.select("sid", "n", F.explode("prefix").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    partner = F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0) - F.lit(1e-9))
+    need = (F.floor(partner / 32) + 1).cast("int")
+    ranked = tokens.join(shared, "t").groupBy("sid", "n").agg(
+        F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ranked")
+    ).withColumn("need", need).filter(F.size("ranked") >= F.col("need"))
+    kept = F.size("ranked") - F.col("need") + F.least(F.col("need"), F.lit(2))
+    listed = ranked.withColumn("_head", F.slice("ranked", F.lit(1), kept)).withColumn(
+        "_often", F.filter("_head", lambda t: t["f"] > HOT_BUCKET)
+    ).withColumn("wide", (F.size("_often") > MOST_COMBINED) | (F.col("need") < 2))
+
+    def entry(kind: str, *tokens: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(kind), *tokens).alias("sig"), F.lit(kind == "lone").alias("lone"))
+
+    rare = F.transform(F.filter("_head", lambda t: t["f"] <= HOT_BUCKET), lambda t: entry("rare", t["t"]))
+    lone = F.transform("_often", lambda t: entry("lone", t["t"]))
     pairs = F.flatten(F.transform("_often", lambda a, i: F.transform(
         F.slice("_often", i + 2, F.size("_often")),
-        lambda b: entry("pair", a["idx"] & b["idx"], F.least(a["t"], b["t"]), F.greatest(a["t"], b["t"])))))
-    none = F.array().cast("array<struct<sig:bigint,idx:boolean,lone:boolean>>")
-    return listed.select("sid", "n", "u", "wide", F.explode(F.concat(
+        lambda b: entry("pair", F.least(a["t"], b["t"]), F.greatest(a["t"], b["t"])))))
+    none = F.array().cast("array<struct<sig:bigint,lone:boolean>>")
+    return listed.select("sid", "wide", F.size("ranked").alias("_c"), F.explode(F.concat(
         rare, lone, F.when(F.col("wide"), none).otherwise(pairs))).alias("e")
-    ).select("sid", "n", "u", "wide", "e.sig", "e.idx", "e.lone")
+    ).select("sid", "wide", "_c", "e.sig", "e.lone")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,26 +173,35 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("_c") * 100 >= (F.col("_na") + F.col("_nb") - F.col("_c")) * percent).select("a", "b")
 
 
-def links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Verified links (a, b) between distinct sets (sid, n, tokens) that connect all that belong
-    together; links inside one component may be left out."""
-    ranked = ranked_tokens(sets, percent, scratch)
-    entries = scratch.store(signatures(ranked, percent), "signatures")
-    buckets = entries.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("_size"), F.max("wide").alias("_wide"), F.max("idx").alias("_idx"),
-        F.min(F.struct("u", "sid", "n")).alias("pivot"))
-    useful = scratch.store(
-        buckets.filter("_size > 1 and _idx").select("sig", "pivot", "_wide", (F.col("_size") > HOT_BUCKET).alias("hot")),
-        "buckets")
+def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Verified links (a, b) between distinct sets that connect all that belong together; links
+    inside one component may be left out."""
+    found = scratch.store(entries(reps, percent), "entries")
+    release(scratch)
+    buckets = found.groupBy("sig").agg(F.count(F.lit(1)).alias("_size"), F.max("wide").alias("_wide"))
+    useful = buckets.filter("_size > 1").select("sig", "_wide", (F.col("_size") > HOT_BUCKET).alias("hot"))
     members = scratch.store(
-        entries.join(useful, "sig").filter("not lone or _wide").drop("_wide"), "members")
+        found.join(useful, "sig").filter("not lone or _wide").drop("_wide")
+        .join(reps.select("sid", "n", F.size("prefix").alias("_w"), *SKETCH), "sid")
+        .withColumn("u", F.col("_w") - F.col("_c")).drop("_w", "_c"), "members")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.store(pairs.distinct(), f"{name}-candidates")
+        ids = scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{name}-ids")
+        wanted = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
+        sets = scratch.store(whole_sets(
+            texts.join(wanted, F.col("row") == F.col("sid"), "left_semi"), size
+        ).select(F.col("row").alias("sid"), F.size("tokens").alias("n"), "tokens"), f"{name}-sets")
+        return scratch.store(verify(pairs, sets, percent), name)
+
     # Every set of a large bucket against the bucket's pivot.
     hot = members.filter("hot")
-    star = hot.select(F.struct("sid", "n", "u").alias("x"), F.struct(
-        F.col("pivot.sid").alias("sid"), F.col("pivot.n").alias("n"), F.col("pivot.u").alias("u")).alias("y")
-    ).filter((F.col("x.sid") != F.col("y.sid")) & reachable(percent)).select(
-        F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    spokes = scratch.store(verify(star, sets, percent), "spokes")
+    whole = ["u", "sid", "n", *SKETCH]
+    pivots = hot.groupBy("sig").agg(F.min(F.struct(*whole)).alias("y"))
+    star = hot.select("sig", F.struct(*whole).alias("x")).join(pivots, "sig").filter(
+        (F.col("x.sid") != F.col("y.sid")) & reachable(percent))
+    spokes = checked(star.select(
+        F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")), "spokes")
     roots = components(spokes, scratch)
     labelled = hot.join(roots, hot["sid"] == roots["node"], "left").withColumn(
         "label", F.coalesce("root", "sid")).drop("node", "root")
@@ -212,19 +209,19 @@ def links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         F.max_by("label", F.struct("_n", "label")).alias("main"))
     labelled = scratch.store(labelled.join(main, "sig").withColumn("inner", F.col("label") == F.col("main")), "labelled")
 
-    def joined(index: DataFrame, probe: DataFrame, extra: Column) -> DataFrame:
-        before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") < F.col("y.sid")))
+    def joined(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
         lone = ~F.col("x.lone") | F.col("x.wide") | F.col("y.wide")
-        return index.filter("idx").alias("x").join(
-            probe.alias("y"), (F.col("x.sig") == F.col("y.sig")) & before & lone & reachable(percent) & extra
+        return left.alias("x").join(
+            right.alias("y"), (F.col("x.sig") == F.col("y.sig")) & lone & extra & reachable(percent)
         ).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
     cold = members.filter("not hot")
+    once = F.col("x.sid") < F.col("y.sid")
     apart = F.col("x.label") != F.col("y.label")
-    candidates = joined(cold, cold, F.lit(True)).union(
-        joined(labelled.filter("not inner"), labelled, apart)
-    ).union(joined(labelled.filter("inner"), labelled.filter("not inner"), apart)).distinct()
-    return scratch.store(spokes.union(verify(candidates, sets, percent)), "links")
+    outer = labelled.filter("not inner")
+    candidates = joined(cold, cold, once).union(joined(outer, outer, apart & once)).union(
+        joined(labelled.filter("inner"), outer, apart))
+    return spokes.union(checked(candidates, "links"))
 
 
 def near_duplicates(
@@ -238,7 +235,8 @@ def near_duplicates(
     linked; rows that share a key are separate rows. ``component_id`` is the smallest key reachable;
     where no row of a component has a key it is null. Of each component the row with the smallest
     key, then the first in the table, is the ``keeper``; every row with an empty set is one. Other
-    columns are not read. Sets are told apart by 128 bits, shingles by 64.
+    columns are not read. ``df`` is read several times and must number its rows alike each time, as
+    a scan of stored files does. Sets are told apart by 128 bits, shingles by 64.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -248,16 +246,12 @@ def near_duplicates(
     keys = source.select("key", "row")
     equal = ["k1", "k2", "n"]
     reps = scratch.store(
-        sets_of.filter("n > 0").groupBy(*equal).agg(F.min("row").alias("sid"), F.first("prefix").alias("prefix")),
+        sets_of.filter("n > 0").groupBy(*equal).agg(F.min("row").alias("sid"), *[F.first(c).alias(c) for c in ("prefix", *SKETCH)]),
         "reps")
-    chosen = scratch.store(suspects(reps, percent), "suspects")
-    picked = F.broadcast(chosen) if chosen.count() * 16 <= BROADCAST_BYTES else chosen
-    texts = source.select("row", "text").join(picked, F.col("row") == F.col("sid"), "left_semi")
-    sets = scratch.store(
-        whole_sets(texts, size).select(F.col("row").alias("sid"), F.size("tokens").alias("n"), "tokens"), "tokens")
-    roots = components(links(sets, percent, scratch), scratch)
+    release(scratch)
+    roots = components(links(reps, source.select("row", "text"), size, percent, scratch), scratch)
     placed = scratch.store(
-        reps.drop("prefix").join(roots, F.col("sid") == F.col("node"), "left")
+        reps.select("sid", *equal).join(roots, F.col("sid") == F.col("node"), "left")
         .select(*equal, F.coalesce("root", "sid").alias("root")), "roots")
     linked = scratch.store(
         sets_of.select("row", *equal).join(placed, equal, "left").join(keys, "row"), "linked")
