@@ -28,8 +28,9 @@ from quire.llm.hashing import U, Group, mix, signed, word_groups
 SHINGLE, THRESHOLD = 3, 90
 #: Buckets with more sets than this are handled through a pivot; rarer tokens are indexed alone.
 HOT_BUCKET = 32
-#: A set with more frequent prefix tokens than this indexes them alone as well as in pairs.
-MOST_COMBINED = 24
+#: Frequent tokens are paired where that gives at most this many entries per token; a set with more
+#: of them indexes them alone.
+PAIRS_PER_TOKEN = 4
 BROADCAST_BYTES = 8 * 1024 * 1024
 
 #: Words of the parity sketch of a set, 64 bits each.
@@ -132,36 +133,46 @@ def reachable(percent: int) -> Column:
     return (smaller * 100 >= larger * percent) & (seen <= apart)
 
 
-def entries(reps: DataFrame, percent: int) -> DataFrame:
-    """Index entries (sig, sid, n, u, wide, lone, sketch).
+def heads(reps: DataFrame, percent: int) -> DataFrame:
+    """Index tokens of each set that can have a partner: (sid, head, often, wide, u).
 
-    ``u`` counts prefix tokens that no other set has. ``lone`` entries of frequent tokens serve only
-    pairs of which one set is ``wide``: it cannot use pairs, or has too many frequent tokens.
+    ``u`` counts prefix tokens that no other set has; ``head`` holds the rarest others as (f, t),
+    ``often`` the frequent ones of these. A set is ``wide`` when its frequent tokens are indexed alone:
+    a partner may share only one token, or there are too many to pair them.
     """
-    tokens = reps.select("sid", "n", F.explode("prefix").alias("t"))
+    tokens = reps.select("sid", "n", F.size("prefix").alias("_w"), F.explode("prefix").alias("t"))
     shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     partner = F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0) - F.lit(1e-9))
     need = (F.floor(partner / 32) + 1).cast("int")
-    ranked = tokens.join(shared, "t").groupBy("sid", "n").agg(
+    ranked = tokens.join(shared, "t").groupBy("sid", "n", "_w").agg(
         F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ranked")
     ).withColumn("need", need).filter(F.size("ranked") >= F.col("need"))
     kept = F.size("ranked") - F.col("need") + F.least(F.col("need"), F.lit(2))
-    listed = ranked.withColumn("_head", F.slice("ranked", F.lit(1), kept)).withColumn(
-        "_often", F.filter("_head", lambda t: t["f"] > HOT_BUCKET)
-    ).withColumn("wide", (F.size("_often") > MOST_COMBINED) | (F.col("need") < 2))
+    often = F.filter("head", lambda t: t["f"] > HOT_BUCKET)
+    return ranked.withColumn("head", F.slice("ranked", F.lit(1), kept)).withColumn("often", often).select(
+        "sid", "head", "often",
+        ((F.size("often") > 2 * PAIRS_PER_TOKEN + 1) | (F.col("need") < 2)).alias("wide"),
+        (F.col("_w") - F.size("ranked")).alias("u"))
+
+
+def entries(listed: DataFrame) -> DataFrame:
+    """Index entries (sig, sid, wide, lone, label) from heads with the label of each set's component.
+
+    ``lone`` entries serve only pairs of which one set is ``wide``.
+    """
 
     def entry(kind: str, *tokens: Column) -> Column:
         return F.struct(F.xxhash64(F.lit(kind), *tokens).alias("sig"), F.lit(kind == "lone").alias("lone"))
 
-    rare = F.transform(F.filter("_head", lambda t: t["f"] <= HOT_BUCKET), lambda t: entry("rare", t["t"]))
-    lone = F.transform("_often", lambda t: entry("lone", t["t"]))
-    pairs = F.flatten(F.transform("_often", lambda a, i: F.transform(
-        F.slice("_often", i + 2, F.size("_often")),
+    rare = F.transform(F.filter("head", lambda t: t["f"] <= HOT_BUCKET), lambda t: entry("rare", t["t"]))
+    lone = F.transform("often", lambda t: entry("lone", t["t"]))
+    pairs = F.flatten(F.transform("often", lambda a, i: F.transform(
+        F.slice("often", i + 2, F.size("often")),
         lambda b: entry("pair", F.least(a["t"], b["t"]), F.greatest(a["t"], b["t"])))))
     none = F.array().cast("array<struct<sig:bigint,lone:boolean>>")
-    return listed.select("sid", "wide", F.size("ranked").alias("_c"), F.explode(F.concat(
+    return listed.select("sid", "wide", "label", F.explode(F.concat(
         rare, lone, F.when(F.col("wide"), none).otherwise(pairs))).alias("e")
-    ).select("sid", "wide", "_c", "e.sig", "e.lone")
+    ).select("sid", "wide", "label", "e.sig", "e.lone")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,14 +187,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Verified links (a, b) between distinct sets that connect all that belong together; links
     inside one component may be left out."""
-    found = scratch.store(entries(reps, percent), "entries")
+    listed = scratch.store(heads(reps, percent), "heads")
     release(scratch)
-    buckets = found.groupBy("sig").agg(F.count(F.lit(1)).alias("_size"), F.max("wide").alias("_wide"))
-    useful = buckets.filter("_size > 1").select("sig", "_wide", (F.col("_size") > HOT_BUCKET).alias("hot"))
-    members = scratch.store(
-        found.join(useful, "sig").filter("not lone or _wide").drop("_wide")
-        .join(reps.select("sid", "n", F.size("prefix").alias("_w"), *SKETCH), "sid")
-        .withColumn("u", F.col("_w") - F.col("_c")).drop("_w", "_c"), "members")
+    facts = reps.select("sid", "n", *SKETCH)
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.store(pairs.distinct(), f"{name}-candidates")
@@ -194,33 +200,37 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: S
         ).select(F.col("row").alias("sid"), F.size("tokens").alias("n"), "tokens"), f"{name}-sets")
         return scratch.store(verify(pairs, sets, percent), name)
 
-    # Every set of a large bucket against the bucket's pivot.
-    hot = members.filter("hot")
+    # Every set with a frequent token against the token's pivot.
     whole = ["u", "sid", "n", *SKETCH]
-    pivots = hot.groupBy("sig").agg(F.min(F.struct(*whole)).alias("y"))
-    star = hot.select("sig", F.struct(*whole).alias("x")).join(pivots, "sig").filter(
+    hot = listed.select("sid", "u", F.explode("often.t").alias("t")).join(facts, "sid")
+    pivots = hot.groupBy("t").agg(F.min(F.struct(*whole)).alias("y"))
+    star = hot.select("t", F.struct(*whole).alias("x")).join(pivots, "t").filter(
         (F.col("x.sid") != F.col("y.sid")) & reachable(percent))
     spokes = checked(star.select(
         F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")), "spokes")
     roots = components(spokes, scratch)
-    labelled = hot.join(roots, hot["sid"] == roots["node"], "left").withColumn(
-        "label", F.coalesce("root", "sid")).drop("node", "root")
-    main = labelled.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("sig").agg(
-        F.max_by("label", F.struct("_n", "label")).alias("main"))
-    labelled = scratch.store(labelled.join(main, "sig").withColumn("inner", F.col("label") == F.col("main")), "labelled")
+    # Buckets of one component give no new link. In the others the main component meets only
+    # the rest, and the rest itself.
+    labelled = listed.join(roots, F.col("sid") == F.col("node"), "left").withColumn(
+        "label", F.coalesce("root", "sid"))
+    found = scratch.store(entries(labelled), "entries")
+    by_label = found.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("_n"), F.max("wide").alias("_wide"))
+    useful = by_label.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("_labels"), F.max("_wide").alias("_wide"),
+        F.max(F.struct("_n", "label"))["label"].alias("main")).filter("_labels > 1")
+    members = scratch.store(
+        found.join(useful, "sig").filter("not lone or _wide").join(facts, "sid")
+        .withColumn("inner", F.col("label") == F.col("main")).drop("_wide", "_labels", "main"), "members")
 
     def joined(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
         lone = ~F.col("x.lone") | F.col("x.wide") | F.col("y.wide")
+        apart = F.col("x.label") != F.col("y.label")
         return left.alias("x").join(
-            right.alias("y"), (F.col("x.sig") == F.col("y.sig")) & lone & extra & reachable(percent)
+            right.alias("y"), (F.col("x.sig") == F.col("y.sig")) & lone & apart & extra & reachable(percent)
         ).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
-    cold = members.filter("not hot")
-    once = F.col("x.sid") < F.col("y.sid")
-    apart = F.col("x.label") != F.col("y.label")
-    outer = labelled.filter("not inner")
-    candidates = joined(cold, cold, once).union(joined(outer, outer, apart & once)).union(
-        joined(labelled.filter("inner"), outer, apart))
+    outer, inner = members.filter("not inner"), members.filter("inner")
+    candidates = joined(outer, outer, F.col("x.sid") < F.col("y.sid")).union(joined(inner, outer, F.lit(True)))
     return spokes.union(checked(candidates, "links"))
 
 
