@@ -20,7 +20,8 @@ HEADLINE = (
     "file_decisions", "skip_summary", "language_of_file", "secret_findings", "ignore_decisions",
     "tracked_union", "selected_files", "snapshot_delta", "exact_renames", "line_hunks",
     "merged_ranges", "sliced_blocks", "project_tree", "file_blocks", "numbered_blocks",
-    "repo_metrics", "artifact_by_repo", "unpack_roundtrip", "delta_export",
+    "repo_metrics", "artifact_by_repo", "unpack_roundtrip", "delta_export", "own_ignore_files",
+    "change_log_export", "token_budget", "change_context",
 )
 
 
@@ -38,6 +39,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", os.environ.get("QUIRE_CHECKPOINT_DIR", "/tmp/checkpoints/quire"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -47,18 +47,13 @@ LANGUAGE_BY_INTERPRETER = {
 
 # --- export modes: label and the sentence that ends the artifact header ------
 MODE_DESCRIPTIONS = {
-    "auto": "This document contains all the source code files from the current "
-            "directory subtree.",
-    "recursive": "This document contains all the source code files from the current "
-                 "directory subtree using the local filesystem walker.",
-    "worktree": "This document contains tracked files plus untracked, non-ignored files "
-                "from the current Git subtree.",
-    "staged": "This document contains staged files selected from the current Git subtree.",
-    "unstaged": "This document contains unstaged tracked files selected from the current "
-                "Git subtree.",
-    "diff": "This document contains files selected from the current Git subtree by the "
-            "requested Git diff range.",
-    "stdin": "This document contains files selected from caller-supplied stdin paths.",
+    "auto": "Below are the source files of this repository.",
+    "recursive": "Below are the source files found in the folders of this repository.",
+    "worktree": "Below are the tracked files, and new ones that no rule ignores.",
+    "staged": "Below are the files with staged changes.",
+    "unstaged": "Below are the tracked files with changes that are not staged.",
+    "diff": "Below are the files that differ between two states.",
+    "stdin": "Below are the files that a path list names.",
 }
 DELTA_MODES = ("staged", "unstaged", "diff")
 

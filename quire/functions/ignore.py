@@ -29,6 +29,14 @@ class IgnoreRuleError(ValueError):
     """A rule that can match nothing because nothing is left of it."""
 
 
+#: The character classes of bracket expressions.
+_CLASSES = {
+    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}",
+    "digit": r"\p{Digit}", "graph": r"\p{Graph}", "lower": r"\p{Lower}", "print": r"\p{Print}",
+    "punct": r"\p{Punct}", "space": r"\p{Space}", "upper": r"\p{Upper}", "xdigit": r"\p{XDigit}",
+}
+
+
 def _bracket(glob: str, start: int) -> tuple[str, int] | None:
     """Translate ``[...]`` beginning at ``start``; None when it is never closed."""
     i = start + 1
@@ -40,26 +48,38 @@ def _bracket(glob: str, start: int) -> tuple[str, int] | None:
     while i < len(glob):
         char = glob[i]
         if char == "]" and not first:
-            return f"[{'^/' if negate else ''}{''.join(out)}]", i + 1
+            if negate:
+                return f"[^/{''.join(out)}]", i + 1
+            # Java has no empty class: what holds no character matches nothing.
+            return f"[{''.join(out)}]" if out else "(?!)", i + 1
         first = False
         named = re.match(r"\[:([a-z]+):\]", glob[i:])
         if named:
-            out.append(rf"\p{{{named.group(1).capitalize()}}}" if named.group(1) != "xdigit"
-                       else r"\p{XDigit}")
+            # An unknown class holds no character.
+            out.append(_CLASSES.get(named.group(1), ""))
+            out = [piece for piece in out if piece]
             i += named.end()
             continue
-        if char == "\\" and i + 1 < len(glob):
-            i += 1
-            char = glob[i]
-        elif char == "-" and out and i + 1 < len(glob) and glob[i + 1] != "]":
-            out.append("-")
-            i += 1
+        char, i = _bracket_char(glob, i)
+        if i + 1 < len(glob) and glob[i] == "-" and glob[i + 1] != "]":
+            last, i = _bracket_char(glob, i + 1)
+            if char <= last:  # a reversed range holds no character
+                out.append(f"{_literal(char)}-{_literal(last)}")
             continue
-        out.append(f"\\{char}" if not char.isalnum() and char.isascii() else char)
-        i += 1
+        out.append(_literal(char))
     return None
 
 
+def _bracket_char(glob: str, i: int) -> tuple[str, int]:
+    if glob[i] == "\\" and i + 1 < len(glob):
+        i += 1
+    return glob[i], i + 1
+
+
+def _literal(char: str) -> str:
+    return f"\\{char}" if not char.isalnum() and char.isascii() else char
+
+
 def glob_regex(glob: str) -> str:
     """Java regular expression for one path segment."""
     out: list[str] = []

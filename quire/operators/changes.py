@@ -14,7 +14,7 @@ _RECORD = (
     r"\G\x00*(?:([RC][^\x00]*)\x00([^\x00]+)\x00([^\x00]+)\x00"
     r"|([^RC\x00][^\x00]*)\x00([^\x00]+)\x00)"
 )
-# Statuses that stand for a change to an existing file, printed as M.
+# Change types after reading; a status other than A, R and D counts as M.
 _KEPT_STATUSES = ("A", "M", "R")
 _TYPE_RANK = {"A": 1, "M": 2, "R": 3}
 
@@ -23,7 +23,8 @@ def parse_name_status(blobs: DataFrame) -> DataFrame:
     """NUL-separated change lists ``(repo, blob)`` to typed rows with ``parse_error``.
 
     A list that ends inside a record yields one row with ``parse_error`` and no path: nothing
-    of it can be trusted. Deletions and other statuses outside A, M and R are dropped.
+    of it can be trusted. Deletions are dropped; any status other than A and R counts as M, at
+    the new path of a copy.
     """
     blob = F.col("blob")
 
@@ -50,12 +51,13 @@ def parse_name_status(blobs: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("r.two") != "", F.col("r.two")).otherwise(F.col("r.one"))
     letter = F.left(status, F.lit(1))
-    renamed = F.col("r.two") != ""
-    return rows.filter(F.col("parse_error") | letter.isin(*_KEPT_STATUSES)).select(
+    two = F.col("r.two") != ""
+    kind = F.when(letter.isin("A", "R"), letter).when(letter.isNotNull(), F.lit("M"))
+    return rows.filter(F.col("parse_error") | (letter != "D")).select(
         "repo",
-        F.when(renamed, F.col("r.new")).otherwise(F.col("r.only")).alias("path"),
-        letter.alias("change_type"),
-        F.when(renamed, F.col("r.old")).alias("previous_path"),
+        F.when(two, F.col("r.new")).otherwise(F.col("r.only")).alias("path"),
+        kind.alias("change_type"),
+        F.when(two & (letter == "R"), F.col("r.old")).alias("previous_path"),
         "parse_error",
     )
 

@@ -67,18 +67,25 @@ def snapshot_changes(base: DataFrame, head: DataFrame, renames: bool = True) ->
 def line_hunks(pairs: DataFrame) -> DataFrame:
     """Changed line ranges of modified files, on the new side.
 
-    ``pairs`` is ``(repo, path, base_text, head_text)``. A line is kept when the other side
-    has the same line at the same occurrence number. Runs of new lines become
-    ``(start, count)``; a pure deletion becomes ``(line before it, 0)``. The result equals a
-    real diff as long as no line moves or repeats across an edit; hunks of real patches are
-    exact in every case.
+    ``pairs`` is ``(repo, path, base_text, head_text)``. Lines pair up with the same line at
+    the same occurrence number. Of these pairs only those are kept that cross no other: first
+    the ones that moved furthest, by rank, are let go, then whatever still crosses. So the kept
+    lines rise on both sides, and replacing the hunks turns base into head. Runs of new lines
+    become ``(start, count)``; a pure deletion becomes ``(line before it, 0)``. A last line
+    without a newline differs from one with it. Without moved lines the result equals a plain diff.
 
     Both sides of a file travel in one row, so all steps share one partitioning by file.
     """
 
     def lines(column: str, side: int):
+        text = F.col(column)
+        listed = split_lines(text)
+        ended = F.when(F.endswith(text, F.lit("\n")) | (text == ""), listed).otherwise(
+            F.concat(F.slice(listed, F.lit(1), F.size(listed) - 1),
+                     F.array(F.concat(F.element_at(listed, -1), F.lit("\n"))))
+        )
         return F.transform(
-            split_lines(F.col(column)),
+            ended,
             lambda line, i: F.struct(
                 F.lit(side).alias("side"), (i + 1).cast("bigint").alias("pos"), line.alias("line")
             ),
@@ -97,12 +104,25 @@ def line_hunks(pairs: DataFrame) -> DataFrame:
     partners = Window.partitionBy("repo", "path", "line", "_nth")
     in_order = Window.partitionBy("repo", "path", "side").orderBy("pos")
     on_head, kept = F.col("side") == 1, F.col("_kept")
+    in_file = Window.partitionBy("repo", "path")
+    by_target = Window.partitionBy("repo", "path", "side").orderBy(F.col("_head_pos").asc_nulls_first())
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    later = in_order.rowsBetween(1, Window.unboundedFollowing)
+    paired = F.when(~on_head, F.col("_head_pos"))
+    near = F.when((F.col("_most") < 2) | (F.col("_moved") * 2 <= F.col("_most")), paired)
+    free = F.coalesce(F.max("_near").over(earlier) < F.col("_near"), F.lit(True)) & F.coalesce(
+        F.min("_near").over(later) > F.col("_near"), F.lit(True))
     # Every deleted line takes the position of the kept line in front of it, 0 without one.
     placed = (
         both.withColumn("_nth", F.row_number().over(same))
-        .withColumn("_kept", F.count(F.lit(1)).over(partners) == 2)
-        .withColumn("_head_pos", F.max(F.when(on_head, F.col("pos"))).over(partners))
-        .drop("line", "_nth")
+        .withColumn("_head_pos", F.when(
+            F.count(F.lit(1)).over(partners) == 2, F.max(F.when(on_head, F.col("pos"))).over(partners)))
+        .withColumn("_moved", F.abs(F.count(paired).over(in_order) - F.count(paired).over(by_target)))
+        .withColumn("_most", F.max(F.when(paired.isNotNull(), F.col("_moved"))).over(in_file))
+        .withColumn("_near", near)
+        .withColumn("_free", F.col("_near").isNotNull() & free)
+        .withColumn("_kept", F.max(F.when(~on_head, F.col("_free")).otherwise(False)).over(partners))
+        .drop("line", "_nth", "_moved", "_most", "_near", "_free")
         .withColumn(
             "_at",
             F.when(on_head, F.col("pos")).otherwise(

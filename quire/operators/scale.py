@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,8 +16,8 @@ HOT_KEY_PIECES = 64
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's shared checkpoint folder.
 
-    Only a local session without one gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so a missing setting is an error.
+    A machine-local folder would be lost with its machine, so a missing setting is an error, in
+    local sessions as well.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -26,8 +25,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
 

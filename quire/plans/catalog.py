@@ -61,6 +61,10 @@ DEEP_RULES = IgnoreRules([
 PRUNE_RULES = IgnoreRules(["vendor/", "!vendor/keep/", "*.tmp", "/apps/**/gen/", "docs/**"])
 
 
+#: A size limit that admits every text, where the limit is not what a query shows.
+WHOLE = 2**31 - 1
+
+
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return corpora.table(spark, sf_dir, "documents").select(*columns)
 
@@ -95,10 +99,10 @@ def selected_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def binary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short texts with a growing number of control characters around the limit."""
+    """Whole texts with a number of control characters around the limit of 3 %."""
     head = F.concat(
-        F.substring("text", 1, 97),
-        F.expr("repeat(chr(7), cast(doc_id % 6 AS int))"),
+        F.col("text"),
+        F.expr("repeat(chr(7), cast(greatest(0, octet_length(text) * 3 div 97 + doc_id % 6 - 2) AS int))"),
         F.expr("CASE WHEN doc_id % 29 = 0 THEN chr(0) ELSE chr(9) END"),
     )
     return _documents(spark, sf_dir, "doc_id", head.alias("t")).select(
@@ -178,7 +182,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _odd_path() -> str:
     return (
-        "concat('a*b/', source, '/[', substring(text, 1, 40), ']', chr(9), '<&>', chr(92), "
+        "concat('a*b/', source, '/[', text, ']', chr(9), '<&>', chr(92), "
         "CASE WHEN doc_id % 5 = 0 THEN chr(7) ELSE '`' END)"
     )
 
@@ -283,7 +287,7 @@ def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = select_files(
         corpora.plain_document_files(spark, sf_dir), path_list(spark, sf_dir)
     )
-    return entries(chosen, ExportOptions(mode="stdin")).select("repo", "path", "n_bytes")
+    return entries(chosen, ExportOptions(mode="stdin", max_file_bytes=WHOLE)).select("repo", "path", "n_bytes")
 
 
 def subtree_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +318,7 @@ def change_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = change_ops.export_changes(
         delta.snapshot_changes(corpora.base_snapshot(spark, sf_dir), head, renames=False)
     )
-    accepted = entries(head, ExportOptions(mode="staged", max_file_bytes=4_096))
+    accepted = entries(head, ExportOptions(mode="staged", max_file_bytes=WHOLE))
     survivors = change_ops.surviving_changes(changes, accepted)
     return change_ops.change_context(survivors).select("repo", "line")
 
@@ -328,7 +332,7 @@ def hunks_from_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = entries(
-        corpora.plain_document_files(spark, sf_dir), ExportOptions(mode="staged")
+        corpora.plain_document_files(spark, sf_dir), ExportOptions(mode="staged", max_file_bytes=WHOLE)
     )
     return hunk_ops.render_ranges(
         hunk_ops.hunks_from_patches(corpora.patches(spark, sf_dir)), described, 1

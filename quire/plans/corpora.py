@@ -174,8 +174,8 @@ PATCH = f"""CASE WHEN doc_id % 97 = 0 THEN concat('@@ -1 @@ broken', chr(10))
   '@@ -3 +', cast(3 + doc_id % 17 AS string), ' @@', chr(13), chr(10),
   '@@ -40,0 +', cast(12 + doc_id % 90 AS string), ',2 @@', chr(10)) END"""
 
-PATH_LIST = f"""concat('doc/', {_ID}, '.txt', chr(13), chr(10), chr(10),
- './doc/', cast(doc_id - doc_id % 2 AS string), '.txt', chr(10), 'missing/', {_ID}, '.c')"""
+PATH_LIST = f"""concat(CASE WHEN doc_id % 3 = 0 THEN concat('doc/', {_ID}, '.txt', chr(13), chr(10), chr(10),
+ './doc/', cast(doc_id - doc_id % 2 AS string), '.txt', chr(10)) ELSE '' END, 'missing/', {_ID}, '.c')"""
 
 
 def change_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,8 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A path list per third document: its file, the even one next to it and a missing one."""
-    return table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(
+    """A path list per document: a missing file, and on every third also its own and the even
+    one next to it."""
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("repo"), F.expr(PATH_LIST).alias("blob")
     )

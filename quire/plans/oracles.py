@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from quire import constants as C
 from quire.plans import catalog, corpora
 
 NL = "chr(10)"
@@ -68,19 +69,9 @@ DECIDED = f"""decided AS (SELECT *, strlen(body) AS size,
   WHEN {binary('body')} THEN 'binary'
   WHEN {FIRST_SECRET} IS NOT NULL THEN 'sensitive_content' END AS skip_reason FROM vf)"""
 
-EXTENSIONS = (
-    "c:c h:c cpp:cpp cc:cpp cxx:cpp hpp:cpp py:python js:javascript jsx:javascript ts:typescript "
-    "tsx:typescript html:html css:css java:java php:php sql:sql xml:xml json:json md:markdown "
-    "sh:bash yml:yaml yaml:yaml go:go rs:rust kt:kotlin cs:csharp rb:ruby lua:lua toml:toml "
-    "ini:ini dockerfile:dockerfile makefile:makefile cmake:cmake swift:swift m:objective-c "
-    "mm:objective-c ps1:powershell bat:batch r:r scala:scala proto:protobuf"
-)
-LANG_ROWS = ", ".join("('{}', '{}')".format(*pair.split(":")) for pair in EXTENSIONS.split())
-INTERPRETERS = (
-    "python:python python3:python bash:bash sh:bash zsh:bash node:javascript nodejs:javascript "
-    "ruby:ruby perl:perl lua:lua pwsh:powershell powershell:powershell"
-)
-INTERPRETER_ROWS = ", ".join("('{}', '{}')".format(*p.split(":")) for p in INTERPRETERS.split())
+LANG_ROWS = ", ".join(f"('{ext}', '{lang}')" for ext, lang in {
+    **C.LANGUAGE_BY_EXTENSION, **C.LANGUAGE_BY_FILE_NAME}.items())
+INTERPRETER_ROWS = ", ".join(f"('{word}', '{lang}')" for word, lang in C.LANGUAGE_BY_INTERPRETER.items())
 HEADER_WORD = (
     "regexp_extract(regexp_extract({0}, '^#![^\\n\\r]*'), "
     "'^#![ \\t]*(?:(?:[^ \\t]*/)?env[ \\t]+)?(?:[^ \\t]*/)?([^ \\t/]+)', 1)"
@@ -145,10 +136,7 @@ def header(mode: str, flags: str, description: str) -> str:
     )
 
 
-SCAN_TEXT = (
-    "This document contains all the source code files from the current directory subtree using "
-    "the local filesystem walker."
-)
+SCAN_TEXT = "Below are the source files found in the folders of this repository."
 
 # --- tree: expects "acc(repo, path)" -----------------------------------------
 TREE = """parts AS (SELECT DISTINCT repo, string_split(path, '/') AS p FROM acc),
@@ -304,17 +292,33 @@ renamed AS (SELECT a.repo, a.path, 'R' AS change_type, d.path AS previous_path
 
 
 def numbered(name: str, source: str) -> str:
+    """Lines with their number; a last line without a newline differs from one with it."""
+    marked = (
+        f"CASE WHEN body = '' THEN [] WHEN ends_with(body, {NL}) THEN {lines_of('body')} "
+        f"ELSE list_concat(list_slice(string_split(body, {NL}), 1, -2), "
+        f"[concat(string_split(body, {NL})[-1], {NL})]) END"
+    )
     return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY repo, path, line ORDER BY pos) AS nth
   FROM (SELECT repo, path, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos
-    FROM (SELECT repo, path, {lines_of('body')} AS ls FROM {source})))"""
+    FROM (SELECT repo, path, {marked} AS ls FROM {source})))"""
 
 
 # Changed lines between "old" and "new", both (repo, path, body).
 HUNKS = f"""{numbered('ol', 'old')}, {numbered('nl', 'new')},
-n_marked AS (SELECT n.repo, n.path, n.pos, o.pos IS NULL AS fresh FROM nl n
-  LEFT JOIN ol o ON o.repo = n.repo AND o.path = n.path AND o.line = n.line AND o.nth = n.nth),
-o_marked AS (SELECT o.repo, o.path, o.pos, n.pos AS npos FROM ol o
+o_all AS (SELECT o.repo, o.path, o.pos, n.pos AS npos FROM ol o
   LEFT JOIN nl n ON o.repo = n.repo AND o.path = n.path AND o.line = n.line AND o.nth = n.nth),
+o_off AS (SELECT *, CASE WHEN npos IS NOT NULL THEN abs(
+    count(npos) OVER (PARTITION BY repo, path ORDER BY pos)
+    - count(npos) OVER (PARTITION BY repo, path ORDER BY npos NULLS FIRST)) END AS moved FROM o_all),
+o_near AS (SELECT *, CASE WHEN most < 2 OR moved * 2 <= most THEN npos END AS near FROM (
+  SELECT *, max(moved) OVER (PARTITION BY repo, path) AS most FROM o_off)),
+o_marked AS (SELECT repo, path, pos, CASE WHEN coalesce(max(near) OVER (
+    PARTITION BY repo, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < near, true)
+  AND coalesce(min(near) OVER (
+    PARTITION BY repo, path ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) > near, true)
+  THEN near END AS npos FROM o_near),
+n_marked AS (SELECT n.repo, n.path, n.pos, o.pos IS NULL AS fresh FROM nl n
+  LEFT JOIN o_marked o ON o.repo = n.repo AND o.path = n.path AND o.npos = n.pos),
 gone AS (SELECT repo, path, npos, coalesce(last_value(npos IGNORE NULLS) OVER (
   PARTITION BY repo, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
   FROM o_marked),
@@ -387,7 +391,7 @@ SCAN_PIECES = f"{FILES}, {artifact(FULL_BLOCK)}"
 NUMBERED_PIECES = f"{FILES}, {artifact(NUMBERED_BLOCK, f'{NL}, ' + chr(39) + 'Line numbers: on' + chr(39) + ',')}"
 
 HUNK_FLAGS = f"{NL}, 'Hunks: on (context: 2)',"
-STAGED_TEXT = "This document contains staged files selected from the current Git subtree."
+STAGED_TEXT = "Below are the files with staged changes."
 CHANGE_LINE = (
     f"concat('- ', change_type, ' ', CASE WHEN change_type = 'R' THEN concat("
     f"{markdown('previous_path')}, ' -> ') ELSE '' END, {markdown('path')}, {NL})"
@@ -444,10 +448,7 @@ pieces AS (SELECT repo, 0 AS section,
   FROM shown
  UNION ALL SELECT repo, 4, {NUMBERED_BLOCK} FROM acc)"""
 
-DIFF_TEXT = (
-    "This document contains files selected from the current Git subtree by the requested Git diff "
-    "range."
-)
+DIFF_TEXT = "Below are the files that differ between two states."
 LOG_PIECES = f"""{PLAIN},
 listed AS (SELECT p.repo, p.path, p.body,
   CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'R' ELSE 'M' END AS change_type,
@@ -465,7 +466,6 @@ pieces AS (SELECT repo, 0 AS section, {header('diff', '', DIFF_TEXT)} AS body FR
   FROM shown
  UNION ALL SELECT repo, 4, {FULL_BLOCK} FROM acc)"""
 
-_CUT = 97
 ORACLES: dict[str, str] = {
     "file_decisions": _with(f"{VF}, {DECIDED}", f"""SELECT repo, path, size, skip_reason,
  CASE WHEN skip_reason = 'sensitive_content' THEN {FIRST_SECRET} END AS matched_rule,
@@ -486,7 +486,7 @@ ORACLES: dict[str, str] = {
   THEN 'too_large' WHEN body = '' THEN 'empty' WHEN {binary('body')} THEN 'binary'
   ELSE 'accepted' END AS reason FROM vf) GROUP BY ALL"""),
     "binary_text": f"""SELECT doc_id, {binary('t')} AS is_binary FROM (SELECT doc_id,
- concat(left(text, {_CUT}), repeat(chr(7), doc_id % 6),
+ concat(text, repeat(chr(7), greatest(0, strlen(text) * 3 // 97 + doc_id % 6 - 2)),
   CASE WHEN doc_id % 29 = 0 THEN chr(0) ELSE chr(9) END) AS t FROM documents)""",
     "sensitive_names": f"""SELECT doc_id, path, {SENSITIVE_NAME.format(BASE)} AS is_sensitive
  FROM (SELECT doc_id, {catalog.corpora_name_sql()} AS path FROM documents)""",
@@ -539,9 +539,9 @@ ORACLES: dict[str, str] = {
     "path_list": """SELECT DISTINCT source AS repo, path FROM (
  SELECT source, concat('doc/', doc_id, '.txt') AS path FROM documents WHERE doc_id % 3 = 0
  UNION ALL SELECT source, concat('./doc/', doc_id - doc_id % 2, '.txt') FROM documents WHERE doc_id % 3 = 0
- UNION ALL SELECT source, concat('missing/', doc_id, '.c') FROM documents WHERE doc_id % 3 = 0)""",
+ UNION ALL SELECT source, concat('missing/', doc_id, '.c') FROM documents)""",
     "selected_files": _with(PLAIN, f"""SELECT p.repo, p.path, strlen(body) AS n_bytes FROM pf p
- WHERE strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL
+ WHERE body <> '' AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL
  AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 3 = 0 AND d.source = p.repo
   AND p.path IN (concat('doc/', d.doc_id, '.txt'), concat('doc/', d.doc_id - d.doc_id % 2, '.txt')))"""),
     "subtree_scope": """SELECT DISTINCT source AS repo, concat(doc_id, '.c') AS path, 'R' AS change_type,
@@ -556,7 +556,7 @@ ORACLES: dict[str, str] = {
     "exact_renames": _with(f"{SNAPSHOTS}, {RENAMES}", "SELECT * FROM renamed"),
     "change_context": _with(SNAPSHOTS, f"""SELECT d.repo, concat('- ', change_type, ' ', d.path) AS line
  FROM delta d JOIN head h ON h.repo = d.repo AND h.path = d.path WHERE change_type <> 'D'
- AND strlen(body) BETWEEN 1 AND 4096 AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL"""),
+ AND body <> '' AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL"""),
     "hunks_from_patch": _with(PATCH_HUNKS, """SELECT *, false AS parse_error FROM hunks
  UNION ALL SELECT repo, path, NULL, NULL, true FROM patches WHERE doc_id % 97 = 0"""),
     "render_ranges": _with(FROM_PATCHES, "SELECT * FROM rr"),

@@ -32,11 +32,14 @@ def read_binary_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
         .option("ignoreCorruptFiles", "true")
         .load(root)
     )
-    prefix = "file:" + os.path.abspath(root).rstrip("/") + "/" if "://" not in root and \
-        not root.startswith("file:") else root.rstrip("/") + "/"
+    # The file system says how it writes its paths; only what follows the scheme is compared.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    inside = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
     return rows.select(
         F.lit(repo).alias("repo"),
-        F.substr("path", F.lit(len(prefix) + 1)).alias("path"),
+        F.substr(inside, F.lit(len(prefix) + 1)).alias("path"),
         "content",
         F.col("length").alias("size"),
         F.lit("file").alias("kind"),

@@ -26,7 +26,7 @@ BLOBS = [
     ("", []),
     ("\0\0M\0x\0\0", [("M", "x", None)]),
     ("D\0gone\0M\0Reader\0", [("M", "Reader", None)]),
-    ("C100\0from\0to\0T\0mode\0M\0z\0", [("M", "z", None)]),
+    ("C100\0from\0to\0T\0mode\0M\0z\0", [("M", "to", None), ("M", "mode", None), ("M", "z", None)]),
     ("M\0a.c\0R100\0old.c\0", None), ("M\0a.c", None), ("A\0", None), ("A\0\0", None),
     ("M\0tab\there\nline\0", [("M", "tab\there\nline", None)]),
 ]

@@ -134,3 +134,25 @@ def test_many_copies_pair_one_to_one(make_files, copies):
     assert {(r.path, r.previous_path) for r in pairs} == {
         (f"new/{i:04d}", f"old/{i:04d}") for i in range(copies - 100)
     }
+
+
+def rebuilt(before, after, hunks):
+    """Head lines outside the hunks must come from base in order, and every edit must show."""
+    inside = {n for start, count in hunks for n in range(start, start + count)}
+    rest = iter(before)
+    return all(line in rest for n, line in enumerate(after, 1) if n not in inside)
+
+
+def test_moved_and_repeated_lines_are_complete(spark):
+    rng = random.Random(5)
+    texts = [("a\nb\nc\n", "b\na\nc\n"), ("a\nb", "a\nb\n"), ("a\nb\n", "a\nb")]
+    for _ in range(300):
+        before = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))]
+        after = list(before)
+        for _ in range(rng.randint(1, 4)):
+            line = after.pop(rng.randrange(len(after))) if after else "x"
+            after.insert(rng.randint(0, len(after)), line if rng.random() < 0.7 else "new")
+        texts.append(("".join(x + "\n" for x in before), "".join(x + "\n" for x in after)))
+    for (before, after), hunks in zip(texts, hunk_rows(spark, texts), strict=True):
+        assert bool(hunks) == (before != after)
+        assert rebuilt(before.splitlines(True), after.splitlines(True), hunks)
