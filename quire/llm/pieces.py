@@ -26,7 +26,7 @@ LITERAL = "\ud800"
 #: What a character outside the vocabulary costs below the least likely piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose segmentations a Python worker remembers.
-CACHE_CHUNKS = 100_000
+CACHE_CHUNKS = 250_000
 NBEST = 4
 
 
@@ -119,11 +119,58 @@ def search(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[float, tupl
     return found
 
 
+def best_path(vocabulary: Vocabulary, chunk: str) -> tuple[tuple[int, ...], float, float]:
+    """Ids and score of the best segmentation, and how much the second best loses.
+
+    The second best holds a piece that is not on the best path; forward and backward scores give
+    the best path through every piece.
+    """
+    known, size = vocabulary.pieces.get, len(chunk)
+    ahead, came = [0.0] * (size + 1), [None] * (size + 1)
+    arcs = []
+    for end in range(1, size + 1):
+        top, via = float("-inf"), None
+        for start in range(end - vocabulary.longest if end > vocabulary.longest else 0, end):
+            piece = known(chunk[start:end])
+            if piece is not None:
+                arc = (start, end, piece[1], piece[0])
+                arcs.append(arc)
+                if ahead[start] + piece[1] > top:
+                    top, via = ahead[start] + piece[1], arc
+        if known(chunk[end - 1]) is None:
+            arc = (end - 1, end, vocabulary.unknown, -1)
+            arcs.append(arc)
+            if ahead[end - 1] + vocabulary.unknown > top:
+                top, via = ahead[end - 1] + vocabulary.unknown, arc
+        ahead[end], came[end] = top, via
+    behind = [float("-inf")] * size + [0.0]
+    for start, end, score, _ in reversed(arcs):
+        if behind[end] + score > behind[start]:
+            behind[start] = behind[end] + score
+    path, at = [], size
+    while at:
+        path.append(came[at])
+        at = came[at][0]
+    total, chosen, second = ahead[size], set(path), float("-inf")
+    for arc in arcs:
+        through = ahead[arc[0]] + arc[2] + behind[arc[1]]
+        if through > second and arc not in chosen:
+            second = through
+    ids = []
+    for start, _, _, number in reversed(path):
+        if number >= 0:
+            ids.append(number)
+        else:
+            raw = SPACE if chunk[start] == LITERAL else chunk[start]
+            ids.extend(vocabulary.bytes_[b] for b in raw.encode())
+    return tuple(ids), total, total - second
+
+
 def segment(vocabulary: Vocabulary, text: str, n: int = NBEST) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of a text; an empty text has one, without pieces.
 
     A combination among the best ``n`` changes only chunks whose change alone is among the best
-    ``n - 1``; these few are combined.
+    ``n - 1``; these few are searched for their own best and combined.
     """
     if not text:
         return [(0.0, [])]
@@ -137,9 +184,7 @@ def segment(vocabulary: Vocabulary, text: str, n: int = NBEST) -> list[tuple[flo
         if entry is None:
             if len(cache) >= CACHE_CHUNKS:
                 cache.clear()
-            ranked = search(vocabulary, chunk, n)
-            second = ranked[0][0] - ranked[1][0] if len(ranked) > 1 else float("inf")
-            entry = cache[chunk] = (ranked[0][1], ranked[0][0], second, ranked)
+            entry = cache[chunk] = best_path(vocabulary, chunk)
         found.append(entry)
     base = sum([e[1] for e in found])
     results = [(base, list(chain.from_iterable([e[0] for e in found])))]
@@ -150,16 +195,16 @@ def segment(vocabulary: Vocabulary, text: str, n: int = NBEST) -> list[tuple[flo
     if len(losses) >= n:
         cut = np.partition(losses, n - 2)[n - 2]
         near = sorted(np.flatnonzero(losses <= cut).tolist(), key=lambda i: (losses[i], i))[: n - 1]
-    combined: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+    combined: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
     for place in sorted(near):
-        ranked = found[place][3]
-        combined = heapq.nsmallest(n, (
-            (loss + ranked[0][0] - ranked[k][0], (*changes, (place, k)) if k else changes)
-            for loss, changes in combined for k in range(len(ranked))))
+        ids, top, _ = found[place]
+        others = [(top - score, other) for score, other in search(vocabulary, chunks[place], n) if other != ids]
+        combined = heapq.nsmallest(n, chain(combined, (
+            (loss + more, (*changes, (place, other))) for loss, changes in combined for more, other in others[: n - 1])))
     for loss, changes in combined[1:n]:
         picked = [e[0] for e in found]
-        for place, k in changes:
-            picked[place] = found[place][3][k][1]
+        for place, other in changes:
+            picked[place] = other
         results.append((base - loss, list(chain.from_iterable(picked))))
     return results
 
