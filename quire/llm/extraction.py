@@ -39,6 +39,8 @@ CLOSES = {
 #: A path is content when its fused ratio reaches this share of the page's largest.
 THRESHOLD = 0.1
 MARKS = re.compile(r"[,.;:!?、。，！？…]")
+#: A tag that the end of the page cuts off.
+CUT = re.compile(r"<[A-Za-z/!?][^<>]*$")
 NAMES = re.compile(r"[a-z0-9]+")
 
 
@@ -163,7 +165,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Blocks()
-    page.feed(html)
+    page.feed(CUT.sub("", html))
     page.close()
     if not page.found:
         return ""

@@ -179,11 +179,11 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str =
 
     ``df`` is read twice and must number its rows alike each time, as a scan of stored files does.
     """
-    copies = mix(df, key, text, source).filter("copies > 0").select(F.col("row").alias("_row"), "copies")
+    copies = mix(df, key, text, source).filter("copies > 0").select("row", "copies")
     if df.count() * 16 <= BROADCAST_BYTES:
         copies = F.broadcast(copies)
-    return (
-        df.withColumn("_row", F.monotonically_increasing_id()).join(copies, "_row")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in df.columns])
-    )
+    # The columns travel as one, so their names cannot clash.
+    numbered = df.select(
+        F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"))
+    repeated = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return numbered.join(copies, "row").select("all", repeated).select("all.*")

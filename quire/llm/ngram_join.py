@@ -285,8 +285,10 @@ def without_near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
     """One row of each group of near-duplicates, with all columns: the one with the smallest key."""
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    dropped = near_duplicates(df, key, text, size, percent).filter("not keeper").select(F.col("row").alias("_row"))
+    # The columns travel as one, so their names cannot clash.
+    numbered = df.select(
+        F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"))
+    dropped = near_duplicates(df, key, text, size, percent).filter("not keeper").select("row")
     if dropped.count() * 16 <= BROADCAST_BYTES:
         dropped = F.broadcast(dropped)
-    return numbered.join(dropped, "_row", "left_anti").drop("_row")
+    return numbered.join(dropped, "row", "left_anti").select("all.*")

@@ -269,5 +269,5 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         return let(walked, lambda w: F.concat(w["out"], F.substring(
             F.col(text), (w["at"] + 1).cast("int"), F.lit(2**31 - 1))))
 
-    return df.withColumn("_spans", spans).withColumn(text, F.when(
-        F.size("_spans") > 0, let(F.col("_spans"), cleaned)).otherwise(F.col(text))).drop("_spans")
+    return df.withColumn(text, let(spans, lambda s: F.when(
+        F.size(s) > 0, cleaned(s)).otherwise(F.col(text))))
