@@ -50,4 +50,45 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_warc, op3_sentencepiece, op4_secret_scans, op5_mixing, op6_sharding,
     op7_substring_dedup, op8_html_extraction, op9_ngram_join, op10_embedding_near_dedup,
 )}
-ORACLES: dict[str, str] = {}
+#: op1, op3, op4, op5, op6 and op8 are held against brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op2_warc": r"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY s, n) AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest,
+ CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM m""",
+    "op7_substring_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+hit AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS low FROM g) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM hit),
+gl AS (SELECT doc_id, list(pos) AS ps FROM gone GROUP BY doc_id),
+k AS (SELECT w.doc_id, ws, coalesce(ps, []) AS ps FROM w LEFT JOIN gl ON gl.doc_id = w.doc_id),
+x AS (SELECT doc_id, pos, ws[pos] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM k)),
+y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS kept FROM x
+  ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.pos = x.pos GROUP BY x.doc_id)
+SELECT k.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed,
+ sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN y ON y.doc_id = k.doc_id""",
+    "op9_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS g FROM w),
+t AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM t a JOIN t b ON a.gram = b.gram AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN m ON m.a = s.doc_id""",
+    "op10_embedding_near_dedup": r"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.vec_id""",
+}
