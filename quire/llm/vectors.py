@@ -24,12 +24,14 @@ from quire.llm.components import components
 BLOCKS = 4
 #: Vectors of one side that a task compares; cells with more are cut into tiles.
 TILE = 16_384
-#: Rows of a tile that are multiplied at a time.
-STRIP = 512
+#: Rows of a tile that are multiplied at a time, and columns; the products stay in a core's cache.
+STRIP, ACROSS = 512, 2048
 #: Coordinates whose signs make the cells of a block, at most.
 MOST_SIGNS = 12
 #: Rounding allowance on squared distances.
 SLACK = 1e-6
+#: The same for the first look at a tile, which is taken in single precision.
+ROUGH = 1e-5
 
 VISITS = "block int, cell int, home boolean, gid bigint"
 FOUND = "a bigint, b bigint, n bigint"
@@ -126,16 +128,17 @@ def compare(homes: pd.DataFrame, guests: pd.DataFrame, block: int, s: Subspaces)
     ra, rb = s.rotate(a), s.rotate(b)
     ga, gb, times = homes["gid"].to_numpy(), guests["gid"].to_numpy(), guests["m"].to_numpy()
     dims = s.dims[block]
+    # One product tells who is near: x.y - (|x|^2 + |y|^2 - budget) / 2 is negative beyond the budget.
     ha, hb = ra[:, dims], rb[:, dims]
-    limit = np.float64(s.budgets[block] + SLACK)
-    lengths = (hb * hb).sum(axis=1)
+    limit = s.budgets[block] + SLACK + ROUGH
+    ha = np.column_stack([ha, (limit - (ha * ha).sum(axis=1)) / 2, np.ones(len(ha))]).astype(np.float32)
+    hb = np.column_stack([hb, np.ones(len(hb)), (hb * hb).sum(axis=1) / -2]).astype(np.float32)
     counts = np.zeros(len(a), dtype=np.int64)
     forest = Forest()
-    for low in range(0, len(a), STRIP):
-        part = ha[low : low + STRIP]
-        near = (lengths - 2.0 * (part @ hb.T)) <= (limit - (part * part).sum(axis=1))[:, None]
-        at, to = np.nonzero(near)
-        at += low
+    for low, left in ((i, j) for i in range(0, len(a), STRIP) for j in range(0, len(b), ACROSS)):
+        near = ha[low : low + STRIP] @ hb[left : left + ACROSS].T >= 0
+        at, to = np.divmod(np.flatnonzero(near), near.shape[1])
+        at, to = at + low, to + left
         for cut in range(0, len(at), 1 << 17):
             i, j = at[cut : cut + (1 << 17)], to[cut : cut + (1 << 17)]
             other = ga[i] != gb[j]
