@@ -53,14 +53,18 @@ def with_own_rules(
     options: ExportOptions,
     broadcast_bytes: int = BROADCAST_RULE_BYTES,
     min_hot_rows: int = HOT_KEY_ROWS,
+    compiled: DataFrame | None = None,
 ) -> DataFrame:
     """``files`` with the compiled rules of their repository.
 
     Repositories without an ignore file get the shared rules. The rule texts are measured
     first: a small table is broadcast and file bodies do not move; a large one is joined by
-    repository, with repositories of a million files or more split over many tasks.
+    repository, with repositories of a million files or more split over many tasks. ``compiled``
+    is the stored result of :func:`compile_ignore_files` where the caller has it already.
     """
-    rules = stored(compile_ignore_files(ignore_files, options)).select(
+    if compiled is None:
+        compiled = stored(compile_ignore_files(ignore_files, options))
+    rules = compiled.select(
         "repo", F.col("rules").alias(OWN_RULES)
     )
     size = rules.select(

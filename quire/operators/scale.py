@@ -153,9 +153,18 @@ def narrow_by_keys(
     ``broadcast_bytes`` they are broadcast, so large rows are filtered where they are read;
     beyond that both sides are shuffled.
     """
+    return big.join(_measured_keys(keys, on, broadcast_bytes), on, "left_semi")
+
+
+def without_keys(
+    big: DataFrame, keys: DataFrame, on: list[str], broadcast_bytes: int = BROADCAST_KEY_BYTES
+) -> DataFrame:
+    """Rows of ``big`` whose key is not in ``keys``; otherwise as :func:`narrow_by_keys`."""
+    return big.join(_measured_keys(keys, on, broadcast_bytes), on, "left_anti")
+
+
+def _measured_keys(keys: DataFrame, on: list[str], broadcast_bytes: int) -> DataFrame:
     known = keys.select(*on).distinct()
     lengths = [F.octet_length(F.col(key).cast("string")) + 16 for key in on]
     size = known.agg(F.sum(sum(lengths[1:], lengths[0]))).head()[0] or 0
-    if size <= broadcast_bytes:
-        known = F.broadcast(known)
-    return big.join(known, on, "left_semi")
+    return F.broadcast(known) if size <= broadcast_bytes else known

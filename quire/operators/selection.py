@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.ignore import IgnoreRules
 from quire.functions.paths import display_path, scope_path
+from quire.operators.scale import narrow_by_keys, stored, without_keys
 
 
 def path_records(blob: Column, null_delimited: bool = False) -> Column:
@@ -42,6 +43,38 @@ def select_files(files: DataFrame, selected: DataFrame) -> DataFrame:
     )
 
 
+def shown_paths(rows: DataFrame) -> DataFrame:
+    """Rows with paths, and previous paths, as an artifact shows them: without a leading ``./``."""
+    names = [c for c in ("path", "previous_path") if c in rows.columns]
+    return rows.withColumns({c: display_path(F.col(c)) for c in names})
+
+
+def one_per_path(files: DataFrame) -> DataFrame:
+    """``files`` under their shown paths, one row per repository and path.
+
+    Of rows that share a shown path the one whose path needs no change stays, then the one of the
+    first kind by name, the smallest and the one with the first digest; equal rows become one.
+    Only paths are counted first. Where none is repeated, which is usual, bodies stay in place;
+    otherwise only the repeated rows move, and partial aggregation leaves one per key and task.
+    """
+    key = ["repo", "path"]
+    shown = shown_paths(files)
+    counts = shown.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = stored(counts.filter("_n > 1").select(*key))
+    if repeated.isEmpty():
+        return shown
+    rank = F.struct(
+        (F.col("path") != display_path(F.col("path"))).alias("changed"), F.col("kind"), F.col("size"),
+        F.sha2("content", 256).alias("digest"))
+    ranked = files.select(*shown.columns, rank.alias("_rank")).withColumn("path", display_path(F.col("path")))
+    rest = [c for c in shown.columns if c not in key]
+    chosen = (
+        narrow_by_keys(ranked, repeated, key)
+        .groupBy(*key).agg(F.min_by(F.struct(*rest), "_rank").alias("_file"))
+        .select(*key, "_file.*").select(*shown.columns))
+    return without_keys(shown, repeated, key).unionByName(chosen)
+
+
 def distinct_changes(changes: DataFrame) -> DataFrame:
     """Distinct change records. One path under two change types stays two records."""
     columns = [c for c in ("repo", "path", "change_type", "previous_path") if c in changes.columns]

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from quire.operators import changes as change_ops
 from quire.operators import delta, hunks as hunk_ops
 from quire.operators.decisions import decisions, describe, entries, skip_counters
-from quire.operators.ignore_files import with_own_rules
+from quire.operators.ignore_files import compile_ignore_files, with_own_rules
 from quire.operators.metrics import artifact_metrics, require_budget, within_budget
 from quire.operators.render import blocks
-from quire.operators.scale import narrow_by_keys, stored
-from quire.operators.selection import distinct_changes, select_files
+from quire.operators.scale import narrow_by_keys, stored, without_keys
+from quire.operators.selection import distinct_changes, one_per_path, select_files, shown_paths
 from quire.operators.unpack import STATUS_OK, unpack
 from quire.options import ExportOptions
 from quire.sinks.artifact import artifact_parts, write_artifacts
@@ -32,6 +32,8 @@ class Export:
     chosen: DataFrame
     entries: DataFrame
     changes: DataFrame | None = None
+    #: ``(repo, rule_error)`` of repositories left out because their ignore file cannot be used.
+    rule_errors: DataFrame | None = None
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -79,6 +81,9 @@ def export_files(
 
     ``ignore_files`` ``(repo, text)`` adds each repository's own ignore file to a scan;
     :func:`quire.operators.ignore_files.root_ignore_files` takes them from ``files``.
+    A repository whose ignore file has an invalid rule gets no artifact, as files meant to stay out
+    could not be told; ``rule_errors`` names it. A path that occurs several times counts once, as
+    :func:`quire.operators.selection.one_per_path` chooses.
     """
     if options.is_delta:
         raise ValueError("use export_changes or export_snapshots for delta modes")
@@ -86,12 +91,18 @@ def export_files(
         raise ValueError(f"mode {options.mode} {'takes no' if options.scans else 'needs'} paths")
     if ignore_files is not None and not options.scans:
         raise ValueError("ignore files apply to a scan only")
+    compiled = errors = None
+    if ignore_files is not None:
+        compiled = stored(compile_ignore_files(ignore_files, options))
+        errors = compiled.filter("rule_error IS NOT NULL").select("repo", "rule_error")
+        files = without_keys(files, errors, ["repo"])
+    files = one_per_path(files)
     repos = files.select("repo").distinct()
     chosen = files if selected is None else select_files(files, selected)
     if ignore_files is not None:
-        chosen = with_own_rules(chosen, ignore_files, options)
+        chosen = with_own_rules(chosen, ignore_files, options, compiled=compiled)
     accepted = entries(chosen, options)
-    return Export(options, repos, chosen, accepted)
+    return Export(options, repos, chosen, accepted, rule_errors=errors)
 
 
 def export_changes(
@@ -103,12 +114,13 @@ def export_changes(
     """Export changed files, whole or, with ``options.hunks``, as changed lines.
 
     ``files`` is the state to print. Change records of rejected files are left out; those of
-    files without a visible range stay listed.
+    files without a visible range stay listed. A leading ``./`` does not matter on any side, and a path
+    that occurs several times counts once.
     """
     if options.hunks and hunks is None:
         raise ValueError("hunks are switched on but not given")
-    wanted = stored(change_ops.export_changes(distinct_changes(changes)))
-    return _export_wanted(files, wanted, options, hunks)
+    wanted = stored(change_ops.export_changes(distinct_changes(shown_paths(changes))))
+    return _export_wanted(one_per_path(files), wanted, options, None if hunks is None else shown_paths(hunks))
 
 
 def _export_wanted(
@@ -131,6 +143,7 @@ def export_snapshots(base: DataFrame, head: DataFrame, options: ExportOptions) -
     """Export what changed from ``base`` to ``head``, both ``files`` tables."""
     if not options.is_delta:
         raise ValueError("comparing snapshots needs one of the modes staged, unstaged and diff")
+    base, head = one_per_path(base), one_per_path(head)
     changes = stored(delta.snapshot_changes(base, head))
     hunks = None
     if options.hunks:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.core import div
@@ -25,8 +25,10 @@ def write_artifacts(
     """Write all artifacts as text.
 
     One range shuffle orders the blocks over the whole cluster; a large repository simply
-    fills several tasks. Files in name order are the artifacts, byte for byte. With
-    ``by_repo`` every repository gets its own folder ``repo=...``. Output appears only when
+    fills several tasks. Every range has a folder ``range=...`` with a number of ten digits, so
+    that names sort like numbers whatever their count; files in the order of these folders are
+    the artifacts, byte for byte. With ``by_repo`` every repository gets its own folder
+    ``repo=...`` around them. Output appears only when
     the job commits, and an existing one is kept unless ``mode`` says otherwise.
     ``partitions`` is the number of ranges, by default the session's shuffle partitions; about
     one per 128 MB of output suits large jobs.
@@ -37,13 +39,17 @@ def write_artifacts(
         if partitions is None
         else blocks.repartitionByRange(partitions, *keys)
     )
-    ordered = ranged.sortWithinPartitions(*keys)
+    folders = ["repo", "range"] if by_repo else ["range"]
+    # The folders come first in the order, so the writer does not sort once more.
+    numbered = ranged.withColumn("range", range_name(F.spark_partition_id()))
+    ordered = numbered.sortWithinPartitions(*dict.fromkeys([*folders, *keys]))
     # The text writer ends every row with a newline.
-    lines = ordered.select("repo", without_last_newline(F.col("body")).alias("value"))
-    if by_repo:
-        lines.write.mode(mode).partitionBy("repo").text(location)
-    else:
-        lines.select("value").write.mode(mode).text(location)
+    lines = ordered.select(*folders, without_last_newline(F.col("body")).alias("value"))
+    lines.write.mode(mode).partitionBy(*folders).text(location)
+
+
+def range_name(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 10, "0")
 
 
 def artifact_parts(

@@ -7,7 +7,7 @@ import stat
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.ignore import IgnoreRules
@@ -20,9 +20,17 @@ def read_archive(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.schema(FILES).parquet(location)
 
 
-def read_binary_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
+#: Bodies above this size are not read unless a caller asks for it.
+MAX_BODY_BYTES = 64 * 1024 * 1024
+
+
+def read_binary_files(
+    spark: SparkSession, root: str, repo: str, max_file_bytes: int | None = MAX_BODY_BYTES
+) -> DataFrame:
     """Files below ``root`` through Spark's own binary reader.
 
+    Files above ``max_file_bytes`` are listed with their size and a null body, which is not read.
+
     The reader follows links and leaves out empty files and names that begin with a dot or
     an underscore. Use :func:`scan_directories` where those matter.
     """
@@ -37,13 +45,21 @@ def read_binary_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     prefix = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
     inside = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
-    return rows.select(
-        F.lit(repo).alias("repo"),
-        F.substr(inside, F.lit(len(prefix) + 1)).alias("path"),
-        "content",
-        F.col("length").alias("size"),
-        F.lit("file").alias("kind"),
-    )
+
+    def shown(found: DataFrame, content: Column) -> DataFrame:
+        return found.select(
+            F.lit(repo).alias("repo"),
+            F.substr(inside, F.lit(len(prefix) + 1)).alias("path"),
+            content.alias("content"),
+            F.col("length").alias("size"),
+            F.lit("file").alias("kind"),
+        )
+
+    if max_file_bytes is None:
+        return shown(rows, F.col("content"))
+    # The reader takes the filter on lengths and opens no file whose body nobody selects.
+    small = shown(rows.filter(F.col("length") <= max_file_bytes), F.col("content"))
+    return small.unionByName(shown(rows.filter(F.col("length") > max_file_bytes), F.lit(None).cast("binary")))
 
 
 _BATCH_ROWS = 10_000
@@ -111,7 +127,7 @@ def scan_directories(
     spark: SparkSession,
     roots: dict[str, str],
     rules: IgnoreRules | None = None,
-    max_file_bytes: int | None = None,
+    max_file_bytes: int | None = MAX_BODY_BYTES,
 ) -> DataFrame:
     """Walk directories that every worker can reach: ``{repo: root}``.
 

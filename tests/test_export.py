@@ -120,29 +120,30 @@ def test_line_numbers(make_files):
     assert "```c\n 1 | a\n" in text and "10 | j\n```" in text
 
 
-REVIEW = {
-    "review.c": "".join(f"int line{i}(void) {{ return {i}; }}\n" for i in range(1, 21)),
-    "rename_only.c": "int rename_only(void) { return 1; }\n",
-    "delete_context.c": "one\ntwo\nthree\nfour\nfive\n",
-    "small.c": "one\ntwo\nthree\n",
-    "safe.c": "x\n",
+POEM = [f"verse {i}" for i in range(1, 31)]
+BEFORE = {
+    "poem.txt": "\n".join(POEM) + "\n",
+    "old/plan.md": "# Plan\n\nnothing yet\n",
+    "list.csv": "k,v\na,1\nb,2\nc,3\nd,4\n",
+    "pair.py": "first = 1\nsecond = 2\n",
+    "still.txt": "the same\n",
 }
 
 
-def review_head():
-    head = dict(REVIEW)
-    head["review.c"] = REVIEW["review.c"].replace("return 2;", "return 20;").replace("return 18;", "return 180;")
-    head["renamed_only.c"] = head.pop("rename_only.c")
-    head["delete_context.c"] = "one\ntwo\nfour\nfive\n"
-    head["small.c"] = "one\n2\nthree\n"
-    head["added.c"] = "int added(void) { return 99; }\n"
-    head["credentials.txt"] = "do not export\n"
-    return head
+def after():
+    now = dict(BEFORE)
+    now["poem.txt"] = "\n".join([*POEM[:4], "another verse", *POEM[5:24], "and one more", *POEM[25:]]) + "\n"
+    now["new/plan.md"] = now.pop("old/plan.md")
+    now["list.csv"] = BEFORE["list.csv"].replace("b,2\n", "")
+    now["pair.py"] = "first = 1\nsecond = 3\n"
+    now["start.sh"] = "echo start\n"
+    now["id_rsa"] = "kept back\n"
+    return now
 
 
 def review(make_files, **arguments):
     options = ExportOptions(mode="staged", generated_at=STAMP, **arguments)
-    return text_of(export_snapshots(make_files(REVIEW), make_files(review_head()), options))
+    return text_of(export_snapshots(make_files(BEFORE), make_files(after()), options))
 
 
 def section(text, path):
@@ -153,31 +154,55 @@ def test_review_of_whole_files(make_files):
     text = review(make_files, show_tree=False)
     context = text.split("## Change Context\n\n", 1)[1].split("\n<!--", 1)[0]
     assert context == (
-        "Files changed: 5\n\n- A added.c\n- M delete_context.c\n"
-        "- R rename_only.c -> renamed_only.c\n- M review.c\n- M small.c\n"
+        "Files changed: 5\n\n- M list.csv\n- R old/plan.md -> new/plan.md\n"
+        "- M pair.py\n- M poem.txt\n- A start.sh\n"
     )
-    assert "## renamed_only.c" in text and "credentials" not in text and "safe.c" not in text
+    assert "## new/plan.md" in text and "id_rsa" not in text and "still.txt" not in text
 
 
 def test_review_of_changed_lines(make_files):
     text = review(make_files, hunks=True, hunk_context=0, line_numbers=True)
     assert "Line numbers: on\nHunks: on (context: 0)\n" in text
-    body = section(text, "review.c")
-    assert " 2 | int line2(void) { return 20; }\n```\n\n\n... 15 unchanged lines omitted ...\n\n" in body
-    assert "18 | int line18(void) { return 180; }" in body
-    assert body.startswith("\n... 1 unchanged lines omitted ...\n\n```c\n")
-    assert body.endswith("... 2 unchanged lines omitted ...\n")
+    body = section(text, "poem.txt")
+    assert " 5 | another verse\n```\n\n\n... 19 unchanged lines omitted ...\n\n" in body
+    assert "25 | and one more" in body
+    assert body.startswith("\n... 4 unchanged lines omitted ...\n\n```")
+    assert body.endswith("... 5 unchanged lines omitted ...\n")
     # A rename without changed lines stays listed, but shows no body and no tree row.
-    assert "- R rename_only.c -> renamed_only.c" in text and "## renamed_only.c" not in text
-    assert "├── added.c" in text and "─ renamed_only.c" not in text
-    assert "1 | int added(void)" in section(text, "added.c")
+    assert "- R old/plan.md -> new/plan.md" in text and "## new/plan.md" not in text
+    assert "─ start.sh" in text and "─ plan.md" not in text
+    assert "1 | echo start" in section(text, "start.sh")
 
 
 def test_context_lines(make_files):
-    body = section(review(make_files, hunks=True, hunk_context=1, show_tree=False), "delete_context.c")
-    assert body.startswith("\n```c\none\ntwo\nfour\n```") and "three" not in body
-    wide = section(review(make_files, hunks=True, hunk_context=10, show_tree=False), "small.c")
-    assert "```c\none\n2\nthree\n```" in wide and "omitted" not in wide
+    body = section(review(make_files, hunks=True, hunk_context=1, show_tree=False), "list.csv")
+    assert "\na,1\nc,3\n" in body and "d,4" not in body and "b,2" not in body
+    wide = section(review(make_files, hunks=True, hunk_context=9, show_tree=False), "pair.py")
+    assert "first = 1\nsecond = 3\n```" in wide and "omitted" not in wide
+
+
+def test_paths_in_two_forms_and_repeated(spark, make_files):
+    rows = make_files({"./x.c": "1\n2\n", "y.c": "y\n", "./z.c": "other\n", "z.c": "z\n"})
+    files = rows.unionByName(rows.filter("path = 'y.c'"))
+    changes = spark.createDataFrame(
+        [("r", "x.c", "M", None), ("r", "./y.c", "M", None), ("r", "./z.c", "A", None), ("r", "z.c", "A", None)],
+        CHANGES)
+    hunks = spark.createDataFrame([("r", "./x.c", 2, 1), ("r", "y.c", 1, 1)], HUNKS)
+    for extra in ({}, {"hunks": True, "hunk_context": 0}):
+        options = ExportOptions(mode="staged", generated_at=STAMP, **extra)
+        export = export_changes(files, changes, options, hunks if extra else None)
+        text = text_of(export)
+        assert "Files changed: 3\n\n- M x.c\n- M y.c\n- A z.c\n\n" in text
+        assert [text.count(f"## {p}\n") for p in ("x.c", "y.c", "z.c")] == [1, 1, 1]
+        assert "```c\nz\n```" in text and "other" not in text and ("1\n2" in text) == (not extra)
+    export = export_files(files, ExportOptions(generated_at=STAMP))
+    parts = export.parts(40)
+    assert export.metrics.head().bytes_written == sum(len(r.body) for r in parts.select(
+        F.encode("body", "utf-8").alias("body")).collect())
+    assert export.metrics.head().files_exported == 3
+    before = make_files({"./x.c": "1\n", "y.c": "y\n"})
+    text = text_of(export_snapshots(before, files, ExportOptions(mode="diff", generated_at=STAMP)))
+    assert "Files changed: 2\n\n- M x.c\n- A z.c\n\n" in text and "## x.c" in text
 
 
 def test_given_changes_and_hunks(spark, make_files):
@@ -204,11 +229,11 @@ def test_written_bytes_equal_counted_bytes(make_files, tmp_path):
         export.write(str(tmp_path / f"out{by_repo}"), by_repo=by_repo)
     sizes = {r.repo: r.bytes_written for r in export.metrics.collect()}
     for repo in ("r", "big"):
-        pieces = sorted(glob.glob(str(tmp_path / f"outTrue/repo={repo}/part-*")))
+        pieces = sorted(glob.glob(str(tmp_path / f"outTrue/repo={repo}/range=*/part-*")))
         body = b"".join(open(p, "rb").read() for p in pieces)
         assert len(body) == sizes[repo]
         assert body.decode() == text_of(export, repo)
-    pieces = sorted(glob.glob(str(tmp_path / "outFalse/part-*")))
+    pieces = sorted(glob.glob(str(tmp_path / "outFalse/range=*/part-*")))
     assert sum(os.path.getsize(p) for p in pieces) == sum(sizes.values())
     with pytest.raises(Exception, match="(?i)exists"):
         export.write(str(tmp_path / "outTrue"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire import ExportOptions
 from quire.functions.ignore import IgnoreRules
@@ -10,6 +11,7 @@ from quire.operators.changes import changes_from_name_status
 from quire.operators.decisions import decisions, skip_counters
 from quire.operators.unpack import unpack
 from quire.sinks import write_decisions
+from quire.sinks.artifact import range_name
 from quire.sources import (
     read_archive,
     read_artifacts,
@@ -79,6 +81,15 @@ def test_binary_reader(spark, tree):
     assert {"main.c", "src/deep/a.py", "src/big.txt"} <= set(rows)
     assert bytes(rows["main.c"].content) == b"int x;\n" and rows["main.c"].kind == "file"
     assert ".env" not in rows and "empty.txt" not in rows
+    rows = {r.path: r for r in read_binary_files(spark, f"file://{tree}", "r", max_file_bytes=1000).collect()}
+    assert rows["src/big.txt"].content is None and rows["src/big.txt"].size == 5000
+    assert bytes(rows["src/deep/a.py"].content) == b"print(1)\n"
+
+
+def test_range_names_sort_like_numbers(spark):
+    numbers = [0, 9, 99_999, 100_000, 100_001, 1_000_000, 2_147_483_647]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n int").select("n", range_name(F.col("n")).alias("name"))
+    assert [r.n for r in rows.orderBy("name").collect()] == numbers
 
 
 def test_archive_reads_only_what_is_used(spark, make_files, tmp_path):
