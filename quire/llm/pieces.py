@@ -10,13 +10,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import chain
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -26,7 +33,11 @@ LITERAL = "\ud800"
 #: What a character outside the vocabulary costs below the least likely piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose segmentations a Python worker remembers.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 200_000
+CACHED_LENGTH = 64
+#: Text bytes whose pieces are held at a time, besides a longer text.
+PART_BYTES = 2 * 1024 * 1024
+IDS, SCORE, LOSS = map(itemgetter, range(3))
 NBEST = 4
 
 
@@ -45,6 +56,16 @@ class Vocabulary:
     def __post_init__(self):
         # A chunk is a run of spaces with the characters up to the next one; \n stands alone.
         self.chunks = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if self.splits else re.compile("(?s).+")
+        self.letters = {piece for piece in self.pieces if len(piece) == 1}
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds the pieces in a chunk, longest first at each end; built in the task."""
+        automaton = ahocorasick.Automaton()
+        for piece, (number, score) in self.pieces.items():
+            automaton.add_word(piece, (len(piece), score, number))
+        automaton.make_automaton()
+        return automaton
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -122,40 +143,30 @@ def search(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[float, tupl
 def best_path(vocabulary: Vocabulary, chunk: str) -> tuple[tuple[int, ...], float, float]:
     """Ids and score of the best segmentation, and how much the second best loses.
 
-    The second best holds a piece that is not on the best path; forward and backward scores give
-    the best path through every piece.
+    One forward pass keeps the two best scores of every position.
     """
-    known, size = vocabulary.pieces.get, len(chunk)
-    ahead, came = [0.0] * (size + 1), [None] * (size + 1)
-    arcs = []
-    for end in range(1, size + 1):
-        top, via = float("-inf"), None
-        for start in range(end - vocabulary.longest if end > vocabulary.longest else 0, end):
-            piece = known(chunk[start:end])
-            if piece is not None:
-                arc = (start, end, piece[1], piece[0])
-                arcs.append(arc)
-                if ahead[start] + piece[1] > top:
-                    top, via = ahead[start] + piece[1], arc
-        if known(chunk[end - 1]) is None:
-            arc = (end - 1, end, vocabulary.unknown, -1)
-            arcs.append(arc)
-            if ahead[end - 1] + vocabulary.unknown > top:
-                top, via = ahead[end - 1] + vocabulary.unknown, arc
-        ahead[end], came[end] = top, via
-    behind = [float("-inf")] * size + [0.0]
-    for start, end, score, _ in reversed(arcs):
-        if behind[end] + score > behind[start]:
-            behind[start] = behind[end] + score
+    size, penalty = len(chunk), vocabulary.unknown
+    arcs = [(end + 1 - length, end + 1, score, number)
+            for end, (length, score, number) in vocabulary.automaton.iter(chunk)]
+    if not vocabulary.letters.issuperset(chunk):
+        known = vocabulary.pieces
+        arcs += [(i, i + 1, penalty, -1) for i, letter in enumerate(chunk) if letter not in known]
+        arcs.sort(key=lambda arc: arc[:2])
+    none = float("-inf")
+    ahead, second, came = [none] * (size + 1), [none] * (size + 1), [None] * (size + 1)
+    ahead[0] = 0.0
+    for arc in arcs:
+        start, end, score, _ = arc
+        total, behind, top = ahead[start] + score, second[start] + score, ahead[end]
+        if total > top:
+            ahead[end], came[end] = total, arc
+            second[end] = top if top > behind else behind
+        elif total > second[end]:
+            second[end] = total
     path, at = [], size
     while at:
         path.append(came[at])
         at = came[at][0]
-    total, chosen, second = ahead[size], set(path), float("-inf")
-    for arc in arcs:
-        through = ahead[arc[0]] + arc[2] + behind[arc[1]]
-        if through > second and arc not in chosen:
-            second = through
     ids = []
     for start, _, _, number in reversed(path):
         if number >= 0:
@@ -163,34 +174,31 @@ def best_path(vocabulary: Vocabulary, chunk: str) -> tuple[tuple[int, ...], floa
         else:
             raw = SPACE if chunk[start] == LITERAL else chunk[start]
             ids.extend(vocabulary.bytes_[b] for b in raw.encode())
-    return tuple(ids), total, total - second
+    return tuple(ids), ahead[size], ahead[size] - second[size]
 
 
-def segment(vocabulary: Vocabulary, text: str, n: int = NBEST) -> list[tuple[float, list[int]]]:
+def segment(
+    vocabulary: Vocabulary, text: str, n: int = NBEST, whole: bool = True
+) -> list[tuple[float, list[int] | None]]:
     """The ``n`` best segmentations of a text; an empty text has one, without pieces.
 
     A combination among the best ``n`` changes only chunks whose change alone is among the best
-    ``n - 1``; these few are searched for their own best and combined.
+    ``n - 1``; these few are searched for their own best and combined. Unless ``whole``, only the
+    best one comes with its ids.
     """
     if not text:
         return [(0.0, [])]
     if SPACE in text:
         text = text.replace(SPACE, LITERAL)
     chunks = vocabulary.chunks.findall(SPACE + text.replace(" ", SPACE))
-    cache = vocabulary.cache
-    found = []
-    for chunk in chunks:
-        entry = cache.get(chunk)
-        if entry is None:
-            if len(cache) >= CACHE_CHUNKS:
-                cache.clear()
-            entry = cache[chunk] = best_path(vocabulary, chunk)
-        found.append(entry)
-    base = sum([e[1] for e in found])
-    results = [(base, list(chain.from_iterable([e[0] for e in found])))]
+    found = list(map(vocabulary.cache.get, chunks))
+    if None in found:
+        fill(vocabulary, chunks, found)
+    base = sum(map(SCORE, found))
+    results = [(base, list(chain.from_iterable(map(IDS, found))))]
     if n == 1:
         return results
-    losses = np.fromiter((e[2] for e in found), dtype=float, count=len(found))
+    losses = np.fromiter(map(LOSS, found), dtype=float, count=len(found))
     near = range(len(losses))
     if len(losses) >= n:
         cut = np.partition(losses, n - 2)[n - 2]
@@ -202,13 +210,31 @@ def segment(vocabulary: Vocabulary, text: str, n: int = NBEST) -> list[tuple[flo
         combined = heapq.nsmallest(n, chain(combined, (
             (loss + more, (*changes, (place, other))) for loss, changes in combined for more, other in others[: n - 1])))
     for loss, changes in combined[1:n]:
-        picked = [e[0] for e in found]
-        for place, other in changes:
-            picked[place] = other
-        results.append((base - loss, list(chain.from_iterable(picked))))
+        picked = None
+        if whole:
+            paths = [e[0] for e in found]
+            for place, other in changes:
+                paths[place] = other
+            picked = list(chain.from_iterable(paths))
+        results.append((base - loss, picked))
     return results
 
 
+def fill(vocabulary: Vocabulary, chunks: list[str], found: list) -> None:
+    """Search the chunks that the worker does not remember; long ones are not remembered."""
+    cache = vocabulary.cache
+    for place, chunk in enumerate(chunks):
+        if found[place] is None:
+            entry = cache.get(chunk)
+            if entry is None:
+                entry = best_path(vocabulary, chunk)
+                if len(chunk) <= CACHED_LENGTH:
+                    if len(cache) >= CACHE_CHUNKS:
+                        cache.clear()
+                    cache[chunk] = entry
+            found[place] = entry
+
+
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     """The text of a segmentation: the space put before the text goes, bytes are joined."""
     joined = b"".join([vocabulary.texts[i] for i in ids]).decode("utf-8", "replace")
@@ -224,32 +250,51 @@ def with_pieces(
     ``alternatives`` names a column for the ids of all ``n``, ``decoded`` one for the text decoded
     from the ids. A null text gives null ids, scores and decoded text, an empty one no pieces.
     Repeated rows are treated alike. Other columns stay; columns of the new names are replaced.
-    No shuffle: a task holds one batch, and remembers CACHE_CHUNKS chunks.
+    No shuffle: a task holds the pieces of PART_BYTES of text or of one longer text, and remembers
+    CACHE_CHUNKS chunks.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(model))
-    parts = ["ids array<int>", "scores array<double>"]
-    parts += ["decoded string"] if decoded else []
-    parts += ["alternatives array<array<int>>"] if alternatives else []
-
-    @F.pandas_udf(", ".join(parts))
-    def run(texts: pd.Series) -> pd.DataFrame:
+    place = df.columns.index(text)
+    new = {ids: ArrayType(IntegerType()), scores: ArrayType(DoubleType())}
+    new |= {decoded: StringType()} if decoded else {}
+    new |= {alternatives: ArrayType(ArrayType(IntegerType()))} if alternatives else {}
+    # The columns travel as one, so their names cannot clash.
+    carried = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("all"))
+    schema = StructType([*carried.schema.fields, *[StructField(f"n{i}", t) for i, t in enumerate(new.values())]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        out: dict[str, list] = {p.split()[0]: [] for p in ", ".join(parts).split(", ")}
-        for value in texts:
-            ranked = None if value is None else segment(vocabulary, value, n)
-            out["ids"].append(None if ranked is None else np.array(ranked[0][1], dtype=np.int32))
-            out["scores"].append(None if ranked is None else [s for s, _ in ranked])
-            if decoded:
-                out["decoded"].append(None if ranked is None else decode(vocabulary, ranked[0][1]))
-            if alternatives:
-                out["alternatives"].append(None if ranked is None else [i for _, i in ranked])
-        return pd.DataFrame(out)
-
-    names = {"ids": ids, "scores": scores, "decoded": decoded, "alternatives": alternatives}
-    found = df.withColumn("_pieces", run(F.col(text)))
-    new = {names[p.split()[0]]: F.col(f"_pieces.{p.split()[0]}") for p in ", ".join(parts).split(", ")}
-    return found.withColumns(new).drop("_pieces")
+        for batch in batches:
+            for part in parts(batch, pa.compute.binary_length(batch.column(0).field(place))):
+                texts = part.column(0).field(place).to_pylist()
+                ranked = [None if t is None else segment(vocabulary, t, n, bool(alternatives)) for t in texts]
+                columns = [
+                    pa.array([None if r is None else np.array(r[0][1], dtype=np.int32) for r in ranked], pa.list_(pa.int32())),
+                    pa.array([None if r is None else [s for s, _ in r] for r in ranked], pa.list_(pa.float64()))]
+                if decoded:
+                    columns.append(pa.array(
+                        [None if r is None else decode(vocabulary, r[0][1]) for r in ranked], pa.string()))
+                if alternatives:
+                    columns.append(pa.array(
+                        [None if r is None else [i for _, i in r] for r in ranked], pa.list_(pa.list_(pa.int32()))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+
+    found = carried.mapInArrow(run, schema)
+    return found.select(
+        *[F.col(f"all.c{i}").alias(c) for i, c in enumerate(df.columns) if c not in new],
+        *[F.col(f"n{i}").alias(c) for i, c in enumerate(new)])
+
+
+def parts(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most PART_BYTES of text, or one row."""
+    ends = np.cumsum(np.asarray(sizes.fill_null(0), dtype=np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + PART_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def piece_report(df: DataFrame, model: str = MODEL, n: int = NBEST) -> DataFrame:
@@ -264,7 +309,7 @@ def piece_report(df: DataFrame, model: str = MODEL, n: int = NBEST) -> DataFrame
     def run(texts: pd.Series) -> pd.DataFrame:
         vocabulary, rows = shared.value, []
         for value in texts:
-            ranked = segment(vocabulary, value or "", n)
+            ranked = segment(vocabulary, value or "", n, whole=False)
             best = ranked[0][1]
             text = decode(vocabulary, best)
             rows.append((
