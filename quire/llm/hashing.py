@@ -110,5 +110,11 @@ def hash_group(rows: range, raw: list[bytes], lower: bool) -> Group:
     return Group(rows, hashes, starts, ends, text, first)
 
 
+def run_bytes(group: Group, begin: np.ndarray, size: int) -> np.ndarray:
+    """Bytes of the runs of ``size`` words from ``begin`` on, with one blank between words whatever the text has."""
+    sums = np.concatenate(([0], np.cumsum(group.ends - group.starts)))
+    return sums[begin + size] - sums[begin] + (size - 1)
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)

@@ -1,7 +1,7 @@
 """Repeated word runs across documents by seed and extend.
 
 Every window of WINDOW words is assigned to its anchor, the smallest of its SEED-word runs in an
-order that prefers long words. Neighbouring windows with the same anchor form a stretch: the seed
+order that prefers long words, whatever white space stands between them. Neighbouring windows with the same anchor form a stretch: the seed
 extended both ways as far as the anchor rules. Documents meet on anchors. Where all stretches of an
 anchor are equal, the whole stretch is repeated; where they differ, a match begins or ends there,
 and its windows are compared one by one. So the maximal repeats are exact, and no pairs of
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, release
-from quire.llm.hashing import U, WORDS, Group, mix, run_hash, run_sums, signed, word_groups
+from quire.llm.hashing import U, WORDS, Group, mix, run_bytes, run_hash, run_sums, signed, word_groups
 
 WINDOW = 13
 SEED = 3
@@ -50,7 +50,7 @@ def stretches(group: Group, window: int = WINDOW, seed: int = SEED) -> dict[str,
     for k in range(1, seed):
         gram = mix(gram) + h[k : grams + k]
     gram = mix(gram)
-    length = group.ends[seed - 1 :] - group.starts[:grams]
+    length = run_bytes(group, np.arange(grams), seed)
     rank = (3 - np.clip(length // (8 * seed), 0, 3)).astype(U)
     order = (rank << U(62)) | (gram >> U(2))
     best, place = order[:total].copy(), np.arange(total)
