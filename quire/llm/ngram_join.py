@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, release
 from quire.llm.components import components
-from quire.llm.hashing import U, Group, mix, signed, word_groups
+from quire.llm.hashing import U, Group, mix, run_bytes, signed, word_groups
 
 SHINGLE, THRESHOLD = 3, 90
 #: Buckets with more sets than this are handled through a pivot; rarer tokens are indexed alone.
@@ -39,7 +39,10 @@ SETS = "row bigint, n int, k1 bigint, k2 bigint, prefix array<bigint>, " + ", ".
 
 
 def shingles(group: Group, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of a group: (hash, bytes, text), ordered by text and hash."""
+    """Distinct shingles of a group: (hash, bytes, text), ordered by text and hash.
+
+    The bytes are those of the words, so that a shingle has the same rank in every text.
+    """
     h, text = group.hashes, group.text
     first, counts = group.first[:-1], np.diff(group.first)
     total = len(h) - size + 1
@@ -49,14 +52,14 @@ def shingles(group: Group, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         for k in range(1, size):
             gram = mix(gram + h[k : total + k])
         valid = np.flatnonzero(text[:total] == text[size - 1 :])
-        parts.append((gram[valid], (group.ends[size - 1 :] - group.starts[:total])[valid], text[valid]))
+        parts.append((gram[valid], run_bytes(group, valid, size), text[valid]))
     for length in range(1, size):  # texts with fewer words: the whole sequence
         short = np.flatnonzero(counts == length)
         begin = first[short]
         gram = mix(h[begin] + U(length))
         for k in range(1, length):
             gram = mix(gram + h[begin + k])
-        parts.append((gram, group.ends[begin + length - 1] - group.starts[begin], short))
+        parts.append((gram, run_bytes(group, begin, length), short))
     gram, size_, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.lexsort((gram, owner))
     gram, size_, owner = gram[order], size_[order], owner[order]
