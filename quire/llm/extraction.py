@@ -38,6 +38,13 @@ CLOSES = {
 }
 #: A path is content when its fused ratio reaches this share of the page's largest.
 THRESHOLD = 0.1
+#: Weight of paths in an article or main element over others.
+BONUS = 3
+#: Elements that stay with the content whatever their ratio: below the content's common parent, and
+#: within an article or main element.
+LISTED = frozenset("h1 h2 h3 h4 li blockquote pre".split())
+TEXTUAL = LISTED | frozenset(
+    "h5 h6 p td th caption dt dd figcaption address summary article main".split())
 MARKS = re.compile(r"[,.;:!?、。，！？…]")
 #: A tag that the end of the page cuts off.
 CUT = re.compile(r"<[A-Za-z/!?][^<>]*$")
@@ -138,8 +145,11 @@ class Blocks(HTMLParser):
         self.flush()
 
 
-def path_scores(paths: list[int], texts: list[str]) -> dict[int, float]:
-    """Fused ratio of each path: text and punctuation per node, smoothed along the page."""
+def path_scores(paths: list[int], texts: list[str], inside: list[bool]) -> dict[int, float]:
+    """Fused ratio of each path: text and punctuation per node, smoothed along the page.
+
+    Blocks of an article or main element lend nothing to those outside, and count BONUS times.
+    """
     chars: dict[int, int] = {}
     marks: dict[int, int] = {}
     nodes: dict[int, int] = {}
@@ -151,12 +161,14 @@ def path_scores(paths: list[int], texts: list[str]) -> dict[int, float]:
         math.sqrt(chars[p] / nodes[p] * (1 + marks[p] / nodes[p])) for p in paths
     ]
     last = len(fused) - 1
-    smooth = [
-        (fused[max(0, i - 1)] + 2 * v + fused[min(last, i + 1)]) / 4 for i, v in enumerate(fused)
-    ]
+
+    def lent(i: int, j: int) -> float:
+        return fused[j] if 0 <= j <= last and inside[i] == inside[j] else fused[i]
+
+    smooth = [(lent(i, i - 1) + 2 * v + lent(i, i + 1)) / 4 for i, v in enumerate(fused)]
     scores: dict[int, float] = {}
-    for path, value in zip(paths, smooth, strict=True):
-        scores[path] = scores.get(path, 0.0) + value / nodes[path]
+    for path, value, own in zip(paths, smooth, inside, strict=True):
+        scores[path] = scores.get(path, 0.0) + value * (BONUS if own else 1) / nodes[path]
     return scores
 
 
@@ -171,35 +183,29 @@ def main_text(html: str | None) -> str:
         return ""
     paths = [p for p, _ in page.found]
     texts = [t for _, t in page.found]
-    within = [container(page, p) for p in paths]
-    if any(w >= 0 for w in within):
-        # The article element, or the main one, with the most text over its selected paths.
-        size: dict[int, float] = {}
-        scores = path_scores(paths, texts)
-        for path, w, text in zip(paths, within, texts, strict=True):
-            if w >= 0:
-                size[w] = size.get(w, 0.0) + len(text) * scores[path]
-        best = max(size, key=lambda w: (size[w], -w))
-        return "\n".join(t for w, t in zip(within, texts, strict=True) if w == best)
-    scores = path_scores(paths, texts)
+    inside = [in_content(page, p) for p in paths]
+    scores = path_scores(paths, texts, inside)
     floor = THRESHOLD * max(scores.values())
     chosen = {p for p, s in scores.items() if s >= floor}
     top = common_parent(page, [p for p in chosen])
+    marked = any(inside)
+
+    def accompanies(path: int, own: bool) -> bool:
+        if marked:
+            return own and page.tags[path] in TEXTUAL
+        return page.tags[path] in LISTED and below(page, path, top)
+
     return "\n".join(
-        t for p, t in zip(paths, texts, strict=True)
-        if p in chosen or (page.tags[p] in ("h1", "h2", "h3", "h4", "li", "blockquote", "pre") and below(page, p, top)))
+        t for p, t, own in zip(paths, texts, inside, strict=True) if p in chosen or accompanies(p, own))
 
 
-def container(page: Blocks, path: int) -> int:
-    """The outermost article above a path, else the outermost main element, else -1."""
-    article = main = -1
+def in_content(page: Blocks, path: int) -> bool:
+    """An article or main element is above a path or is its last."""
     while path > 0:
-        if page.tags[path] == "article":
-            article = path
-        elif page.tags[path] == "main":
-            main = path
+        if page.tags[path] in ("article", "main"):
+            return True
         path = page.parents[path]
-    return article if article >= 0 else main
+    return False
 
 
 def common_parent(page: Blocks, paths: list[int]) -> int:
