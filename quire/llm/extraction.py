@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,22 +14,22 @@ from pyspark.sql import functions as F
 
 #: Elements whose content is never text of the article.
 HIDDEN = frozenset(
-    "head script style template noscript svg math iframe object canvas audio video nav footer aside "
+    "head script style template noscript svg canvas audio video nav footer aside "
     "form button select textarea dialog menu".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements inside a line of text; they do not end a block and are no part of a path.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
-    "span strike strong sub sup time tt u var wbr br img".split())
-#: Words of class, id and role that name furniture.
+    "span strike strong sub sup time tt u var wbr br img math mi mn mo mrow msub msup msubsup mfrac msqrt "
+    "mroot mtext mspace mover munder munderover mstyle semantics annotation".split())
+#: Words of class, id and role that name furniture. What holds most of the text is no furniture.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices "
     "sidebar menu nav navbar navigation footer comment comments disqus reply replies respond promo "
     "promotion sponsor sponsored share sharing social related newsletter subscribe breadcrumb breadcrumbs "
     "popup modal widget masthead contentinfo complementary search pagination".split())
-#: Those that also name an article or a page body as a whole.
-REMARKS = frozenset("comment comments reply replies".split())
+#: Elements that no name makes furniture.
 WHOLE = frozenset("html body main article".split())
 #: Block elements that an opening tag of the same kind, or of a kind in the value, closes.
 CLOSES = {
@@ -56,11 +57,13 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, path, hidden
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, path, hidden, place in named or -1
         self.paths: dict[tuple[int, str], int] = {}
         self.parents: list[int] = [-1]
         self.tags: list[str] = [""]
         self.found: list[tuple[int, str]] = []
+        self.named: list[int] = []  # first block of each element with a name of furniture
+        self.ends: list[int] = []  # its last block + 1, or -1 while it is open
         self.pieces: list[str] = []
 
     @property
@@ -86,11 +89,11 @@ class Blocks(HTMLParser):
         self.flush()
         closing = CLOSES.get(tag)
         if self.stack and self.stack[-1][0] == "p" and tag not in VOID:
-            self.stack.pop()  # a paragraph holds no other block
+            self.leave(len(self.stack) - 1)  # a paragraph holds no other block
         if closing:
             for depth in range(len(self.stack) - 1, max(-1, len(self.stack) - 4), -1):
                 if self.stack[depth][0] in closing:
-                    del self.stack[depth:]
+                    self.leave(depth)
                     break
                 if self.stack[depth][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
                     break
@@ -102,23 +105,37 @@ class Blocks(HTMLParser):
             path = self.paths[key] = len(self.parents)
             self.parents.append(self.path)
             self.tags.append(tag)
-        self.stack.append((tag, path, self.hidden or self.is_furniture(tag, attrs)))
+        named = -1
+        if tag not in WHOLE and self.has_name(attrs):
+            named = len(self.named)
+            self.named.append(len(self.found))
+            self.ends.append(-1)
+        self.stack.append((tag, path, self.hidden or self.is_furniture(tag, attrs), named))
+
+    def leave(self, depth: int) -> None:
+        """Close all elements from this depth on."""
+        for *_, named in self.stack[depth:]:
+            if named >= 0:
+                self.ends[named] = len(self.found)
+        del self.stack[depth:]
 
     def is_furniture(self, tag, attrs) -> bool:
         if tag in HIDDEN:
             return True
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
+        inside = any(t in ("article", "main") for t, *_ in self.stack)
         if tag == "header" and not inside:
             return True
-        names = set()
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                names.update(NAMES.findall(value.lower()))
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
                 return True
-        return bool(names & (REMARKS if tag in WHOLE else FURNITURE))
+        return False
+
+    def has_name(self, attrs) -> bool:
+        return any(
+            name in ("class", "id", "role") and value and not FURNITURE.isdisjoint(NAMES.findall(value.lower()))
+            for name, value in attrs)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in INLINE:
@@ -133,7 +150,7 @@ class Blocks(HTMLParser):
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
                 self.flush()
-                del self.stack[depth:]
+                self.leave(depth)
                 return
 
     def handle_data(self, data):
@@ -143,6 +160,27 @@ class Blocks(HTMLParser):
     def close(self):
         super().close()
         self.flush()
+        self.leave(0)
+
+
+def without_furniture(page: Blocks) -> list[tuple[int, str]]:
+    """Blocks outside the elements that a name makes furniture.
+
+    An element with such a name goes unless it holds most of the text that is left, punctuation
+    counted too; where article or main elements have text, only theirs counts. The largest are looked
+    at first, so outer ones come before what they hold.
+    """
+    owned = [in_content(page, p) for p, _ in page.found]
+    everything = not any(owned)
+    sums = [0, *accumulate(
+        len(t) * (1 + len(MARKS.findall(t))) * (everything or own) for (_, t), own in zip(page.found, owned, strict=True))]
+    left, total = [True] * len(owned), sums[-1]
+    spans = [(sums[end] - sums[start], start, end) for start, end in zip(page.named, page.ends, strict=True) if end > start]
+    for held, start, end in sorted(spans, key=lambda s: (-s[0], s[1] - s[2])):
+        if left[start] and 2 * held <= total:
+            left[start:end] = [False] * (end - start)
+            total -= held
+    return [b for b, ok in zip(page.found, left, strict=True) if ok]
 
 
 def path_scores(paths: list[int], texts: list[str], inside: list[bool]) -> dict[int, float]:
@@ -179,10 +217,11 @@ def main_text(html: str | None) -> str:
     page = Blocks()
     page.feed(CUT.sub("", html))
     page.close()
-    if not page.found:
+    found = without_furniture(page)
+    if not found:
         return ""
-    paths = [p for p, _ in page.found]
-    texts = [t for _, t in page.found]
+    paths = [p for p, _ in found]
+    texts = [t for _, t in found]
     inside = [in_content(page, p) for p in paths]
     scores = path_scores(paths, texts, inside)
     floor = THRESHOLD * max(scores.values())
@@ -238,7 +277,8 @@ def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
 
     A null or empty page gives an empty text. Pages are independent: no shuffle, one page in
     memory beside its Arrow batch. Menus, page headers, footers, asides, forms, scripts, styles,
-    and elements whose class, id or role names furniture are left out; tag paths then decide.
+    and elements whose class, id or role names furniture are left out, but for those that hold most of
+    the page's text; tag paths then decide.
     """
     kept = [c for c in df.columns if c != text]
     rest = df.select(*[F.col(f"`{c}`") for c in kept])

@@ -23,3 +23,18 @@ LONG = "A long sentence, with commas, and rather more of it here, goes on. Then
 ])
 def test_paths_decide_on_every_page(html, text):
     assert main_text(html) == text
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<div id=page class='no-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='content-with-sidebar'><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar>other</div>", f"{LONG}\n{LONG}"),
+    (f"<body class='comments-open has-sidebar'><div class='search-result-body'><article><p>{LONG}</p></article></div>"
+     f"<div class=comments><p>{LONG * 3}</p></div>", LONG),
+    (f"<article><h1>Title</h1><section class='notice-board'><p>{LONG}</p></section></article>", f"Title\n{LONG}"),
+    (f"<main><section class='notice-board'><p>{LONG}</p></section></main>", LONG),
+    (f"<article class=comment><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", f"{LONG}\nso x=1 holds"),
+    (f"<article><p>{LONG}</p><object><p>{LONG}</p></object><div class='share'>tell</div></article>", f"{LONG}\n{LONG}"),
+])
+def test_names_hide_no_whole_article(html, text):
+    assert main_text(html) == text
