@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,17 +97,19 @@ def running(
     value: str | None = None,
     row_no: str = "row_no",
     before: str = "sum_before",
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Row number, and sum of ``value`` over the rows before, within each ordered group.
 
     No group is ever sorted by one task. The rows are range-partitioned over the whole
     ``(group, order)`` key, so a large group lies in many consecutive slices; each slice
     counts its own rows, and a small table of slice totals supplies what came before.
-    ``(group, order)`` must be unique per row.
+    ``(group, order)`` must be unique per row. ``store`` keeps the intermediate table where the
+    caller can drop it; by default it is :func:`stored`.
     """
     # The slice numbers become stored data: the range bounds come from a sample and must not
     # be drawn a second time when a lost task is repeated.
-    sliced = stored(
+    sliced = (store or stored)(
         df.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id())
     )
     amount = F.col(value) if value else F.lit(0)
