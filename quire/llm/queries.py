@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quire.llm import (
-    extraction, interaction, merkle, mixing, ngram_join, pieces, quality, secrets, sharding, substrings, vectors, warc,
+    extraction, interaction, merkle, mixing, ngram_join, pieces, quality, secrets, sharding, substrings, toxicity, vectors,
+    warc,
 )
 from quire.llm.common import table
 
@@ -52,6 +53,10 @@ def op11_filter_interaction(spark, sf_dir):
     return interaction.interaction_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
@@ -59,9 +64,9 @@ def op13_merkle_manifest(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_warc, op3_sentencepiece, op4_secret_scans, op5_mixing, op6_sharding,
     op7_substring_dedup, op8_html_extraction, op9_ngram_join, op10_embedding_near_dedup,
-    op11_filter_interaction, op13_merkle_manifest,
+    op11_filter_interaction, op12_toxicity, op13_merkle_manifest,
 )}
-#: op1, op3, op4, op5, op6 and op8 are held against brute force in the tests.
+#: op1, op3, op4, op5, op6 and op8 are held against brute force in the tests, op12 against held-out labels.
 ORACLES: dict[str, str] = {
     "op2_warc": r"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
