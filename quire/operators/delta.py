@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from quire.functions.text import split_lines
+from quire.functions.lines import changed_ranges
+from quire.operators.renames import similar_renames
 from quire.operators.scale import running, stored
 
 
@@ -49,8 +52,12 @@ def exact_renames(delta: DataFrame) -> DataFrame:
     ).select("repo", "path", F.lit("R").alias("change_type"), "previous_path")
 
 
-def snapshot_changes(base: DataFrame, head: DataFrame, renames: bool = True) -> DataFrame:
-    """Change records from ``base`` to ``head``; deletions are not exported."""
+def snapshot_changes(base: DataFrame, head: DataFrame, renames: bool = True, similar: bool = True) -> DataFrame:
+    """Change records from ``base`` to ``head``; deletions are not exported.
+
+    With ``renames``, deleted and added paths of equal content are one record each, and with ``similar`` also those
+    that share at least half of their lines.
+    """
     # Stored: renames read it twice more, and only paths and digests are in it.
     delta = stored(path_delta(base, head)) if renames else path_delta(base, head)
     plain = delta.filter(F.col("change_type").isin("A", "M")).select(
@@ -59,105 +66,33 @@ def snapshot_changes(base: DataFrame, head: DataFrame, renames: bool = True) ->
     if not renames:
         return plain
     renamed = exact_renames(delta)
+    if similar:
+        renamed = stored(renamed)
+        renamed = renamed.unionByName(similar_renames(base, head, delta, renamed).drop("score"))
     return plain.join(renamed.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(
         renamed
     )
 
 
+@F.pandas_udf(ArrayType(ArrayType(LongType())))
+def _changed_ranges(base: pd.Series, head: pd.Series) -> pd.Series:
+    return pd.Series([changed_ranges(b, h) for b, h in zip(base, head, strict=True)])
+
+
 def line_hunks(pairs: DataFrame) -> DataFrame:
     """Changed line ranges of modified files, on the new side.
 
-    ``pairs`` is ``(repo, path, base_text, head_text)``. Lines pair up with the same line at
-    the same occurrence number. Of these pairs only those are kept that cross no other: first
-    the ones that moved furthest, by rank, are let go, then whatever still crosses. So the kept
-    lines rise on both sides, and replacing the hunks turns base into head. Runs of new lines
-    become ``(start, count)``; a pure deletion becomes ``(line before it, 0)``. A last line
-    without a newline differs from one with it. Without moved lines the result equals a plain diff.
+    ``pairs`` is ``(repo, path, base_text, head_text)``. The lines that stay are a longest common subsequence of
+    both texts, so the ranges hold as few lines as any diff can, moved and repeated lines included; which one is chosen
+    is stated in :func:`quire.functions.lines.kept_lines`. Runs of new lines become ``(start, count)``; a pure deletion
+    becomes ``(line before it, 0)``. A last line without a newline differs from one with it.
 
-    Both sides of a file travel in one row, so all steps share one partitioning by file.
+    Both sides of a file travel in one row and are compared within it, so nothing is shuffled. No column
+    expression finds a longest common subsequence, so this runs in Arrow batches.
     """
-
-    def lines(column: str, side: int):
-        text = F.col(column)
-        listed = split_lines(text)
-        ended = F.when(F.endswith(text, F.lit("\n")) | (text == ""), listed).otherwise(
-            F.concat(F.slice(listed, F.lit(1), F.size(listed) - 1),
-                     F.array(F.concat(F.element_at(listed, -1), F.lit("\n"))))
-        )
-        return F.transform(
-            ended,
-            lambda line, i: F.struct(
-                F.lit(side).alias("side"), (i + 1).cast("bigint").alias("pos"), line.alias("line")
-            ),
-        )
-
-    both = (
-        pairs.repartition("repo", "path")
-        .select(
-            "repo",
-            "path",
-            F.explode(F.concat(lines("base_text", 0), lines("head_text", 1))).alias("l"),
-        )
-        .select("repo", "path", "l.*")
-    )
-    same = Window.partitionBy("repo", "path", "side", "line").orderBy("pos")
-    partners = Window.partitionBy("repo", "path", "line", "_nth")
-    in_order = Window.partitionBy("repo", "path", "side").orderBy("pos")
-    on_head, kept = F.col("side") == 1, F.col("_kept")
-    in_file = Window.partitionBy("repo", "path")
-    by_target = Window.partitionBy("repo", "path", "side").orderBy(F.col("_head_pos").asc_nulls_first())
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    later = in_order.rowsBetween(1, Window.unboundedFollowing)
-    paired = F.when(~on_head, F.col("_head_pos"))
-    near = F.when((F.col("_most") < 2) | (F.col("_moved") * 2 <= F.col("_most")), paired)
-    free = F.coalesce(F.max("_near").over(earlier) < F.col("_near"), F.lit(True)) & F.coalesce(
-        F.min("_near").over(later) > F.col("_near"), F.lit(True))
-    # Every deleted line takes the position of the kept line in front of it, 0 without one.
-    placed = (
-        both.withColumn("_nth", F.row_number().over(same))
-        .withColumn("_head_pos", F.when(
-            F.count(F.lit(1)).over(partners) == 2, F.max(F.when(on_head, F.col("pos"))).over(partners)))
-        .withColumn("_moved", F.abs(F.count(paired).over(in_order) - F.count(paired).over(by_target)))
-        .withColumn("_most", F.max(F.when(paired.isNotNull(), F.col("_moved"))).over(in_file))
-        .withColumn("_near", near)
-        .withColumn("_free", F.col("_near").isNotNull() & free)
-        .withColumn("_kept", F.max(F.when(~on_head, F.col("_free")).otherwise(False)).over(partners))
-        .drop("line", "_nth", "_moved", "_most", "_near", "_free")
-        .withColumn(
-            "_at",
-            F.when(on_head, F.col("pos")).otherwise(
-                F.coalesce(
-                    F.last(F.when(kept, F.col("_head_pos")), ignorenulls=True).over(in_order),
-                    F.lit(0).cast("bigint"),
-                )
-            ),
-        )
-        .filter(on_head | ~kept)
-    )
-    # Read backwards, the last head line seen is the one right behind the deletion.
-    backwards = (
-        Window.partitionBy("repo", "path")
-        .orderBy(F.col("_at").desc(), "side")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    in_kind = Window.partitionBy("repo", "path", "side").orderBy("_at")
-    return (
-        placed.withColumn(
-            "_next_is_new",
-            F.coalesce(
-                F.last(F.when(on_head, ~kept), ignorenulls=True).over(backwards), F.lit(False)
-            ),
-        )
-        # A deletion in front of a new line belongs to that line's hunk.
-        .filter(~kept & (on_head | ~F.col("_next_is_new")))
-        .withColumn(
-            "_run",
-            F.when(on_head, F.col("_at") - F.row_number().over(in_kind)).otherwise(F.col("_at")),
-        )
-        .groupBy("repo", "path", "side", "_run")
-        .agg(F.min("_at").alias("new_start"), F.sum("side").cast("bigint").alias("new_count"))
-        .select("repo", "path", "new_start", "new_count")
-    )
+    found = pairs.select(
+        "repo", "path", F.explode(_changed_ranges("base_text", "head_text")).alias("range"))
+    return found.select("repo", "path", F.col("range")[0].alias("new_start"), F.col("range")[1].alias("new_count"))
 
 
 def changed_pairs(base: DataFrame, head_entries: DataFrame, changes: DataFrame) -> DataFrame:

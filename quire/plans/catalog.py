@@ -26,7 +26,7 @@ from quire.functions.text import (
     with_final_newline,
 )
 from quire.operators import changes as change_ops
-from quire.operators import delta, hunks as hunk_ops
+from quire.operators import delta, hunks as hunk_ops, renames
 from quire.operators.decisions import decisions, entries, skip_counters, skip_summary
 from quire.operators.findings import secret_findings
 from quire.operators.ignore_files import with_own_rules
@@ -312,6 +312,13 @@ def exact_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.exact_renames(stored(found))
 
 
+def similar_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renames of edited files: every second document that moves gets another line."""
+    base, head = corpora.base_snapshot(spark, sf_dir), corpora.head_snapshot(spark, sf_dir)
+    found = stored(delta.path_delta(base, head))
+    return renames.similar_renames(base, head, found, stored(delta.exact_renames(found)))
+
+
 def change_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed change lines of the files that are exported."""
     head = corpora.head_snapshot(spark, sf_dir)
@@ -359,6 +366,11 @@ def line_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.line_hunks(delta.changed_pairs(base, head_text, changes))
 
 
+def moved_line_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed lines of texts with moved, repeated and deleted lines."""
+    return delta.line_hunks(corpora.rearranged_texts(spark, sf_dir))
+
+
 def sliced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a patch export: every third document is added, the rest is sliced."""
     files = corpora.plain_document_files(spark, sf_dir)
@@ -493,12 +505,14 @@ QUERIES: dict[str, Query] = {
     "change_log": change_log,
     "snapshot_delta": snapshot_delta,
     "exact_renames": exact_renames,
+    "similar_renames": similar_renames,
     "change_context": change_context,
     "hunks_from_patch": hunks_from_patch,
     "render_ranges": render_ranges,
     "merged_ranges": merged_ranges,
     "omission_counts": omission_counts,
     "line_hunks": line_hunks,
+    "moved_line_hunks": moved_line_hunks,
     "sliced_blocks": sliced_blocks,
     "delta_export": delta_export,
     "change_log_export": change_log_export,

@@ -119,7 +119,7 @@ def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- two snapshots -----------------------------------------------------------
 # Base leaves out every seventh document, head every eleventh. In head one document in
-# thirteen moves to another folder, and of those that stay one in five has another third
+# thirteen moves to another folder, every second of them with a new last line, and of those that stay one in five has another third
 # line, a new first line, or no second line.
 HEAD_PATH = f"""CASE WHEN doc_id % 13 = 0 THEN concat('moved/doc/', {_ID}, '.txt')
  ELSE concat('doc/', {_ID}, '.txt') END"""
@@ -128,7 +128,8 @@ HEAD_PATH = f"""CASE WHEN doc_id % 13 = 0 THEN concat('moved/doc/', {_ID}, '.txt
 def head_text(group: str) -> str:
     """SQL for the text in head; ``group`` is how the engine writes the first group."""
     line = "[^' || chr(10) || ']*"
-    return f"""CASE WHEN doc_id % 13 = 0 THEN text
+    return f"""CASE WHEN doc_id % 26 = 13 THEN concat(text, chr(10), 'moved ', {_ID})
+ WHEN doc_id % 13 = 0 THEN text
  WHEN doc_id % 5 = 0 THEN regexp_replace(text,
    '^((?:{line}' || chr(10) || '){{2}}){line}', concat('{group}', 'changed ', {_ID}))
  WHEN doc_id % 5 = 1 THEN concat('inserted ', {_ID}, chr(10), text)
@@ -160,6 +161,20 @@ def head_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rearranged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose halves change places, with the second line once more at the end and every seventh line gone."""
+    lines = F.split("text", "\n")
+    n = F.size(lines)
+    half = F.floor(n / 2).cast("int")
+    turned = F.concat(
+        F.slice(lines, half + 1, n - half), F.slice(lines, F.lit(1), half), F.slice(lines, F.lit(2), F.lit(1)))
+    kept = F.filter(turned, lambda _, i: i % 7 != 5)
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo"),
+        F.expr(f"concat('doc/', {_ID}, '.txt')").alias("path"),
+        F.col("text").alias("base_text"), F.array_join(kept, "\n").alias("head_text"))
+
+
 # --- version-control text ----------------------------------------------------
 _NUL = "chr(0)"
 CHANGE_LOG = f"""CASE WHEN doc_id % 19 = 0 THEN concat('M', {_NUL}, 'cut_', {_ID})

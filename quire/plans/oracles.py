@@ -291,43 +291,61 @@ renamed AS (SELECT a.repo, a.path, 'R' AS change_type, d.path AS previous_path
   FROM added a JOIN deleted d ON a.repo = d.repo AND a.sha = d.sha AND a.n = d.n)"""
 
 
-def numbered(name: str, source: str) -> str:
-    """Lines with their number; a last line without a newline differs from one with it."""
-    marked = (
-        f"CASE WHEN body = '' THEN [] WHEN ends_with(body, {NL}) THEN {lines_of('body')} "
-        f"ELSE list_concat(list_slice(string_split(body, {NL}), 1, -2), "
-        f"[concat(string_split(body, {NL})[-1], {NL})]) END"
-    )
-    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY repo, path, line ORDER BY pos) AS nth
-  FROM (SELECT repo, path, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos
-    FROM (SELECT repo, path, {marked} AS ls FROM {source})))"""
-
-
-# Changed lines between "old" and "new", both (repo, path, body).
-HUNKS = f"""{numbered('ol', 'old')}, {numbered('nl', 'new')},
-o_all AS (SELECT o.repo, o.path, o.pos, n.pos AS npos FROM ol o
-  LEFT JOIN nl n ON o.repo = n.repo AND o.path = n.path AND o.line = n.line AND o.nth = n.nth),
-o_off AS (SELECT *, CASE WHEN npos IS NOT NULL THEN abs(
-    count(npos) OVER (PARTITION BY repo, path ORDER BY pos)
-    - count(npos) OVER (PARTITION BY repo, path ORDER BY npos NULLS FIRST)) END AS moved FROM o_all),
-o_near AS (SELECT *, CASE WHEN most < 2 OR moved * 2 <= most THEN npos END AS near FROM (
-  SELECT *, max(moved) OVER (PARTITION BY repo, path) AS most FROM o_off)),
-o_marked AS (SELECT repo, path, pos, CASE WHEN coalesce(max(near) OVER (
-    PARTITION BY repo, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < near, true)
-  AND coalesce(min(near) OVER (
-    PARTITION BY repo, path ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) > near, true)
-  THEN near END AS npos FROM o_near),
-n_marked AS (SELECT n.repo, n.path, n.pos, o.pos IS NULL AS fresh FROM nl n
-  LEFT JOIN o_marked o ON o.repo = n.repo AND o.path = n.path AND o.npos = n.pos),
-gone AS (SELECT repo, path, npos, coalesce(last_value(npos IGNORE NULLS) OVER (
-  PARTITION BY repo, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-  FROM o_marked),
-hunks AS (SELECT repo, path, min(pos) AS new_start, count(*) AS new_count FROM (
-    SELECT *, pos - row_number() OVER (PARTITION BY repo, path ORDER BY pos) AS g
-    FROM n_marked WHERE fresh) GROUP BY repo, path, g
-  UNION ALL SELECT DISTINCT g.repo, g.path, g.a, 0 FROM gone g LEFT JOIN n_marked m
-    ON m.repo = g.repo AND m.path = g.path AND m.pos = g.a + 1
-  WHERE g.npos IS NULL AND NOT coalesce(m.fresh, false))"""
+SIMILAR = f"""unpaired AS (SELECT 'D' AS kind, d.repo, d.path, body FROM delta d
+   JOIN base b ON b.repo = d.repo AND b.path = d.path
+   WHERE change_type = 'D' AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.repo = d.repo AND r.previous_path = d.path)
+  UNION ALL SELECT 'A', d.repo, d.path, body FROM delta d JOIN head h ON h.repo = d.repo AND h.path = d.path
+   WHERE change_type = 'A' AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.repo = d.repo AND r.path = d.path)),
+line_sets AS (SELECT *, md5(array_to_string(ls, {NL})) AS k FROM (
+  SELECT kind, repo, path, list_sort(list_distinct({lines_of('body')})) AS ls FROM unpaired WHERE body <> '')),
+likened AS (SELECT d.repo, d.path AS previous_path, a.path, md5(concat(d.k, a.k)) AS tie,
+  len(list_intersect(d.ls, a.ls)) AS common, len(list_distinct(list_concat(d.ls, a.ls))) AS either
+  FROM line_sets d JOIN line_sets a ON d.kind = 'D' AND a.kind = 'A' AND a.repo = d.repo),
+in_turn AS (SELECT *, CAST(common AS DOUBLE) / either AS score, row_number() OVER (PARTITION BY repo
+   ORDER BY CAST(common AS DOUBLE) / either DESC, tie, previous_path, path) AS turn
+  FROM likened WHERE 100 * common >= 50 * either),
+taking AS (SELECT repo, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS olds, CAST([] AS VARCHAR[]) AS news, false AS took
+  FROM (SELECT DISTINCT repo FROM in_turn)
+ UNION ALL SELECT t.repo, i.turn,
+  CASE WHEN list_contains(olds, previous_path) OR list_contains(news, path) THEN olds ELSE list_append(olds, previous_path) END,
+  CASE WHEN list_contains(olds, previous_path) OR list_contains(news, path) THEN news ELSE list_append(news, path) END,
+  NOT list_contains(olds, previous_path) AND NOT list_contains(news, path)
+  FROM taking t JOIN in_turn i ON i.repo = t.repo AND i.turn = t.turn + 1),
+alike AS (SELECT i.repo, i.path, 'R' AS change_type, i.previous_path, i.score
+  FROM taking t JOIN in_turn i ON i.repo = t.repo AND i.turn = t.turn WHERE took)"""
+
+
+# Changed lines between "old" and "new", both (repo, path, body): the table of common lengths row by row,
+# then the way back through it.
+MARKED_LINES = (
+    f"CASE WHEN {{0}} = '' THEN [] WHEN ends_with({{0}}, {NL}) THEN {lines_of('{0}')} "
+    f"ELSE list_concat(list_slice(string_split({{0}}, {NL}), 1, -2), "
+    f"[concat(string_split({{0}}, {NL})[-1], {NL})]) END"
+)
+HUNKS = f"""both_sides AS (SELECT o.repo, o.path, {MARKED_LINES.format('o.body')} AS a, {MARKED_LINES.format('n.body')} AS b
+  FROM old o JOIN new n ON n.repo = o.repo AND n.path = o.path),
+started AS (SELECT *, least(len(a), len(b)) - p AS rest FROM (SELECT *, coalesce(list_min(list_filter(
+   range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS p FROM both_sides)),
+trimmed AS (SELECT repo, path, p, s, len(a) AS na, len(b) AS nb, a[p + 1:len(a) - s] AS x, b[p + 1:len(b) - s] AS y
+  FROM (SELECT *, coalesce(list_min(list_filter(range(1, rest + 1),
+   lambda i: a[len(a) + 1 - i] <> b[len(b) + 1 - i])) - 1, rest) AS s FROM started)),
+lengths AS (SELECT repo, path, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(y) + 1), lambda j: CAST(0 AS BIGINT)) AS l FROM trimmed
+ UNION ALL SELECT repo, path, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+  SELECT t.repo, t.path, l.i, list_transform(range(0, len(y) + 1), lambda j: CASE WHEN j = 0 THEN 0
+    ELSE greatest(l.l[j + 1], l.l[j] + CASE WHEN x[l.i + 1] = y[j] THEN 1 ELSE 0 END) END) AS c
+  FROM lengths l JOIN trimmed t ON t.repo = l.repo AND t.path = l.path WHERE l.i < len(x))),
+way AS (SELECT repo, path, CAST(len(x) AS BIGINT) AS i, CAST(len(y) AS BIGINT) AS j, false AS met FROM trimmed
+ UNION ALL SELECT w.repo, w.path, CASE WHEN l.l[w.j] = l.l[w.j + 1] THEN w.i ELSE w.i - 1 END,
+  CASE WHEN l.l[w.j] = l.l[w.j + 1] OR x[w.i] = y[w.j] THEN w.j - 1 ELSE w.j END,
+  l.l[w.j] <> l.l[w.j + 1] AND x[w.i] = y[w.j]
+  FROM way w JOIN trimmed t ON t.repo = w.repo AND t.path = w.path
+  JOIN lengths l ON l.repo = w.repo AND l.path = w.path AND l.i = w.i WHERE w.i > 0 AND w.j > 0),
+stays AS (SELECT repo, path, unnest(range(0, p + 1)) AS i, unnest(range(0, p + 1)) AS j FROM trimmed
+ UNION ALL SELECT w.repo, w.path, p + i + 1, p + j + 1 FROM way w JOIN trimmed t ON t.repo = w.repo AND t.path = w.path WHERE met
+ UNION ALL SELECT repo, path, unnest(range(na - s + 1, na + 2)), unnest(range(nb - s + 1, nb + 2)) FROM trimmed),
+gaps AS (SELECT *, lag(i) OVER (PARTITION BY repo, path ORDER BY i) AS pi, lag(j) OVER (PARTITION BY repo, path ORDER BY i) AS pj FROM stays),
+hunks AS (SELECT repo, path, CASE WHEN j - pj > 1 THEN pj + 1 ELSE pj END AS new_start, j - pj - 1 AS new_count
+  FROM gaps WHERE j - pj > 1 OR i - pi > 1)"""
 
 
 def ranges(context: int) -> str:
@@ -396,11 +414,12 @@ CHANGE_LINE = (
     f"concat('- ', change_type, ' ', CASE WHEN change_type = 'R' THEN concat("
     f"{markdown('previous_path')}, ' -> ') ELSE '' END, {markdown('path')}, {NL})"
 )
-DELTA_PIECES = f"""{SNAPSHOTS}, {RENAMES},
-changes AS (SELECT repo, path, change_type, NULL AS previous_path FROM delta d
-  WHERE change_type IN ('A', 'M') AND NOT EXISTS (SELECT 1 FROM renamed r
+DELTA_PIECES = f"""{SNAPSHOTS}, {RENAMES}, {SIMILAR},
+all_renamed AS (SELECT * FROM renamed UNION ALL SELECT repo, path, change_type, previous_path FROM alike),
+changes AS (SELECT repo, path, change_type, CAST(NULL AS VARCHAR) AS previous_path FROM delta d
+  WHERE change_type IN ('A', 'M') AND NOT EXISTS (SELECT 1 FROM all_renamed r
     WHERE r.repo = d.repo AND r.path = d.path)
-  UNION ALL SELECT * FROM renamed),
+  UNION ALL SELECT * FROM all_renamed),
 ok AS (SELECT * FROM head WHERE strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')}
   AND {FIRST_SECRET} IS NULL),
 listed AS (SELECT c.* FROM changes c JOIN ok USING (repo, path)),
@@ -554,6 +573,7 @@ ORACLES: dict[str, str] = {
  UNION ALL SELECT source, NULL, NULL, NULL, true FROM documents WHERE doc_id % 19 = 0""",
     "snapshot_delta": _with(SNAPSHOTS, "SELECT repo, path, change_type, base_sha, head_sha FROM delta"),
     "exact_renames": _with(f"{SNAPSHOTS}, {RENAMES}", "SELECT * FROM renamed"),
+    "similar_renames": _with(f"{SNAPSHOTS}, {RENAMES}, {SIMILAR}", "SELECT * FROM alike", recursive=True),
     "change_context": _with(SNAPSHOTS, f"""SELECT d.repo, concat('- ', change_type, ' ', d.path) AS line
  FROM delta d JOIN head h ON h.repo = d.repo AND h.path = d.path WHERE change_type <> 'D'
  AND body <> '' AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL"""),
@@ -572,7 +592,13 @@ ORACLES: dict[str, str] = {
  changed AS (SELECT * FROM delta WHERE change_type = 'M'),
  old AS (SELECT b.* FROM base b JOIN changed c ON c.repo = b.repo AND c.path = b.path),
  new AS (SELECT h.* FROM head h JOIN changed c ON c.repo = h.repo AND c.path = h.path), {HUNKS}""",
-                        "SELECT * FROM hunks"),
+                        "SELECT * FROM hunks", recursive=True),
+    "moved_line_hunks": _with(f"""turned AS (SELECT source AS repo, concat('doc/', doc_id, '.txt') AS path, text,
+  string_split(text, {NL}) AS l, len(string_split(text, {NL})) AS n FROM documents),
+ old AS (SELECT repo, path, text AS body FROM turned),
+ new AS (SELECT repo, path, array_to_string([v[1] FOR v IN list_zip(t, range(0, len(t))) IF v[2] % 7 <> 5], {NL}) AS body
+  FROM (SELECT repo, path, list_concat(l[n // 2 + 1:], l[1:n // 2], l[2:2]) AS t FROM turned)), {HUNKS}""",
+                        "SELECT * FROM hunks", recursive=True),
     "sliced_blocks": _with(f"""{FROM_PATCHES},
  entry AS (SELECT repo, path, body, {LINES.format('body')} AS total_lines,
   {FENCE.format('body')} AS fence_len, CAST(NULL AS VARCHAR) AS lang,
@@ -580,7 +606,7 @@ ORACLES: dict[str, str] = {
   FROM pf JOIN sizes USING (repo, path)), {slices('entry', True)}""",
                            f"""SELECT repo, path, {NUMBERED_BLOCK} AS body FROM entry WHERE is_new
  UNION ALL SELECT s.* FROM sliced s JOIN entry e USING (repo, path) WHERE NOT is_new"""),
-    "delta_export": _with(DELTA_PIECES, metrics_of("pieces")),
+    "delta_export": _with(DELTA_PIECES, metrics_of("pieces"), recursive=True),
     "change_log_export": _with(LOG_PIECES, metrics_of("pieces")),
     "tree_nodes": _with(f"{FILES}, {TREE}", "SELECT repo, node, parent, name, depth, is_dir FROM tree"),
     "project_tree": _with(f"{FILES}, {TREE}", "SELECT repo, depth, is_last, line FROM drawn"),

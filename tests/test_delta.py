@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import random
 
 import pytest
 
+from quire.functions import lines as line_ops
 from quire.operators.delta import exact_renames, line_hunks, path_delta, snapshot_changes
 from quire.operators.hunks import (
     file_ranges,
@@ -14,6 +16,8 @@ from quire.operators.hunks import (
     parse_patches,
     render_ranges,
 )
+from quire.operators.renames import similar_renames
+from quire.operators.scale import stored
 from quire.schemas import HUNKS, PATCHES
 
 
@@ -156,3 +160,134 @@ def test_moved_and_repeated_lines_are_complete(spark):
     for (before, after), hunks in zip(texts, hunk_rows(spark, texts), strict=True):
         assert bool(hunks) == (before != after)
         assert rebuilt(before.splitlines(True), after.splitlines(True), hunks)
+
+
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bits", [1, 40, 1 << 27])
+def test_kept_lines_are_as_many_as_possible(monkeypatch, bits):
+    monkeypatch.setattr(line_ops, "TABLE_BITS", bits)
+    rng = random.Random(bits)
+    for _ in range(600):
+        letters = "abcdefghijklmnop"[: rng.randint(1, 16)]
+        before = [rng.choice(letters) for _ in range(rng.randint(0, 30))]
+        after = before[:]
+        for _ in range(rng.randint(0, 3)):
+            i, j = sorted((rng.randint(0, len(after)), rng.randint(0, len(after))))
+            block, after = after[i:j], after[:i] + after[j:]
+            at = rng.randint(0, len(after))
+            after[at:at] = block if rng.random() < 0.7 else [rng.choice("xyz")]
+        kept = line_ops.kept_lines(before, after)
+        assert all(before[i] == after[j] for i, j in kept)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(kept, kept[1:], strict=False))
+        assert len(kept) == common_length(before, after)
+
+
+def test_choice_does_not_depend_on_the_table(monkeypatch):
+    rng = random.Random(8)
+    texts = [([rng.randrange(9) for _ in range(40)], [rng.randrange(9) for _ in range(35)]) for _ in range(60)]
+    whole = [line_ops.kept_lines(a, b) for a, b in texts]
+    monkeypatch.setattr(line_ops, "TABLE_BITS", 3)
+    monkeypatch.setattr(line_ops, "MASK_BYTES", 0)
+    assert [line_ops.kept_lines(a, b) for a, b in texts] == whole
+
+
+def test_changed_ranges_of_odd_texts():
+    assert line_ops.changed_ranges(None, None) == line_ops.changed_ranges("", "") == []
+    assert line_ops.changed_ranges(None, "a") == [(1, 1)]
+    assert line_ops.changed_ranges("a\n", "a") == [(1, 1)]
+    assert line_ops.changed_ranges("\n\n\n", "\n") == [(1, 0)]
+    assert line_ops.changed_ranges("a\r\nb\n", "a\nb\n") == [(1, 1)]
+
+
+def test_large_files_with_repeats():
+    rng = random.Random(4)
+    before = [str(rng.randrange(300)) for _ in range(6000)]
+    after = before[3000:] + before[:3000]
+    kept = line_ops.kept_lines(before, after)
+    assert 3000 <= len(kept) == common_length(before, after)
+
+
+def moved_files(rng):
+    """Contents of deleted and added files in two repositories, many alike."""
+    bases = [[f"l{rng.randrange(60)}" for _ in range(n)] for n in (1, 2, 6, 12, 25)]
+    base, head = {}, {}
+    for k in range(90):
+        for side, files in (("old", base), ("new", head)):
+            lines = list(rng.choice(bases))
+            for _ in range(rng.choice((0, 0, 1, 2, 6))):
+                lines[rng.randrange(len(lines))] = f"e{rng.randrange(12)}"
+            if rng.random() < 0.2:
+                rng.shuffle(lines)
+            files[rng.choice("rs"), f"{side}/{k:03d}"] = "\n".join(lines) + rng.choice(("", "\n"))
+    base["r", "old/empty"] = head["r", "new/none"] = ""
+    base["r", "old/bin"] = head["r", "new/bin"] = b"\xff\nx\ny\n"
+    head["r", "new/bin"] += b"z"
+    return base, head
+
+
+def greedy_pairs(base, head, exact, percent):
+    def sets(files, taken):
+        found = {}
+        for key, text in files.items():
+            if key not in taken and isinstance(text, str) and text:
+                found[key] = set(text.removesuffix("\n").split("\n"))
+        return found
+
+    def digest(lines):
+        return hashlib.md5("\n".join(sorted(lines)).encode()).hexdigest()
+
+    olds = sets(base, {(r, p) for r, _, p in exact})
+    news = sets(head, {(r, p) for r, p, _ in exact})
+    pairs = []
+    for (r, p), a in olds.items():
+        for (s, q), b in news.items():
+            if r == s and 100 * len(a & b) >= percent * len(a | b):
+                tie = hashlib.md5((digest(a) + digest(b)).encode()).hexdigest()
+                pairs.append((-len(a & b) / len(a | b), tie, p, q, r))
+    used, result = set(), set()
+    for score, _, p, q, r in sorted(pairs):
+        if (0, r, p) not in used and (1, r, q) not in used:
+            used |= {(0, r, p), (1, r, q)}
+            result.add((r, q, p, -score))
+    return result
+
+
+@pytest.mark.parametrize("percent, hot_rows", [(50, None), (80, 2)])
+def test_similar_renames(make_files, percent, hot_rows):
+    base, head = moved_files(random.Random(percent))
+    old, new = make_files(base), make_files(head)
+    delta = stored(path_delta(old, new))
+    exact = stored(exact_renames(delta))
+    taken = {(r.repo, r.path, r.previous_path) for r in exact.collect()}
+    found = similar_renames(old, new, delta, exact, percent, hot_rows).collect()
+    assert {(r.repo, r.path, r.previous_path, r.score) for r in found} == greedy_pairs(base, head, taken, percent)
+    assert len(found) > 20 and {r.change_type for r in found} == {"R"}
+
+
+def test_classes_of_many_alike_files(make_files, monkeypatch):
+    from quire.operators import renames
+
+    monkeypatch.setattr(renames, "PAIR_STEP", 7)
+    base = {f"old/{i:03d}": "a\nb\nc" for i in range(60)} | {"old/x": "q\nr"}
+    head = {f"new/{i:03d}": "a\nb\nd" for i in range(25)} | {f"new/s{i:03d}": "c\nb\na\n" for i in range(20)}
+    changes = {(r.path, r.previous_path) for r in snapshot_changes(make_files(base), make_files(head)).collect()}
+    assert changes == {(f"new/s{i:03d}", f"old/{i:03d}") for i in range(20)} | {
+        (f"new/{i:03d}", f"old/{20 + i:03d}") for i in range(25)}
+
+
+def test_edited_renames_are_records(make_files):
+    base = make_files({"a/x.c": "1\n2\n3\n4\n", "gone": "z"})
+    head = make_files({"b/x.c": "1\n2\n3\nnew\n", "fresh": "y"})
+    both = {(r.change_type, r.path, r.previous_path) for r in snapshot_changes(base, head).collect()}
+    assert both == {("R", "b/x.c", "a/x.c"), ("A", "fresh", None)}
+    exact = {(r.change_type, r.path) for r in snapshot_changes(base, head, similar=False).collect()}
+    assert exact == {("A", "b/x.c"), ("A", "fresh")}
