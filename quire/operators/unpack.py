@@ -113,12 +113,17 @@ def unpack(
             F.when(F.col("status") == STATUS_OK, F.col("found"))
         ).alias("ord", "f"),
     ).filter(F.col("f").isNotNull() | (F.col("status") != STATUS_OK))
-    plain = F.when(F.col("line_numbers"), strip_line_numbers(F.col("f.text"))).otherwise(
-        F.col("f.text")
-    )
+    return checked_files(rows.select(
+        "repo", "part", F.col("ord").cast("bigint").alias("ord"), "line_numbers",
+        F.col("f.heading").alias("heading"), F.col("f.text").alias("body"), "status",
+    ))
+
+
+def checked_files(rows: DataFrame) -> DataFrame:
+    """Paths and texts of ``(repo, part, ord, line_numbers, heading, body, status)`` with the final status."""
+    plain = F.when(F.col("line_numbers"), strip_line_numbers(F.col("body"))).otherwise(F.col("body"))
     read = rows.select(
-        "repo", "part", F.col("ord").cast("bigint").alias("ord"),
-        decode_heading(F.col("f.heading")).alias("path"), plain.alias("text"), "status",
+        "repo", "part", "ord", decode_heading(F.col("heading")).alias("path"), plain.alias("text"), "status",
     )
     safe = contained_path(F.col("path"))
     return read.select(

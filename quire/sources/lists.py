@@ -33,7 +33,10 @@ def _file_stem() -> Column:
 
 
 def read_name_status(spark: SparkSession, location: str) -> DataFrame:
-    """One NUL-separated change list per file ``<repo>.<ext>``: ``(repo, blob)``."""
+    """One NUL-separated change list per file ``<repo>.<ext>``: ``(repo, blob)``.
+
+    Each list becomes a row; :func:`quire.operators.change_lists.read_change_lists` takes lists of any size.
+    """
     return (
         spark.read.text(location, wholetext=True)
         .select(_file_stem().alias("repo"), F.col("value").alias("blob"))
@@ -46,9 +49,16 @@ def read_patches(spark: SparkSession, location: str) -> DataFrame:
 
 
 def read_artifacts(spark: SparkSession, location: str) -> DataFrame:
-    """Artifacts, one whole text file each, named ``<repo>.<ext>``: ``ARTIFACTS`` rows."""
+    """Artifacts, one whole text file each, named ``<repo>.<ext>``: ``ARTIFACTS`` rows.
+
+    For small ones, each a row. Artifacts written in folders, or of any size, are read by
+    :func:`quire.operators.stored_artifacts.unpack_stored`; their folders are refused here.
+    """
+    texts = spark.read.text(location, wholetext=True)
+    if any("/range=" in file for file in texts.inputFiles()):
+        raise ValueError(f"{location} holds artifacts in ranges: unpack_stored reads them")
     rows = (
-        spark.read.text(location, wholetext=True)
+        texts
         .select(_file_stem().alias("repo"), F.col("value").alias("body"))
     )
     return with_flags(rows)
