@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.scale import stored
-from quire.sources.splits import begin_states, file_stem, read_splits, scan, split_files, with_states
+from quire.sources.splits import begin_states, file_stem, folder_value, read_splits, scan, split_files, with_states
 
 # What the next field is: a status, the only path, the old path, the new path.
 STATUS, ONLY, OLD, NEW = "SPON"
@@ -18,15 +18,15 @@ START = [STATUS, None, None, False]
 
 
 def read_change_lists(spark: SparkSession, location: str) -> DataFrame:
-    """Change lists, one per text file ``<repo>.<ext>``, to typed rows with ``parse_error``.
+    """Change lists, one per text file ``<repo>.<ext>`` or folder ``repo=...``, to typed rows with ``parse_error``.
 
     Gives the rows of :func:`quire.operators.changes.parse_name_status`, but a list may have any size: it is read in Spark's
     splits, and a record may lie in several of them. A list that ends inside a record, or has an empty path in one,
     yields one row with ``parse_error`` and no path. An empty file has no rows.
     """
     fields = read_splits(spark, location, "\0").withColumn("value", F.col("value").cast("binary"))
-    files = split_files(spark, location).select(
-        file_stem(F.col("file")).alias("repo"), F.lit("").alias("folder"), "file", "size", "file_key")
+    name = F.when(F.col("file").contains("/repo="), folder_value(F.col("file"), "repo")).otherwise(file_stem(F.col("file")))
+    files = split_files(spark, location).select(name.alias("repo"), F.lit("").alias("folder"), "file", "size", "file_key")
     summaries = scan(fields, Summary, "file_key bigint, block bigint, summary string").join(files, "file_key")
     states = stored(begin_states(summaries, START, step, verdict))
     records = scan(
@@ -105,7 +105,8 @@ def step(state: list, summary: str, split_no: int) -> list:
 
 def verdict(state: list, splits) -> str:
     # Every field ends with NUL, the last one too: otherwise one byte is missing.
-    complete = sum(json.loads(s)[0] for s in splits["summary"]) == splits["size"].iloc[0]
+    sizes = splits.drop_duplicates("file_key")["size"].sum()
+    complete = sum(json.loads(s)[0] for s in splits["summary"]) == sizes
     trailing = state[0] == STATUS and complete
     return "ok" if trailing and not state[3] else "broken"
 

@@ -37,12 +37,17 @@ def stored(df: DataFrame) -> DataFrame:
     a repeated read. Tables stay until the folder is cleaned, as checkpoints do.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    location = f"{spark.sparkContext.getCheckpointDir()}/quire-{uuid.uuid4().hex}"
+    location = written_folder(spark)
     df.write.parquet(location)
     return spark.read.schema(df.schema).parquet(location)
 
 
+def written_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/quire-{uuid.uuid4().hex}"
+
+
 def hot_keys(
     df: DataFrame, keys: list[str], total_rows: int, min_rows: int = HOT_KEY_ROWS
 ) -> DataFrame | None:

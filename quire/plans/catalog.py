@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.ignore import IgnoreRules
@@ -27,14 +27,16 @@ from quire.functions.text import (
 )
 from quire.operators import changes as change_ops
 from quire.operators import delta, hunks as hunk_ops, renames
+from quire.operators.change_lists import read_change_lists
 from quire.operators.decisions import decisions, entries, skip_counters, skip_summary
 from quire.operators.findings import secret_findings
 from quire.operators.ignore_files import with_own_rules
 from quire.operators.render import file_blocks
-from quire.operators.scale import stored
+from quire.operators.scale import stored, written_folder
 from quire.operators.selection import in_subtree, parse_path_lists, select_files, worktree_paths
+from quire.operators.stored_artifacts import unpack_stored
 from quire.operators.tree import tree_nodes, tree_rows
-from quire.operators.unpack import unpack
+from quire.operators.unpack import unpack, with_flags
 from quire.options import ExportOptions
 from quire.plans import corpora
 from quire.plans.export import export_changes, export_files, export_snapshots
@@ -58,6 +60,9 @@ DEEP_RULES = IgnoreRules([
     "vendor/", "!vendor/keep/", "*.tmp", "!keep.tmp", "/apps/**/gen/", "!build/**/dist/main.c",
     "docs/**", "!docs/web/", "cache/*",
 ])
+BRACKET_RULES = IgnoreRules([
+    "[nk]*.t[!a-l]p", "!k[[:alpha:]]ep.tmp", "/[a-d]*/[!w]*/", "!build/k[aeiou]ep/", "re[]a]dme.md", "[!.]e[m-o]v",
+], use_defaults=False)
 PRUNE_RULES = IgnoreRules(["vendor/", "!vendor/keep/", "*.tmp", "/apps/**/gen/", "docs/**"])
 
 
@@ -80,6 +85,21 @@ def _entries(spark: SparkSession, sf_dir: str, options: ExportOptions = SCAN) ->
 # --- decisions ---------------------------------------------------------------
 
 
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on links and other kinds besides regular files, none of them read."""
+    kind = F.expr("CASE length(path) + size % 7 WHEN 10 THEN 'symlink' WHEN 11 THEN 'other' WHEN 12 THEN 'unreadable' "
+                  "WHEN 13 THEN 'unreadable_dir' ELSE 'file' END")
+    files = corpora.plain_document_files(spark, sf_dir).withColumn("kind", kind)
+    return decisions(files, ExportOptions(mode="stdin", max_file_bytes=WHOLE)).select("repo", "path", "skip_reason")
+
+
+def invalid_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary test of texts that end in overlong, cut-off, surrogate, too large and valid sequences."""
+    tail = F.expr("CASE doc_id % 8 WHEN 0 THEN X'C328' WHEN 1 THEN X'EDA080' WHEN 2 THEN X'F4908080' WHEN 3 THEN X'C080' "
+                  "WHEN 4 THEN X'C3A9' WHEN 5 THEN X'E282' WHEN 6 THEN X'F09F9880' ELSE X'EE8080' END")
+    return _documents(spark, sf_dir, "doc_id", is_binary(F.concat(F.col("text").cast("binary"), tail)).alias("binary"))
+
+
 def file_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir)
 
@@ -234,6 +254,12 @@ def ignore_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("doc_id", "path", DEEP_RULES.ignored(F.col("path")).alias("ignored"))
 
 
+def bracket_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with sets, ranges, complements and classes of characters."""
+    paths = _documents(spark, sf_dir, "doc_id", F.expr(corpora.DEEP_PATH).alias("path"))
+    return paths.select("doc_id", "path", BRACKET_RULES.ignored(F.col("path")).alias("ignored"))
+
+
 def ignore_pruned_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories a walk would not enter, with the files they hide."""
     pruned = PRUNE_RULES.pruned_directory(F.expr(corpora.DEEP_PATH))
@@ -299,6 +325,23 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_ops.parse_name_status(corpora.change_logs(spark, sf_dir))
 
 
+def change_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Well-formed change lists as one large text file per repository, read in splits."""
+    logs = corpora.change_logs(spark, sf_dir).filter(~F.col("blob").contains("cut_"))
+    location = written_folder(spark)
+    # The writer ends every list with the NUL that is cut off here.
+    logs.select("repo", F.expr("left(blob, length(blob) - 1)").alias("blob")).repartition("repo").write.partitionBy(
+        "repo").option("lineSep", "\0").text(location)
+    return read_change_lists(spark, location)
+
+
+def change_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed change lines and their places: by path, then kind, then previous path."""
+    changes = change_ops.changes_from_name_status(corpora.change_logs(spark, sf_dir))
+    in_repo = Window.partitionBy("repo").orderBy("order_key")
+    return change_ops.change_context(changes).select("repo", "line", F.row_number().over(in_repo).alias("place"))
+
+
 def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.path_delta(
         corpora.base_snapshot(spark, sf_dir), corpora.head_snapshot(spark, sf_dir)
@@ -446,6 +489,30 @@ def unpack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack(parts).select("repo", "path", "safe_path", "text", "status")
 
 
+def stored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write artifacts in ranges, read the folders back: the accepted files again."""
+    location = written_folder(spark)
+    _export(spark, sf_dir, NUMBERED).write(location, partitions=7)
+    return unpack_stored(spark, location).select("repo", "path", "safe_path", "text", "status")
+
+
+def broken_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and files of artifacts, most of which break off, hold changed lines, lost a fence or a line number."""
+    options = ExportOptions(generated_at=STAMP, line_numbers=True, max_file_bytes=WHOLE)
+    whole = export_files(corpora.plain_document_files(spark, sf_dir), options).parts(2_000_000_000)
+    last = F.right("repo", F.lit(1))
+    body = F.col("body")
+    spoiled = (
+        F.when(last == "0", F.expr("left(body, length(body) - 40)"))
+        .when(last == "1", F.replace(body, F.lit("\nMode: "), F.lit("\nHunks: on (context: 1)\nMode: ")))
+        .when(last == "2", F.regexp_replace(body, r"\n\n(`{3,}\n {0,6}1 \| )", "\n\nno fence\n$1"))
+        .when(last == "3", F.replace(body, F.lit("1 | "), F.lit("1 ")))
+        .when(last == "4", F.replace(body, F.lit("\n## doc/"), F.lit("\n## ../")))
+        .otherwise(body))
+    read = unpack(with_flags(whole.select("repo", spoiled.alias("body"))))
+    return read.groupBy("repo", "status").agg(F.count("path").alias("files"))
+
+
 def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = ExportOptions(generated_at=STAMP)
     return export_files(corpora.page_files(spark, sf_dir), options).metrics
@@ -479,6 +546,8 @@ def final_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "file_decisions": file_decisions,
+    "invalid_bytes": invalid_bytes,
+    "file_kinds": file_kinds,
     "skip_summary": skip_summary_query,
     "skip_counters": skip_counters_query,
     "selected_decisions": selected_decisions,
@@ -496,6 +565,7 @@ QUERIES: dict[str, Query] = {
     "secret_findings": secret_findings_query,
     "contextual_secrets": contextual_secrets,
     "ignore_decisions": ignore_decisions,
+    "bracket_rules": bracket_rules,
     "ignore_pruned_dirs": ignore_pruned_dirs,
     "own_ignore_files": own_ignore_files,
     "tracked_union": tracked_union,
@@ -503,10 +573,12 @@ QUERIES: dict[str, Query] = {
     "selected_files": selected_files,
     "subtree_scope": subtree_scope,
     "change_log": change_log,
+    "change_list_files": change_list_files,
     "snapshot_delta": snapshot_delta,
     "exact_renames": exact_renames,
     "similar_renames": similar_renames,
     "change_context": change_context,
+    "change_order": change_order,
     "hunks_from_patch": hunks_from_patch,
     "render_ranges": render_ranges,
     "merged_ranges": merged_ranges,
@@ -525,6 +597,8 @@ QUERIES: dict[str, Query] = {
     "token_budget": token_budget,
     "artifact_by_repo": artifact_by_repo,
     "unpack_roundtrip": unpack_roundtrip,
+    "broken_artifacts": broken_artifacts,
+    "stored_roundtrip": stored_roundtrip,
     "page_metrics": page_metrics,
     "turn_metrics": turn_metrics,
 }

@@ -201,9 +201,9 @@ _DEFAULT_NAMES = [
 ]
 
 
-def rules(own: list[tuple[int, int, int, str]]) -> str:
+def rules(own: list[tuple[int, int, int, str]], defaults: bool = True) -> str:
     """Rows (seq, negated, dir_only, whole_path, regex)."""
-    rows = [(0, dir_only, 0, rx) for rx, dir_only in _DEFAULT_NAMES] + own
+    rows = [(0, dir_only, 0, rx) for rx, dir_only in _DEFAULT_NAMES if defaults] + own
     values = ", ".join(
         f"({i}, {n} = 1, {d} = 1, {w} = 1, '^{rx}$')" for i, (n, d, w, rx) in enumerate(rows)
     )
@@ -215,6 +215,10 @@ DEEP = rules([
     (0, 1, 1, "apps/(?:.*/)?gen"), (1, 0, 1, "build/(?:.*/)?dist/main\\.c"),
     (0, 0, 1, "docs(?:/.*)?"), (1, 1, 1, "docs/web"), (0, 0, 1, "cache/[^/]*"),
 ])
+BRACKETS = rules([
+    (0, 0, 0, "[nk].*\\.t[^a-l]p"), (1, 0, 0, "k[A-Za-z]ep\\.tmp"), (0, 1, 1, "[a-d][^/]*/[^w/][^/]*"),
+    (1, 1, 1, "build/k[aeiou]ep"), (0, 0, 0, "re[\\]a]dme\\.md"), (0, 0, 0, "[^.]e[m-o]v"),
+], defaults=False)
 PRUNE = rules([
     (0, 1, 0, "vendor"), (1, 1, 1, "vendor/keep"), (0, 0, 0, ".*\\.tmp"),
     (0, 1, 1, "apps/(?:.*/)?gen"), (0, 0, 1, "docs(?:/.*)?"),
@@ -486,6 +490,15 @@ pieces AS (SELECT repo, 0 AS section, {header('diff', '', DIFF_TEXT)} AS body FR
  UNION ALL SELECT repo, 4, {FULL_BLOCK} FROM acc)"""
 
 ORACLES: dict[str, str] = {
+    "file_kinds": _with(f"""{PLAIN}, k AS (SELECT *, length(path) + strlen(body) % 7 AS n FROM pf)""",
+                        f"""SELECT repo, path, CASE n WHEN 10 THEN 'symlink' WHEN 11 THEN 'not_regular' WHEN 12 THEN 'unreadable'
+ WHEN 13 THEN 'unreadable_dir' ELSE CASE WHEN body = '' THEN 'empty' WHEN {binary('body')} THEN 'binary'
+ WHEN {FIRST_SECRET} IS NOT NULL THEN 'sensitive_content' END END AS skip_reason FROM k"""),
+    "invalid_bytes": f"""WITH t AS (SELECT doc_id, text AS body, concat(hex(text), CASE doc_id % 8 WHEN 0 THEN 'C328' WHEN 1 THEN 'EDA080'
+  WHEN 2 THEN 'F4908080' WHEN 3 THEN 'C080' WHEN 4 THEN 'C3A9' WHEN 5 THEN 'E282' WHEN 6 THEN 'F09F9880' ELSE 'EE8080' END) AS h
+  FROM documents)
+SELECT doc_id, {binary('body')} OR NOT regexp_matches(h, '^([0-7].|(C[2-9A-F]|D.|E0[AB].|E[1-9A-CEF][89AB].|ED[89].|F0[9AB].[89AB].'
+  '|F[1-3][89AB].[89AB].|F48.[89AB].)[89AB].)*$') AS binary FROM t""",
     "file_decisions": _with(f"{VF}, {DECIDED}", f"""SELECT repo, path, size, skip_reason,
  CASE WHEN skip_reason = 'sensitive_content' THEN {FIRST_SECRET} END AS matched_rule,
  CASE WHEN skip_reason = 'ignored' AND starts_with(path, 'node_modules/') THEN 'node_modules' END
@@ -542,6 +555,8 @@ ORACLES: dict[str, str] = {
   '(?:Bearer |[=:](?:[^\\n\\r]{{0,30}}[^\\n\\r0-9a-f])?)[0-9a-f]{{40}}(?:[^0-9a-f]|\\z)')) AS n FROM pf
   WHERE strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')}) WHERE n > 0"""),
     "ignore_decisions": _with(walk(DEEP), """SELECT doc_id, path, ignored FROM paths
+ JOIN walked w ON w.prefix = path AND NOT w.is_dir""", recursive=True),
+    "bracket_rules": _with(walk(BRACKETS), """SELECT doc_id, path, ignored FROM paths
  JOIN walked w ON w.prefix = path AND NOT w.is_dir""", recursive=True),
     "ignore_pruned_dirs": _with(walk(PRUNE), """SELECT repo, directory, count(*) AS hidden_files FROM (
   SELECT p.repo, p.doc_id, arg_min(w.prefix, w.depth) AS directory FROM paths p
@@ -571,6 +586,17 @@ ORACLES: dict[str, str] = {
  FROM documents WHERE doc_id % 19 <> 0
  UNION ALL SELECT source, 'A', 'A', NULL, false FROM documents WHERE doc_id % 19 <> 0 AND doc_id % 3 <> 0
  UNION ALL SELECT source, NULL, NULL, NULL, true FROM documents WHERE doc_id % 19 = 0""",
+    "change_list_files": """SELECT source AS repo, concat('src/m_', doc_id, '.c') AS path, 'M' AS change_type,
+ CAST(NULL AS VARCHAR) AS previous_path, false AS parse_error FROM documents WHERE doc_id % 19 <> 0
+ UNION ALL SELECT source, concat('new/', doc_id, '.c'), 'R', concat('old/', doc_id, '.c'), false
+ FROM documents WHERE doc_id % 19 <> 0
+ UNION ALL SELECT source, 'A', 'A', NULL, false FROM documents WHERE doc_id % 19 <> 0 AND doc_id % 3 <> 0""",
+    "change_order": """WITH c AS (SELECT DISTINCT source AS repo, unnest([
+  {'p': concat('src/m_', doc_id, '.c'), 't': 'M', 'o': '', 'l': concat('- M src/m_', doc_id, '.c')},
+  {'p': concat('new/', doc_id, '.c'), 't': 'R', 'o': concat('old/', doc_id, '.c'), 'l': concat('- R old/', doc_id, '.c -> new/', doc_id, '.c')},
+  {'p': CASE WHEN doc_id % 3 <> 0 THEN 'A' END, 't': 'A', 'o': '', 'l': '- A A'}]) AS x FROM documents WHERE doc_id % 19 <> 0)
+SELECT repo, x.l AS line, CAST(row_number() OVER (PARTITION BY repo ORDER BY x.p, x.t, x.o) AS INTEGER) AS place
+ FROM c WHERE x.p IS NOT NULL""",
     "snapshot_delta": _with(SNAPSHOTS, "SELECT repo, path, change_type, base_sha, head_sha FROM delta"),
     "exact_renames": _with(f"{SNAPSHOTS}, {RENAMES}", "SELECT * FROM renamed"),
     "similar_renames": _with(f"{SNAPSHOTS}, {RENAMES}, {SIMILAR}", "SELECT * FROM alike", recursive=True),
@@ -624,6 +650,13 @@ ORACLES: dict[str, str] = {
   FROM pieces) GROUP BY repo, part"""),
     "unpack_roundtrip": _with(FILES, f"""SELECT repo, path, path AS safe_path,
  {CLOSED.format('body')} AS text, 'ok' AS status FROM acc"""),
+    "stored_roundtrip": _with(FILES, f"""SELECT repo, path, path AS safe_path,
+ {CLOSED.format('body')} AS text, 'ok' AS status FROM acc"""),
+    "broken_artifacts": _with(f"""{PLAIN}, ok AS (SELECT repo, body FROM pf
+  WHERE body <> '' AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL)""",
+                              """SELECT repo, CASE right(repo, 1) WHEN '0' THEN 'malformed' WHEN '1' THEN 'hunk_export'
+ WHEN '2' THEN 'malformed' WHEN '3' THEN 'invalid_line_number' WHEN '4' THEN 'unsafe_path' ELSE 'ok' END AS status,
+ CASE WHEN right(repo, 1) IN ('0', '1', '2') THEN 0 ELSE count(*) END AS files FROM ok GROUP BY repo"""),
     "page_metrics": _with(PAGES, metrics_of("pieces")),
     "turn_metrics": _with(TURNS, metrics_of("pieces")),
 }
