@@ -8,7 +8,9 @@
    alone, frequent ones as pairs.
 3. In a large bucket every set is first compared with one pivot. What is joined with the pivot
    is connected already, so only pairs with a set outside the bucket's main component follow.
-4. Candidates must fit in size and in parity sketch, a lower bound on the symmetric difference;
+4. Sets that share many tokens meet in few of their buckets: an entry names some of the set's
+   earlier tokens, and a pair that has one of them in common is left to that token's bucket.
+   Candidates must fit in size and in parity sketch, a lower bound on the symmetric difference;
    the rest are verified on their whole sets. Components follow from the links.
 """
 
@@ -31,6 +33,8 @@ HOT_BUCKET = 32
 #: Frequent tokens are paired where that gives at most this many entries per token; a set with more
 #: of them indexes them alone.
 PAIRS_PER_TOKEN = 4
+#: An entry names up to this many earlier tokens of its set.
+LEAD = 8
 BROADCAST_BYTES = 8 * 1024 * 1024
 
 #: Words of the parity sketch of a set, 64 bits each.
@@ -159,23 +163,43 @@ def heads(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def entries(listed: DataFrame) -> DataFrame:
-    """Index entries (sig, sid, wide, lone, label) from heads with the label of each set's component.
+    """Index entries (sig, sid, wide, lone, label, lead) from heads with the label of each set's component.
 
-    ``lone`` entries serve only pairs of which one set is ``wide``.
+    ``lone`` entries serve only pairs of which one set is ``wide``. ``lead`` holds tokens that come before the entry's own
+    and whose buckets compare the set as well: two sets that have one of them in common meet there already. They
+    are those with the least hashes among the first half of the tokens before it or more, so that sets
+    with much in common have the same ones.
     """
 
-    def entry(kind: str, *tokens: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(kind), *tokens).alias("sig"), F.lit(kind == "lone").alias("lone"))
+    def least(tokens: Column) -> Column:
+        return F.slice(F.array_sort(tokens), F.lit(1), F.lit(LEAD))
 
-    rare = F.transform(F.filter("head", lambda t: t["f"] <= HOT_BUCKET), lambda t: entry("rare", t["t"]))
-    lone = F.transform("often", lambda t: entry("lone", t["t"]))
+    split = listed.select(
+        "sid", "wide", "label", F.transform("head", lambda t: t["t"]).alias("all"),
+        F.transform(F.filter("head", lambda t: t["f"] <= HOT_BUCKET), lambda t: t["t"]).alias("rare"),
+        F.transform("often", lambda t: t["t"]).alias("often"))
+    doublings = F.sequence(F.lit(0), F.floor(F.log2(F.size("all") + 1)).cast("int"))
+    split = split.withColumn("leads", F.transform(
+        doublings, lambda k: least(F.slice("all", F.lit(1), F.pow(F.lit(2), k).cast("int")))))
+    none = F.array().cast("array<bigint>")
+
+    def before(at: Column) -> Column:
+        return F.when(at > 0, F.get("leads", F.floor(F.log2(at)).cast("int"))).otherwise(none)
+
+    def entry(kind: str, lead: Column, *tokens: Column) -> Column:
+        return F.struct(
+            F.xxhash64(F.lit(kind), *tokens).alias("sig"), F.lit(kind == "lone").alias("lone"), lead.alias("lead"))
+
+    # Rare tokens come first in a head. Entries of two tokens serve sets that are not wide, which meet in rare ones alone.
+    rare = F.transform("rare", lambda t, i: entry("rare", before(i), t))
+    lone = F.transform("often", lambda t, i: entry("lone", before(F.size("rare") + i), t))
     pairs = F.flatten(F.transform("often", lambda a, i: F.transform(
         F.slice("often", i + 2, F.size("often")),
-        lambda b: entry("pair", F.least(a["t"], b["t"]), F.greatest(a["t"], b["t"])))))
-    none = F.array().cast("array<struct<sig:bigint,lone:boolean>>")
-    return listed.select("sid", "wide", "label", F.explode(F.concat(
-        rare, lone, F.when(F.col("wide"), none).otherwise(pairs))).alias("e")
-    ).select("sid", "wide", "label", "e.sig", "e.lone")
+        lambda b: entry("pair", least(F.col("rare")), F.least(a, b), F.greatest(a, b)))))
+    no_entry = F.array().cast("array<struct<sig:bigint,lone:boolean,lead:array<bigint>>>")
+    return split.select("sid", "wide", "label", F.explode(F.concat(
+        rare, lone, F.when(F.col("wide"), no_entry).otherwise(pairs))).alias("e")
+    ).select("sid", "wide", "label", "e.sig", "e.lone", "e.lead")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,8 +252,9 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: S
     def joined(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
         lone = ~F.col("x.lone") | F.col("x.wide") | F.col("y.wide")
         apart = F.col("x.label") != F.col("y.label")
+        first = ~F.arrays_overlap("x.lead", "y.lead")
         return left.alias("x").join(
-            right.alias("y"), (F.col("x.sig") == F.col("y.sig")) & lone & apart & extra & reachable(percent)
+            right.alias("y"), (F.col("x.sig") == F.col("y.sig")) & lone & apart & extra & first & reachable(percent)
         ).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
     outer, inner = members.filter("not inner"), members.filter("inner")
