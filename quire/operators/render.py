@@ -1,8 +1,8 @@
 """Artifact text as ordered rows.
 
 ``blocks`` is ``(repo, section, order_key, path, body, n_bytes)``; sorting by the first
-three columns gives the artifact of each repository. Sizes are taken from the printed text
-itself, so counting and writing cannot disagree.
+three columns gives the artifact of each repository. Sizes of files follow from the lengths of
+their parts, so counting prints nothing; tests hold them against the printed text.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from quire.operators.tree import draw_tree, marked_nodes, tree_fences
 from quire.options import ExportOptions
 
 HEADER, CONTEXT, TREE, BEGIN, FILES, END = range(6)
+# Between the number of lines left out.
+_LEFT_OUT = ("... ", " unchanged lines omitted ...\n\n")
 
 
 def _ticks(length: Column) -> Column:
@@ -51,7 +53,7 @@ def full_block(line_numbers: bool = False) -> Column:
 def _omission(lines: Column) -> Column:
     return F.when(
         lines > 0,
-        F.concat(F.lit("... "), lines.cast("string"), F.lit(" unchanged lines omitted ...\n\n")),
+        F.concat(F.lit(_LEFT_OUT[0]), lines.cast("string"), F.lit(_LEFT_OUT[1])),
     ).otherwise(F.lit(""))
 
 
@@ -94,6 +96,51 @@ def sliced_block(line_numbers: bool = False) -> Column:
     return F.concat(_heading(F.col("path")), bind(bound, draw))
 
 
+def full_block_bytes(line_numbers: bool = False) -> Column:
+    """Size of :func:`full_block` without printing it."""
+    text, lines = F.col("text"), F.col("total_lines").cast("bigint")
+    closing = F.when((text == "") | F.endswith(text, F.lit("\n")), 0).otherwise(1)
+    size = _heading_bytes() + _fence_bytes() + F.octet_length(text) + closing
+    return size + lines * (number_width(lines) + 3) if line_numbers else size
+
+
+def sliced_block_bytes(line_numbers: bool = False) -> Column:
+    """Size of :func:`sliced_block`, from the lengths of the lines."""
+    bound = F.struct(
+        F.transform(split_lines(F.col("text")), lambda line: F.octet_length(line).cast("bigint") + 1).alias("lengths"),
+        _fence_bytes().alias("fences"), F.col("total_lines").alias("total"),
+        (number_width(F.col("total_lines")) + 3 if line_numbers else F.lit(0)).alias("prefix"), F.col("ranges").alias("ranges"))
+
+    def add(left: Column, right: Column) -> Column:
+        return left + right
+
+    def measure(file: Column) -> Column:
+        def one(span: Column, i: Column) -> Column:
+            first, lines = span["start_line"], span["end_line"] - span["start_line"] + 1
+            before = F.when(i > 0, F.try_element_at(file["ranges"], i)["end_line"]).otherwise(0)
+            shown = F.slice(file["lengths"], first.cast("int"), lines.cast("int"))
+            return (_omission_bytes(first - before - 1) + file["fences"]
+                    + F.aggregate(shown, F.lit(0).cast("bigint"), add) + F.size(shown) * file["prefix"])
+
+        tail = file["total"] - F.element_at(file["ranges"], -1)["end_line"]
+        return F.aggregate(F.transform(file["ranges"], one), F.lit(0).cast("bigint"), add) + _omission_bytes(tail)
+
+    return _heading_bytes() + bind(bound, measure)
+
+
+def _heading_bytes() -> Column:
+    return F.octet_length(escape_markdown(F.col("path"))).cast("bigint") + len("## \n\n")
+
+
+def _fence_bytes() -> Column:
+    """Both fences of a body, the language, and the newlines around them."""
+    return F.col("fence_len").cast("bigint") * 2 + F.octet_length(F.coalesce("lang", F.lit(""))) + len("\n\n\n\n")
+
+
+def _omission_bytes(lines: Column) -> Column:
+    return F.when(lines > 0, F.length(lines.cast("string")) + sum(map(len, _LEFT_OUT))).otherwise(0).cast("bigint")
+
+
 def file_blocks(entries: DataFrame, options: ExportOptions) -> DataFrame:
     """One block per visible file."""
     body = full_block(options.line_numbers)
@@ -108,6 +155,15 @@ def file_blocks(entries: DataFrame, options: ExportOptions) -> DataFrame:
     )
 
 
+def file_sizes(entries: DataFrame, options: ExportOptions) -> DataFrame:
+    """Place and size of each block of :func:`file_blocks`; no block is printed."""
+    size = full_block_bytes(options.line_numbers)
+    if "ranges" in entries.columns:
+        size = F.when(F.col("mode") == "SLICED", sliced_block_bytes(options.line_numbers)).otherwise(size)
+    return visible(entries).select(
+        "repo", F.lit(FILES).alias("section"), F.col("path").alias("order_key"), size.alias("n_bytes"))
+
+
 def visible(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("mode") != "OMIT")
 
@@ -176,17 +232,16 @@ def marker_blocks(shown: DataFrame, options: ExportOptions) -> list[DataFrame]:
     ]
 
 
-def blocks(
+def frame_blocks(
     repos: DataFrame,
     entries: DataFrame,
     options: ExportOptions,
     changes: DataFrame | None = None,
 ) -> DataFrame:
-    """All blocks of all artifacts.
+    """All blocks but those of files: headers, changes, trees and markers.
 
-    ``repos`` lists the repositories that get an artifact, also without any file. Bodies are
-    read twice: once to learn which paths are shown, which is stored for tree and markers,
-    and once to print them.
+    ``repos`` lists the repositories that get an artifact, also without any file. Which paths are
+    shown is learnt from the entries once and stored.
     """
     repos = stored(repos.select("repo").distinct())
     if options.show_tree:
@@ -201,7 +256,18 @@ def blocks(
     if options.show_tree:
         parts += tree_blocks(repos, shown, options)
     parts += marker_blocks(shown, options)
-    parts.append(file_blocks(entries, options))
-    return reduce(DataFrame.unionByName, parts).withColumn(
-        "n_bytes", F.octet_length("body").cast("bigint")
-    )
+    return with_bytes(reduce(DataFrame.unionByName, parts))
+
+
+def with_bytes(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("n_bytes", F.octet_length("body").cast("bigint"))
+
+
+def blocks(frame: DataFrame, entries: DataFrame, options: ExportOptions) -> DataFrame:
+    """All blocks of all artifacts; ``frame`` comes from :func:`frame_blocks`."""
+    return frame.unionByName(with_bytes(file_blocks(entries, options)))
+
+
+def block_sizes(frame: DataFrame, entries: DataFrame, options: ExportOptions) -> DataFrame:
+    """``(repo, section, order_key, n_bytes)`` of all blocks, without printing files."""
+    return frame.select("repo", "section", "order_key", "n_bytes").unionByName(file_sizes(entries, options))

@@ -40,6 +40,7 @@ from quire.operators.unpack import unpack, with_flags
 from quire.options import ExportOptions
 from quire.plans import corpora
 from quire.plans.export import export_changes, export_files, export_snapshots
+from quire.sources.splits import folder_value
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -496,6 +497,16 @@ def stored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack_stored(spark, location).select("repo", "path", "safe_path", "text", "status")
 
 
+def written_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and bytes of the text files of every artifact."""
+    location = written_folder(spark)
+    _export(spark, sf_dir, SCAN).write(location, partitions=9)
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(location).select(
+        folder_value(F.col("_metadata.file_path"), "repo").alias("repo"), "value")
+    return lines.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+
+
 def broken_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and files of artifacts, most of which break off, hold changed lines, lost a fence or a line number."""
     options = ExportOptions(generated_at=STAMP, line_numbers=True, max_file_bytes=WHOLE)
@@ -599,6 +610,7 @@ QUERIES: dict[str, Query] = {
     "unpack_roundtrip": unpack_roundtrip,
     "broken_artifacts": broken_artifacts,
     "stored_roundtrip": stored_roundtrip,
+    "written_artifacts": written_artifacts,
     "page_metrics": page_metrics,
     "turn_metrics": turn_metrics,
 }

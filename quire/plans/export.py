@@ -12,7 +12,7 @@ from quire.operators import delta, hunks as hunk_ops
 from quire.operators.decisions import decisions, describe, entries, skip_counters
 from quire.operators.ignore_files import compile_ignore_files, with_own_rules
 from quire.operators.metrics import artifact_metrics, require_budget, within_budget
-from quire.operators.render import blocks
+from quire.operators.render import block_sizes, blocks, frame_blocks
 from quire.operators.scale import narrow_by_keys, stored, without_keys
 from quire.operators.selection import distinct_changes, one_per_path, select_files, shown_paths
 from quire.operators.unpack import STATUS_OK, unpack
@@ -39,9 +39,19 @@ class Export:
     def decisions(self) -> DataFrame:
         return decisions(self.chosen, self.options)
 
+    @cached_property
+    def frame(self) -> DataFrame:
+        """All blocks but those of files."""
+        return frame_blocks(self.repos, self.entries, self.options, self.changes)
+
     @cached_property
     def blocks(self) -> DataFrame:
-        return blocks(self.repos, self.entries, self.options, self.changes)
+        return blocks(self.frame, self.entries, self.options)
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        """Place and size of every block; files are measured, not printed."""
+        return block_sizes(self.frame, self.entries, self.options)
 
     @property
     def counters(self) -> DataFrame:
@@ -49,11 +59,11 @@ class Export:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return artifact_metrics(self.blocks, self.options)
+        return artifact_metrics(self.sizes, self.options)
 
     def parts(self, part_bytes: int | None = None) -> DataFrame:
         extra = {} if part_bytes is None else {"part_bytes": part_bytes}
-        return artifact_parts(self.blocks, self.options, **extra)
+        return artifact_parts(self.blocks, self.options, sizes=self.sizes, **extra)
 
     def write(self, location: str, by_repo: bool = True, mode: str = "errorifexists",
               strict: bool = False, partitions: int | None = None) -> None:
@@ -68,7 +78,7 @@ class Export:
             if strict:
                 require_budget(measured)
             chosen = within_budget(chosen, measured)
-        write_artifacts(chosen, location, by_repo, mode, partitions)
+        write_artifacts(chosen, location, by_repo, mode, partitions, self.sizes)
 
 
 def export_files(

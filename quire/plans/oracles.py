@@ -652,6 +652,9 @@ SELECT repo, x.l AS line, CAST(row_number() OVER (PARTITION BY repo ORDER BY x.p
  {CLOSED.format('body')} AS text, 'ok' AS status FROM acc"""),
     "stored_roundtrip": _with(FILES, f"""SELECT repo, path, path AS safe_path,
  {CLOSED.format('body')} AS text, 'ok' AS status FROM acc"""),
+    "written_artifacts": _with(SCAN_PIECES, f"""SELECT repo,
+ CAST(sum(strlen(body) - strlen(replace(body, {NL}, ''))) AS BIGINT) AS lines, CAST(sum(strlen(body)) AS BIGINT) AS bytes
+ FROM pieces GROUP BY repo"""),
     "broken_artifacts": _with(f"""{PLAIN}, ok AS (SELECT repo, body FROM pf
   WHERE body <> '' AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL)""",
                               """SELECT repo, CASE right(repo, 1) WHEN '0' THEN 'malformed' WHEN '1' THEN 'hunk_export'

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import glob
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +259,48 @@ def test_budget(make_files, tmp_path):
     assert artifact_metrics(export.blocks, exact).filter("repo = 'small'").head().verdict == "ok"
 
 
+@pytest.mark.parametrize("numbers", [False, True])
+def test_sizes_are_those_of_the_printed_text(spark, make_files, numbers):
+    rng = random.Random(7)
+    lines = ["", "x", "é" * 9, "```", "`" * 12, "a\rb", " " * 30]
+    texts = {f"d/we&ird <{i}>\t[x].{rng.choice(('py', 'md', 'zzz'))}": "\n".join(
+        rng.choice(lines) for _ in range(rng.randint(1, 130))) + rng.choice(("", "\n")) + "z" for i in range(40)}
+    base = {p: t.replace("x", "y").replace("\r", "") + rng.choice(("", "\nmore\n")) for p, t in texts.items()}
+    scan = export_files(make_files(texts), ExportOptions(generated_at=STAMP, line_numbers=numbers))
+    review = export_snapshots(make_files(base), make_files(texts), ExportOptions(
+        mode="staged", hunks=True, hunk_context=1, generated_at=STAMP, line_numbers=numbers))
+    for export in (scan, review):
+        key = ["repo", "section", "order_key"]
+        printed = {tuple(r[k] for k in key): len(r.body.encode()) for r in export.blocks.collect()}
+        assert {tuple(r[k] for k in key): r.n_bytes for r in export.sizes.collect()} == printed
+        plan = export.metrics._jdf.queryExecution().optimizedPlan().toString()
+        assert "unchanged lines omitted" not in plan
+
+
+def test_bodies_move_once(spark, make_files, tmp_path):
+    files = make_files({f"d{i % 3}/f{i}.c": "line\n" * (i % 50) + "x" for i in range(60)})
+    files.write.parquet(str(tmp_path / "files"))
+    export = export_files(spark.read.parquet(str(tmp_path / "files")), ExportOptions(generated_at=STAMP))
+    parts = export.parts(300)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange (?:hashpartitioning|rangepartitioning)\(([^\n]*)", plan)
+    assert len([m for m in moved if "chunk" in m]) == 1
+    sizes = [len(r.body.encode()) for r in parts.orderBy("part").collect()]
+    assert sum(sizes) == export.metrics.head().bytes_written and len(sizes) > 20
+
+
+def test_ranges_hold_equal_bytes(make_files, tmp_path):
+    files = {("hot", f"long/{i:03d}.txt"): "word " * 400 for i in range(40)}
+    files |= {("hot", f"many/very/deep/folder/of/short/files/{i:04d}.c"): "x" for i in range(600)}
+    files |= {(f"small{i}", "a.c"): "x" for i in range(5)}
+    export = export_files(make_files(files), ExportOptions(generated_at=STAMP))
+    export.write(str(tmp_path / "out"), partitions=12)
+    pieces = sorted(glob.glob(str(tmp_path / "out/repo=hot/range=*/part-*")))
+    sizes = [os.path.getsize(p) for p in pieces]
+    assert len(sizes) >= 10 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    assert b"".join(open(p, "rb").read() for p in pieces).decode() == text_of(export, "hot")
+
+
 @pytest.mark.parametrize("part_bytes", [1, 200, 10**9])
 @pytest.mark.parametrize("numbers", [False, True])
 def test_unpack_gives_the_files_back(make_files, part_bytes, numbers):
