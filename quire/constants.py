@@ -78,6 +78,7 @@ SKIP_UNREADABLE_DIR = "unreadable_dir"
 SKIP_TOO_LARGE = "too_large"
 SKIP_IGNORED = "ignored"
 SKIP_SENSITIVE_NAME = "sensitive_name"
+SKIP_CHANGED = "changed"
 SKIP_UNREADABLE = "unreadable"
 SKIP_EMPTY = "empty"
 SKIP_BINARY = "binary"

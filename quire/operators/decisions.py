@@ -54,7 +54,8 @@ def skip_reason(options: ExportOptions, own_rules: Column | None = None) -> Colu
     if not options.allow_sensitive:
         reason = reason.when(is_sensitive_name(basename(path)), C.SKIP_SENSITIVE_NAME)
     reason = (
-        reason.when((kind == "unreadable") | content.isNull(), C.SKIP_UNREADABLE)
+        reason.when(kind == "changed", C.SKIP_CHANGED)
+        .when((kind == "unreadable") | content.isNull(), C.SKIP_UNREADABLE)
         .when(F.octet_length(content) > options.max_file_bytes, C.SKIP_TOO_LARGE)
         .when(F.octet_length(content) == 0, C.SKIP_EMPTY)
         .when(is_binary(content), C.SKIP_BINARY)

@@ -45,11 +45,13 @@ from quire.sources.splits import folder_value
 Query = Callable[[SparkSession, str], DataFrame]
 
 STAMP = "2026-01-01T00:00:00Z"
+#: A size limit that admits every text, where the limit is not what a query shows.
+WHOLE = 2**31 - 1
 SCAN = ExportOptions(ignore_lines=("!build/keep/*.txt",), generated_at=STAMP)
 NUMBERED = ExportOptions(
     ignore_lines=("!build/keep/*.txt",), generated_at=STAMP, line_numbers=True
 )
-HUNKS = ExportOptions(mode="staged", generated_at=STAMP, hunks=True, hunk_context=2)
+HUNKS = ExportOptions(mode="staged", generated_at=STAMP, hunks=True, hunk_context=2, max_file_bytes=WHOLE)
 #: Parts this small make every repository continue over several rows.
 SMALL_PART = 65_536
 BUDGET = ExportOptions(
@@ -67,10 +69,6 @@ BRACKET_RULES = IgnoreRules([
 PRUNE_RULES = IgnoreRules(["vendor/", "!vendor/keep/", "*.tmp", "/apps/**/gen/", "docs/**"])
 
 
-#: A size limit that admits every text, where the limit is not what a query shows.
-WHOLE = 2**31 - 1
-
-
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return corpora.table(spark, sf_dir, "documents").select(*columns)
 
@@ -89,7 +87,7 @@ def _entries(spark: SparkSession, sf_dir: str, options: ExportOptions = SCAN) ->
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on links and other kinds besides regular files, none of them read."""
     kind = F.expr("CASE length(path) + size % 7 WHEN 10 THEN 'symlink' WHEN 11 THEN 'other' WHEN 12 THEN 'unreadable' "
-                  "WHEN 13 THEN 'unreadable_dir' ELSE 'file' END")
+                  "WHEN 13 THEN 'unreadable_dir' WHEN 14 THEN 'changed' ELSE 'file' END")
     files = corpora.plain_document_files(spark, sf_dir).withColumn("kind", kind)
     return decisions(files, ExportOptions(mode="stdin", max_file_bytes=WHOLE)).select("repo", "path", "skip_reason")
 
@@ -242,7 +240,7 @@ CONTEXT_RULE = SecretRule(
 
 
 def contextual_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = ExportOptions(mode="stdin")
+    options = ExportOptions(mode="stdin", max_file_bytes=WHOLE)
     files = corpora.plain_document_files(spark, sf_dir)
     return secret_findings(files, options, (CONTEXT_RULE,))
 
@@ -424,7 +422,7 @@ def sliced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN doc_id % 3 = 0 THEN 'A' ELSE 'M' END").alias("change_type"),
         F.lit(None).cast("string").alias("previous_path"),
     )
-    options = ExportOptions(mode="staged", hunks=True, hunk_context=1, line_numbers=True)
+    options = ExportOptions(mode="staged", hunks=True, hunk_context=1, line_numbers=True, max_file_bytes=WHOLE)
     accepted = entries(files, options)
     hunks = hunk_ops.hunks_from_patches(corpora.patches(spark, sf_dir))
     marked = hunk_ops.with_render_mode(
@@ -525,12 +523,12 @@ def broken_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = ExportOptions(generated_at=STAMP)
+    options = ExportOptions(generated_at=STAMP, max_file_bytes=WHOLE)
     return export_files(corpora.page_files(spark, sf_dir), options).metrics
 
 
 def turn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = ExportOptions(generated_at=STAMP, line_numbers=True, show_tree=False)
+    options = ExportOptions(generated_at=STAMP, line_numbers=True, show_tree=False, max_file_bytes=WHOLE)
     return export_files(corpora.turn_files(spark, sf_dir), options).metrics
 
 
@@ -545,7 +543,8 @@ def change_log_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN doc_id % 4 = 1 THEN concat('old/', cast(doc_id AS string)) END")
         .alias("previous_path"),
     )
-    options = ExportOptions(mode="diff", diff_range="v1..v2", generated_at=STAMP, show_tree=False)
+    options = ExportOptions(
+        mode="diff", diff_range="v1..v2", generated_at=STAMP, show_tree=False, max_file_bytes=WHOLE)
     return export_changes(files, changes, options).metrics
 
 

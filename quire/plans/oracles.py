@@ -377,7 +377,7 @@ parsed AS (SELECT repo, path, regexp_extract(line, '^@@ -\\d+(?:,\\d+)? \\+(\\d+
 hunks AS (SELECT repo, path, CAST(s AS BIGINT) AS new_start,
   CASE WHEN c = '' THEN 1 ELSE CAST(c AS BIGINT) END AS new_count FROM parsed)"""
 PLAIN_SIZES = f"""sizes AS (SELECT repo, path, {LINES.format('body')} AS total_lines FROM pf
-  WHERE strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')}
+  WHERE body <> '' AND NOT {binary('body')}
    AND {FIRST_SECRET} IS NULL)"""
 FROM_PATCHES = f"{PLAIN}, {PATCH_HUNKS}, {PLAIN_SIZES}, {ranges(1)}"
 
@@ -424,7 +424,7 @@ changes AS (SELECT repo, path, change_type, CAST(NULL AS VARCHAR) AS previous_pa
   WHERE change_type IN ('A', 'M') AND NOT EXISTS (SELECT 1 FROM all_renamed r
     WHERE r.repo = d.repo AND r.path = d.path)
   UNION ALL SELECT * FROM all_renamed),
-ok AS (SELECT * FROM head WHERE strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')}
+ok AS (SELECT * FROM head WHERE body <> '' AND NOT {binary('body')}
   AND {FIRST_SECRET} IS NULL),
 listed AS (SELECT c.* FROM changes c JOIN ok USING (repo, path)),
 new AS (SELECT o.* FROM ok o JOIN listed c ON c.repo = o.repo AND c.path = o.path
@@ -456,14 +456,14 @@ PATH_PARTS = "'^https?://([^/]+)/?([^?#]*)'"
 PAGES = f"""vf AS (SELECT regexp_extract(url, {PATH_PARTS}, 1) AS repo, concat('p', page_id, '/',
   regexp_extract(url, {PATH_PARTS}, 2), '_index.html') AS path, html AS body FROM pages),
 acc AS (SELECT *, 'html' AS lang, {FENCE.format('body')} AS fence_len FROM vf
-  WHERE strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL
+  WHERE body <> '' AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL
    AND NOT regexp_matches(path, '(^|/)(\\.git|node_modules|build|dist|bin|\\.venv|__pycache__|\\.env)/')),
 {artifact(FULL_BLOCK)}"""
 TURNS = f"""vf AS (SELECT role AS repo, concat('conv/', conv_id, '/', turn, '.md') AS path,
   text AS body FROM conversations),
 acc AS (SELECT *, 'markdown' AS lang, {FENCE.format('body')} AS fence_len,
   {LINES.format('body')} AS total_lines FROM vf
-  WHERE strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL),
+  WHERE body <> '' AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL),
 repos AS (SELECT DISTINCT repo FROM vf), shown AS (SELECT DISTINCT repo FROM acc),
 pieces AS (SELECT repo, 0 AS section,
   {header('recursive', f"{NL}, 'Line numbers: on',", SCAN_TEXT)} AS body FROM repos
@@ -477,7 +477,7 @@ listed AS (SELECT p.repo, p.path, p.body,
   CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'R' ELSE 'M' END AS change_type,
   CASE WHEN doc_id % 4 = 1 THEN concat('old/', doc_id) END AS previous_path
   FROM pf p JOIN documents d ON p.path = concat('doc/', doc_id, '.txt') WHERE doc_id % 4 <> 3
-   AND strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL),
+   AND body <> '' AND NOT {binary('body')} AND {FIRST_SECRET} IS NULL),
 acc AS (SELECT *, CAST(NULL AS VARCHAR) AS lang, {FENCE.format('body')} AS fence_len FROM listed),
 repos AS (SELECT DISTINCT repo FROM pf), shown AS (SELECT DISTINCT repo FROM acc),
 pieces AS (SELECT repo, 0 AS section, {header('diff', '', DIFF_TEXT)} AS body FROM repos
@@ -492,7 +492,7 @@ pieces AS (SELECT repo, 0 AS section, {header('diff', '', DIFF_TEXT)} AS body FR
 ORACLES: dict[str, str] = {
     "file_kinds": _with(f"""{PLAIN}, k AS (SELECT *, length(path) + strlen(body) % 7 AS n FROM pf)""",
                         f"""SELECT repo, path, CASE n WHEN 10 THEN 'symlink' WHEN 11 THEN 'not_regular' WHEN 12 THEN 'unreadable'
- WHEN 13 THEN 'unreadable_dir' ELSE CASE WHEN body = '' THEN 'empty' WHEN {binary('body')} THEN 'binary'
+ WHEN 13 THEN 'unreadable_dir' WHEN 14 THEN 'changed' ELSE CASE WHEN body = '' THEN 'empty' WHEN {binary('body')} THEN 'binary'
  WHEN {FIRST_SECRET} IS NOT NULL THEN 'sensitive_content' END END AS skip_reason FROM k"""),
     "invalid_bytes": f"""WITH t AS (SELECT doc_id, text AS body, concat(hex(text), CASE doc_id % 8 WHEN 0 THEN 'C328' WHEN 1 THEN 'EDA080'
   WHEN 2 THEN 'F4908080' WHEN 3 THEN 'C080' WHEN 4 THEN 'C3A9' WHEN 5 THEN 'E282' WHEN 6 THEN 'F09F9880' ELSE 'EE8080' END) AS h
@@ -553,7 +553,7 @@ SELECT doc_id, {binary('body')} OR NOT regexp_matches(h, '^([0-7].|(C[2-9A-F]|D.
     "contextual_secrets": _with(PLAIN, f"""SELECT repo, path, 'hex_token' AS rule, 'soft' AS severity,
  CAST(n AS BIGINT) AS n_hits FROM (SELECT repo, path, len(regexp_extract_all(body,
   '(?:Bearer |[=:](?:[^\\n\\r]{{0,30}}[^\\n\\r0-9a-f])?)[0-9a-f]{{40}}(?:[^0-9a-f]|\\z)')) AS n FROM pf
-  WHERE strlen(body) BETWEEN 1 AND 102400 AND NOT {binary('body')}) WHERE n > 0"""),
+  WHERE body <> '' AND NOT {binary('body')}) WHERE n > 0"""),
     "ignore_decisions": _with(walk(DEEP), """SELECT doc_id, path, ignored FROM paths
  JOIN walked w ON w.prefix = path AND NOT w.is_dir""", recursive=True),
     "bracket_rules": _with(walk(BRACKETS), """SELECT doc_id, path, ignored FROM paths

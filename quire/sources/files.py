@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,12 +64,12 @@ def read_binary_files(
 
 _BATCH_ROWS = 10_000
 _BATCH_BYTES = 8 * 1024 * 1024
-_LISTED = "repo string, root string, path string, size long, kind string"
+_LISTED = "repo string, root string, path string, size long, kind string, identity string"
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One level: directories in, their entries out, in bounded batches."""
-    columns = ["repo", "root", "path", "size", "kind"]
+    columns = ["repo", "root", "path", "size", "kind", "identity"]
     for batch in batches:
         for repo, root, path in zip(batch["repo"], batch["root"], batch["path"], strict=True):
             rows: list[tuple] = []
@@ -81,46 +81,81 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
             except OSError:
-                rows.append((repo, root, path, 0, "unreadable_dir"))
+                rows.append((repo, root, path, 0, "unreadable_dir", None))
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
 
-def _describe(entry: os.DirEntry, parent: str) -> tuple[str, int, str]:
+def _describe(entry: os.DirEntry, parent: str) -> tuple[str, int, str, str | None]:
     path = f"{parent}/{entry.name}" if parent else entry.name
     try:
         info = entry.stat(follow_symlinks=False)
     except OSError:
-        return path, 0, "unreadable"
+        return path, 0, "unreadable", None
     if stat.S_ISLNK(info.st_mode):
-        return path, info.st_size, "symlink"
+        return path, info.st_size, "symlink", None
     if stat.S_ISDIR(info.st_mode):
-        return path, 0, "dir"
-    return path, info.st_size, "file" if stat.S_ISREG(info.st_mode) else "other"
+        return path, 0, "dir", None
+    return path, info.st_size, "file" if stat.S_ISREG(info.st_mode) else "other", _identity(info)
 
 
-def _read_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _identity(info: os.stat_result) -> str:
+    return f"{info.st_dev}:{info.st_ino}"
+
+
+def read_guarded(
+    path: str, identity: str | None, limit: int | None, during: Callable[[], None] | None = None
+) -> tuple[str, int, bytes | None]:
+    """Kind, size and body of a regular file that may change while it is read.
+
+    A file above ``limit``, or one that grows above it, has no body and the size that says so. One that is not the
+    listed file any more, or whose size or times change between opening and the end of reading, is ``changed``. No more
+    is read than its size at opening and one byte. ``during`` runs after opening.
+    """
+    # Without blocking: a pipe may have taken the place of the file.
+    descriptor = os.open(path, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
+    with os.fdopen(descriptor, "rb") as handle:
+        before = os.fstat(descriptor)
+        if not stat.S_ISREG(before.st_mode) or identity not in (None, _identity(before)):
+            return "changed", before.st_size, None
+        if limit is not None and before.st_size > limit:
+            return "file", before.st_size, None
+        if during:
+            during()
+        content = handle.read(before.st_size + 1)
+        after = os.fstat(descriptor)
+    if limit is not None and max(len(content), after.st_size) > limit:
+        return "file", max(len(content), after.st_size), None
+    same = (before.st_size, before.st_mtime_ns, before.st_ctime_ns) == (after.st_size, after.st_mtime_ns, after.st_ctime_ns)
+    if not same or len(content) != after.st_size:
+        return "changed", after.st_size, None
+    return "file", len(content), content
+
+
+def _read_bodies(limit: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Bodies of listed files, in output batches of a few megabytes."""
     columns = FILES.fieldNames()
-    rows: list[tuple] = []
-    held = 0
-    for batch in batches:
-        for repo, root, path, size, kind, wanted in batch.itertuples(index=False):
-            content = None
-            if wanted:
-                try:
-                    with open(os.path.join(root, path), "rb") as handle:
-                        content = handle.read()
-                    size = len(content)
-                except OSError:
-                    kind = "unreadable"
-            rows.append((repo, path, content, size, kind))
-            held += size if content is not None else 0
-            if held > _BATCH_BYTES or len(rows) == _BATCH_ROWS:
-                yield pd.DataFrame(rows, columns=columns)
-                rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(rows, columns=columns)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for repo, root, path, size, kind, identity, wanted in batch.itertuples(index=False):
+                content = None
+                if wanted:
+                    try:
+                        kind, size, content = read_guarded(os.path.join(root, path), identity, limit)
+                    except OSError:
+                        kind = "unreadable"
+                rows.append((repo, path, content, size, kind))
+                held += size if content is not None else 0
+                if held > _BATCH_BYTES or len(rows) == _BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    return read
 
 
 def scan_directories(
@@ -134,7 +169,7 @@ def scan_directories(
     The walk goes one level at a time, each level spread over the cluster by directory, so a
     deep or wide root does not end up in one task. Dot files, empty files, links and
     unreadable entries are reported. Bodies are read last, not for files above
-    ``max_file_bytes``. With ``rules`` a directory that can hold nothing to keep is not
+    ``max_file_bytes``; a file that is replaced or changes meanwhile has the kind ``changed`` (:func:`read_guarded`). With ``rules`` a directory that can hold nothing to keep is not
     entered and shows as one row of kind ``pruned_dir``.
     """
     level = spark.createDataFrame(
@@ -161,5 +196,5 @@ def scan_directories(
     return (
         listing.withColumn("wanted", wanted)
         .repartition("repo", "path")
-        .mapInPandas(_read_bodies, FILES)
+        .mapInPandas(_read_bodies(max_file_bytes), FILES)
     )

@@ -12,6 +12,7 @@ from quire.operators.decisions import decisions, skip_counters
 from quire.operators.unpack import unpack
 from quire.sinks import write_decisions
 from quire.sinks.artifact import range_name
+from quire.sources.files import read_guarded
 from quire.sources import (
     read_archive,
     read_artifacts,
@@ -71,6 +72,43 @@ def test_unreadable_directory(spark, tree):
     assert [r.path for r in rows if r.kind == "unreadable_dir"] == ["src"]
 
 
+def test_files_that_change_while_they_are_read(tmp_path):
+    file = tmp_path / "f"
+
+    def read(during=None, limit=100, identity=None, body=b"x" * 50):
+        file.write_bytes(body)
+        return read_guarded(str(file), identity, limit, during)
+
+    def replace():
+        (tmp_path / "g").write_bytes(b"y" * 50)
+        os.replace(tmp_path / "g", file)
+
+    assert read() == ("file", 50, b"x" * 50) and read(limit=None) == ("file", 50, b"x" * 50)
+    assert read(body=b"") == ("file", 0, b"") and read(limit=50)[2] is not None
+    assert read(limit=49) == ("file", 50, None)
+    assert read(lambda: file.open("ab").write(b"z")) == ("changed", 51, None)
+    assert read(lambda: file.open("ab").write(b"z"), limit=None) == ("changed", 51, None)
+    assert read(lambda: file.open("ab").write(b"z" * 51)) == ("file", 101, None)
+    assert read(lambda: os.truncate(file, 10)) == ("changed", 10, None)
+    assert read(replace)[0] == "changed"
+    info = os.stat(file)
+    assert read(identity=f"{info.st_dev}:{info.st_ino}")[0] == "file"
+    assert read(identity="1:1")[0] == "changed"
+    os.remove(file)
+    os.mkfifo(file)
+    assert read_guarded(str(file), None, 100)[0] == "changed"
+    os.remove(file)
+    os.symlink(tmp_path / "other", file)
+    with pytest.raises(OSError):
+        read_guarded(str(file), None, 100)
+
+
+def test_changed_files_have_a_reason(make_files):
+    files = make_files({"a.c": "x", "b.c": "x"}, kinds={"b.c": "changed"})
+    decided = {r.path: r.skip_reason for r in decisions(files, ExportOptions()).collect()}
+    assert decided == {"a.c": None, "b.c": "changed"}
+
+
 def test_missing_root_is_reported(spark, tmp_path):
     rows = scan_directories(spark, {"r": str(tmp_path / "nope")}).collect()
     assert [(r.path, r.kind) for r in rows] == [("", "unreadable_dir")]
