@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import estimate_tokens
 from quire.operators.render import FILES
-from quire.operators.scale import HOT_KEY_ROWS, hot_key_join
+from quire.operators.scale import HOT_KEY_ROWS, hot_key_join, pieces_of
 from quire.options import ExportOptions
 
 
@@ -42,7 +42,8 @@ def within_budget(
     """Blocks of artifacts that may be written. ``metrics`` should be stored."""
     failed = metrics.filter(F.col("verdict") == "fail").select("repo")
     # Every file is a block, so the counts are already there.
-    large = metrics.filter(F.col("files_exported") >= min_hot_rows).select("repo")
+    large = metrics.filter(F.col("files_exported") >= min_hot_rows).select(
+        "repo", pieces_of(F.col("files_exported"), max(min_hot_rows, 1)).alias("_pieces"))
     return hot_key_join(
         blocks,
         failed,

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A key with at least this many rows is split over several tasks.
+#: A key with at least this many rows is split over several tasks, none with more rows of it than this.
 HOT_KEY_ROWS = 1_000_000
-#: Number of pieces a hot key is split into.
-HOT_KEY_PIECES = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -34,7 +33,8 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
     The rows are computed once, the lineage ends here, and a lost executor costs nothing but
-    a repeated read. Tables stay until the folder is cleaned, as checkpoints do.
+    a repeated read. Tables stay until the folder is cleaned, as checkpoints do, or until the
+    block of :func:`temporary_tables` around them ends.
     """
     spark = df.sparkSession
     location = written_folder(spark)
@@ -45,13 +45,36 @@ def stored(df: DataFrame) -> DataFrame:
 def written_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/quire-{uuid.uuid4().hex}"
+    location = f"{spark.sparkContext.getCheckpointDir()}/quire-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(location)
+    return location
+
+
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Drop all tables that :func:`stored` writes in the block when it ends.
+
+    For whole jobs: what is made in the block must be written or collected in it.
+    """
+    owned: list[str] = []
+    _owners.append(owned)
+    try:
+        yield
+    finally:
+        _owners.pop()
+        for location in owned:
+            path = spark._jvm.org.apache.hadoop.fs.Path(location)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hot_keys(
     df: DataFrame, keys: list[str], total_rows: int, min_rows: int = HOT_KEY_ROWS
 ) -> DataFrame | None:
-    """Keys with at least ``min_rows`` of the ``total_rows`` rows, or None without any.
+    """Keys with at least ``min_rows`` of the ``total_rows`` rows and their ``_pieces``, or None without any.
 
     At most ``count(df) / min_rows`` keys can qualify, which bounds the result by the
     choice of ``min_rows``: ten billion rows give no more than ten thousand keys. The counts
@@ -60,10 +83,15 @@ def hot_keys(
     if total_rows < min_rows:
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    found = stored(counts.filter(F.col("_rows") >= min_rows).select(*keys))
+    found = stored(counts.filter(F.col("_rows") >= min_rows).select(*keys, pieces_of(F.col("_rows"), min_rows).alias("_pieces")))
     return None if found.isEmpty() else found
 
 
+def pieces_of(rows: Column, min_rows: int) -> Column:
+    """Pieces for a key of so many rows: twice as many as needed, as hashes don't split evenly."""
+    return F.greatest(F.lit(2), F.ceil(2 * rows / F.lit(min_rows))).cast("int")
+
+
 def hot_key_join(
     big: DataFrame,
     small: DataFrame,
@@ -71,28 +99,27 @@ def hot_key_join(
     hot: DataFrame | None,
     spread: Column,
     how: str = "left",
-    pieces: int = HOT_KEY_PIECES,
 ) -> DataFrame:
     """Join many rows to few when the keys ``hot`` hold a large share of ``big``.
 
-    Rows of a hot key are spread over ``pieces`` tasks by the hash of ``spread``, which must
+    Rows of a hot key are spread over its pieces by the hash of ``spread``, which must
     be a function of the row so that a retried task puts each row in the same piece. The
     matching rows of ``small`` are repeated per piece, those of other keys stay single.
-    ``hot`` comes from :func:`hot_keys`, whose size is bounded; without any it is a plain
-    join. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``hot`` comes from :func:`hot_keys`, whose size is bounded and whose pieces follow the rows of each key; without any
+    it is a plain join. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
     if hot is None:
         return big.join(small, on, how)
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    piece = F.pmod(F.xxhash64(spread), F.lit(pieces)).cast("int")
+    marked = F.broadcast(hot)
+    piece = F.pmod(F.xxhash64(spread), F.col("_pieces")).cast("int")
     left = big.join(marked, on, "left").withColumn(
-        "_piece", F.when(F.col("_hot"), piece).otherwise(0)
+        "_piece", F.when(F.col("_pieces").isNotNull(), piece).otherwise(0)
     )
-    all_pieces = F.sequence(F.lit(0), F.lit(pieces - 1))
+    all_pieces = F.sequence(F.lit(0), F.col("_pieces") - 1)
     right = small.join(marked, on, "left").withColumn(
-        "_piece", F.explode(F.when(F.col("_hot"), all_pieces).otherwise(F.array(F.lit(0))))
+        "_piece", F.explode(F.when(F.col("_pieces").isNotNull(), all_pieces).otherwise(F.array(F.lit(0))))
     )
-    return left.drop("_hot").join(right.drop("_hot"), [*on, "_piece"], how).drop("_piece")
+    return left.drop("_pieces").join(right.drop("_pieces"), [*on, "_piece"], how).drop("_piece")
 
 
 def running(

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from quire.operators.scale import (
     narrow_by_keys,
     running,
     stored,
+    temporary_tables,
 )
 
 
@@ -48,12 +50,44 @@ def test_hot_key_join_equals_plain_join(spark, how, min_rows):
     small = spark.createDataFrame([(k, f"n{k}") for k in (0, 1, 2, 70)], "k bigint, name string")
     hot = hot_keys(big, ["k"], big.count(), min_rows)
     assert (hot is None) == (min_rows > 3000)
-    joined = hot_key_join(big, small, ["k"], hot, F.col("v"), how, pieces=5)
+    joined = hot_key_join(big, small, ["k"], hot, F.col("v"), how)
     plain = big.join(small, ["k"], how)
     assert joined.columns == plain.columns
     assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+def test_pieces_follow_the_rows_of_a_key(spark):
+    big = spark.range(60_000).select(
+        F.when(F.col("id") < 50_000, 0).when(F.col("id") < 52_000, 1).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (55_000, "c")], "k bigint, name string")
+    hot = hot_keys(big, ["k"], 60_000, 1_000)
+    assert {r.k: r._pieces for r in hot.collect()} == {0: 100, 1: 4}
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = hot_key_join(big, small, ["k"], hot, F.col("id"), "inner")
+        met = joined.groupBy("k", F.spark_partition_id().alias("task")).count()
+        assert met.agg(F.max("count")).head()[0] <= 2_000 and joined.count() == 52_001
+        assert met.filter("k = 0").count() > 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for name in ("adaptive.enabled", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_temporary_tables_are_dropped(spark):
+    kept = stored(spark.range(3))
+    with temporary_tables(spark):
+        inner = stored(spark.range(4))
+        with temporary_tables(spark):
+            assert stored(inner).count() == 4
+        folder = inner.inputFiles()[0]
+        assert inner.count() == 4
+    assert not os.path.exists(folder.removeprefix("file://").removeprefix("file:"))
+    assert kept.count() == 3
+
+
 @pytest.mark.parametrize("limit", [0, 10_000])
 def test_narrow_by_keys(spark, limit):
     big = spark.range(50).withColumnRenamed("id", "k")
