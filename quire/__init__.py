@@ -1,5 +1,7 @@
 """Quire: clean, size-accounted Markdown context from tables of source files, on Spark."""
 
+from quire.operators.change_lists import read_change_lists
+from quire.operators.stored_artifacts import unpack_stored
 from quire.options import ExportOptions
 from quire.plans.export import (
     Export,
@@ -11,5 +13,5 @@ from quire.plans.export import (
 
 __all__ = [
     "Export", "ExportOptions", "export_changes", "export_files", "export_snapshots",
-    "unpack_files",
+    "read_change_lists", "unpack_files", "unpack_stored",
 ]
