@@ -286,13 +286,16 @@ def near_duplicates(
     reps = scratch.store(
         sets_of.filter("n > 0").groupBy(*equal).agg(F.min("row").alias("sid"), *[F.first(c).alias(c) for c in ("prefix", *SKETCH)]),
         "reps")
+    # From here on only the representatives need their prefixes.
+    rows_of = scratch.store(sets_of.select("row", *equal), "rows")
+    scratch.drop(reps, rows_of)
     release(scratch)
     roots = components(links(reps, source.select("row", "text"), size, percent, scratch), scratch)
     placed = scratch.store(
         reps.select("sid", *equal).join(roots, F.col("sid") == F.col("node"), "left")
         .select(*equal, F.coalesce("root", "sid").alias("root")), "roots")
     linked = scratch.store(
-        sets_of.select("row", *equal).join(placed, equal, "left").join(keys, "row"), "linked")
+        rows_of.join(placed, equal, "left").join(keys, "row"), "linked")
     best = linked.filter("n > 0").groupBy("root").agg(
         F.min("key").alias("component_id"),
         F.min(F.struct(F.col("key").isNull(), "key", "row"))["row"].alias("_keeper"))
