@@ -167,6 +167,25 @@ def test_nbest_against_all_segmentations(vocabulary):
         assert [s for s, _ in ranked] == best[:5]
         assert len({tuple(i) for _, i in ranked}) == len(ranked)
         assert all(pieces.decode(vocabulary, i) == text for _, i in ranked)
+        # The digested changes lead from the best segmentation to the others.
+        found, _, combined = pieces.ranked(vocabulary, text, 5)
+        lines = pieces.changes_text(found, combined).split("\n") if len(combined) > 1 else []
+        for line, (_, other) in zip(lines, ranked[1:], strict=True):
+            changed = list(ranked[0][1])
+            for change in reversed(line.split(";")):
+                before, replaced, new = change.split(":")
+                changed[int(before) : int(before) + int(replaced)] = map(int, new.split())
+            assert changed == other
+
+
+def test_memory_of_chunks(vocabulary, monkeypatch):
+    texts = [" ".join(rng.choice(("alpha", "beta", "gamma", "日本", "x")) + str(rng.randrange(40)) for _ in range(30)) for _ in range(20)]
+    whole = [pieces.segment(vocabulary, t) for t in texts]
+    monkeypatch.setattr(pieces, "CACHE_CHUNKS", 6)
+    monkeypatch.setattr(pieces, "CACHE_SEARCHES", 2)
+    vocabulary.cache.clear(), vocabulary.old.clear(), vocabulary.searches.clear()
+    assert [pieces.segment(vocabulary, t) for t in texts] == whole
+    assert len(vocabulary.cache) <= 3 and len(vocabulary.old) <= 3 and len(vocabulary.searches) <= 2
 
 
 def test_pieces_round_trip(spark, vocabulary):
