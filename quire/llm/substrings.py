@@ -26,10 +26,12 @@ WINDOW = 13
 SEED = 3
 #: Documents to clean are picked by a broadcast of their ids up to this size, else by a shuffle.
 BROADCAST_BYTES = 8 * 1024 * 1024
+#: Parts in which windows are compared.
+SLICES = 4
 #: Order of a document without an id: after all others.
 LAST = 2**63 - 1
 
-STRETCHES = "anchor bigint, content int, doc bigint, body bigint, start int, n int"
+STRETCHES = "anchor bigint, content bigint, doc bigint, body bigint, start int, n int"
 WINDOWS = "hash bigint, doc bigint, body bigint, at int"
 
 
@@ -69,7 +71,7 @@ def stretches(group: Group, window: int = WINDOW, seed: int = SEED) -> dict[str,
     content = run_hash(sums, down, begin, end + window - 1)
     text = group.text[begin]
     return {
-        "anchor": signed(gram[place[begin]]), "content": (content >> U(33)).astype(np.int32), "text": text,
+        "anchor": signed(gram[place[begin]]), "content": signed(content), "text": text,
         "start": (begin - group.first[text]).astype(np.int32), "n": (end - begin).astype(np.int32),
     }
 
@@ -167,10 +169,21 @@ def repeated_ranges(
     ids = scratch.store(mixed.select("doc").distinct(), "ids")
     texts = with_body(picked(rows, ids)).join(mixed, ["doc", "body"])
     windows = scratch.store(texts.mapInPandas(run, WINDOWS), "windows")
-    first = windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("_high")).filter("low < _high")
-    single = windows.join(first, "hash").filter("doc > low").select(
-        "doc", "body", F.col("at").alias("start"), F.lit(1).alias("n"))
-    return scratch.store(whole.union(single), "ranges")
+    del texts
+    release(scratch)
+    # Windows are compared one slice of their hashes after the other, so that only a slice is shuffled at a time.
+    ranges = whole
+    for part in range(SLICES):
+        own = windows.filter(F.pmod("hash", F.lit(SLICES)) == part)
+        first = own.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("_high")).filter("low < _high")
+        single = scratch.store(own.join(first, "hash").filter("doc > low").select(
+            "doc", "body", F.col("at").alias("start"), F.lit(1).alias("n")), "single")
+        ranges = ranges.union(single)
+        del own, first
+        release(scratch)
+    ranges = scratch.store(ranges, "ranges")
+    scratch.drop(ranges)
+    return ranges
 
 
 def clean_rows(
@@ -235,8 +248,8 @@ def repeat_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     A null or blank text has no words. A row without a key comes after all others and can lose
     words to them, never the other way; rows that share a key count as one document and do not
-    affect each other. Repeated rows get the same result. Other columns are not read. Runs are
-    compared by 64-bit hashes, and contents of one anchor by 31 bits more.
+    affect each other. Repeated rows get the same result. Other columns are not read. Windows and the contents of
+    stretches are compared by 64-bit hashes.
     """
     scratch = Scratch(df.sparkSession)
     rows = df.select(order_key(key).alias("doc"), F.col(text).alias("text"), F.col(key).alias(key))
