@@ -14,6 +14,8 @@ from quire.operators.scale import hot_key_join, hot_keys, running
 MOST_COPIES = 2
 #: Newton steps end when every source is this close to its target, relatively, or after MAX_STEPS.
 TOLERANCE = 1e-9
+#: Sums of the dual are taken in units of one by this.
+FIXED_POINT = float(1 << 20)
 MAX_STEPS = 60
 #: Copies are broadcast to the rows up to this size and shuffled beyond.
 BROADCAST_BYTES = 8 * 1024 * 1024
@@ -64,6 +66,11 @@ def rate(tilt: Column, size: Column, mean: Column) -> Column:
     return F.least(F.exp(exponent), F.lit(float(MOST_COPIES)))
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum in fixed point, so that it does not depend on the order in which tasks deliver their parts."""
+    return F.sum(F.round(value * F.lit(FIXED_POINT)).cast("decimal(38,0)")).cast("double") / F.lit(FIXED_POINT)
+
+
 def solve_tilts(scratch: Scratch, groups: DataFrame, targets: DataFrame) -> DataFrame:
     """Dual variables: (_source, target, mean, tilt).
 
@@ -86,7 +93,7 @@ def solve_tilts(scratch: Scratch, groups: DataFrame, targets: DataFrame) -> Data
         slope = F.when(taken < MOST_COPIES, tokens * F.col("_size") / F.col("mean")).otherwise(0.0)
         moved = groups.filter("_size > 0").join(state, "_source")
         sums = moved.groupBy("_source", "target", "mean", "source_size", "tilt", "low", "high").agg(
-            F.sum(tokens).alias("value"), F.sum(slope).alias("slope"))
+            exact_sum(tokens).alias("value"), exact_sum(slope).alias("slope"))
         gap = F.col("value") - F.col("target")
         low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
