@@ -186,6 +186,19 @@ def header_value(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
+class Hashed:
+    """A stream that hashes and counts what is read from it."""
+
+    def __init__(self, stream):
+        self.stream, self.sha1, self.size = stream, hashlib.sha1(), 0
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.sha1.update(data)
+        self.size += len(data)
+        return data
+
+
 def members(stream, block: int = 1 << 20) -> Iterator[bytes]:
     """Records of an archive, one gzip member each."""
     data = stream.read(block)
@@ -223,7 +236,8 @@ def read_archives(spark: SparkSession, location: str, payloads: bool = False) ->
         for batch in batches:
             for entry in batch.itertuples(index=False):
                 rows, held = [], 0
-                with fs.open_input_stream(f"{root}/{entry.file}", compression=None) as stream:
+                with fs.open_input_stream(f"{root}/{entry.file}", compression=None) as opened:
+                    stream = Hashed(opened)
                     for record in members(stream):
                         row = record_row(record, entry.file, payloads)
                         if row is not None:
@@ -232,7 +246,7 @@ def read_archives(spark: SparkSession, location: str, payloads: bool = False) ->
                         if held > 1 << 24:
                             yield frame(rows)
                             rows, held = [], 0
-                if fs.get_file_info(f"{root}/{entry.file}").size != entry.bytes:
+                if (stream.size, stream.sha1.hexdigest()) != (entry.bytes, entry.sha1):
                     raise ValueError(f"{entry.file} differs from the manifest")
                 yield frame(rows)
 
