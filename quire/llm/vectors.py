@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quire.llm.common import Scratch
 from quire.llm.components import components
@@ -26,6 +27,8 @@ BLOCKS = 4
 TILE = 16_384
 #: Rows of a tile that are multiplied at a time, and columns; the products stay in a core's cache.
 STRIP, ACROSS = 512, 2048
+#: Lengths that no more vectors have than this are compared without blocks.
+RARE_LENGTH = 2048
 #: Coordinates whose signs make the cells of a block, at most.
 MOST_SIGNS = 12
 #: Rounding allowance on squared distances.
@@ -39,7 +42,9 @@ FOUND = "a bigint, b bigint, n bigint"
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Rows (key, v, ok): ``ok`` when every component is finite and one is not zero."""
-    v = F.col(vector).cast("array<float>")
+    # Vectors stored in single precision stay so; all others are compared in double precision from the start.
+    single = df.schema[vector].dataType == ArrayType(FloatType(), df.schema[vector].dataType.containsNull)
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
     ok = (
         F.coalesce(F.size(v) > 0, F.lit(False))
         & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -209,13 +214,34 @@ def pigeonhole_links(groups: DataFrame, size: int, cosine: float, scratch: Scrat
         placed.filter("not home").withColumn("j", mine("down")).withColumn("i", every("across")))
     full = both.select("block", "cell", "home", "gid", "i", "j").join(groups, "gid")
 
-    def run(key, tile: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         return compare(tile[tile["home"]], tile[~tile["home"]], int(key[0]), spaces.value)
 
     # Batches of whole groups: a group holds two tiles at most.
     return scratch.store(full.groupBy("block", "cell", "i", "j").applyInPandas(run, FOUND), "found")
 
 
+def rare_links(groups: DataFrame, cosine: float) -> DataFrame:
+    """The same for lengths of at most RARE_LENGTH vectors, each compared in one task as a whole."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        u, gid, times = units(part["v"].tolist()), part["gid"].to_numpy(), part["m"].to_numpy()
+        i, j = np.nonzero(u @ u.T >= cosine - SLACK)
+        other = (i != j) & ((u[i] * u[j]).sum(axis=1) >= cosine)
+        i, j = i[other], j[other]
+        counts = np.zeros(len(u), dtype=np.int64)
+        np.add.at(counts, i, times[j])
+        forest = Forest()
+        forest.add(gid[i], gid[j])
+        x, y = forest.edges()
+        some = np.flatnonzero(counts)
+        return pd.DataFrame({
+            "a": np.concatenate([gid[some], x]), "b": np.concatenate([gid[some], y]),
+            "n": np.concatenate([counts[some], np.zeros(len(x), dtype=np.int64)])})
+
+    return groups.withColumn("size", F.size("v")).groupBy("size").applyInPandas(run, FOUND)
+
+
 def near_vectors(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95
 ) -> DataFrame:
@@ -232,17 +258,11 @@ def near_vectors(
     groups = scratch.store(
         rows.filter("ok").groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("low"))
         .withColumn("gid", F.monotonically_increasing_id()), "groups")
-    lengths = [n for (n,) in groups.select(F.size("v")).distinct().limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-    found = None
-    for size in sorted(lengths):
-        part = pigeonhole_links(groups.filter(F.size("v") == size).select("gid", "v", "m"), size, cosine, scratch)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return rows.select(
-            F.col("key").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"),
-            F.lit(True).alias("kept"))
+    counted = groups.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    frequent = sorted(r.size for r in counted.filter(F.col("n") > RARE_LENGTH).select("size").collect())
+    found = scratch.store(rare_links(groups.filter(~F.size("v").isin(frequent)).select("gid", "v", "m"), cosine), "rare")
+    for size in frequent:
+        found = found.union(pigeonhole_links(groups.filter(F.size("v") == size).select("gid", "v", "m"), size, cosine, scratch))
     roots = components(found.filter("a != b").select("a", "b"), scratch)
     counts = found.filter("a = b").groupBy("a").agg(F.sum("n").alias("_n"))
     known = (

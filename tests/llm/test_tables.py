@@ -9,6 +9,7 @@ import random
 import numpy as np
 import pytest
 from helpers import documents, stored_documents
+from pyspark.sql import functions as F
 
 from quire.llm import extraction, ngram_join, substrings, vectors, warc
 from quire.llm.common import Scratch
@@ -63,6 +64,10 @@ def test_archives(spark, tmp_path):
     for name in names:
         assert open(f"{place}/{name}", "rb").read() == open(f"{place}2/{name}", "rb").read()
     assert warc.archive_report(df.limit(0)).count() == 0
+    wrong = spark.read.parquet(place + "/_manifest").withColumn("sha1", F.lit("0" * 40)).collect()
+    spark.createDataFrame(wrong, warc.MANIFEST).write.mode("overwrite").parquet(place + "/_manifest")
+    with pytest.raises(Exception, match="differs from the manifest"):
+        warc.read_archives(spark, place).collect()
 
 
 @pytest.mark.parametrize("html, text", [
@@ -151,9 +156,26 @@ def test_repeats(spark):
     assert substrings.repeat_report(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tile", [7, 16_384])
-def test_near_vectors(spark, monkeypatch, tile):
+def test_vectors_of_many_lengths_and_sizes(spark):
+    made = np.random.default_rng(5)
+    rows = []
+    for size in range(1, 71):
+        base = made.normal(size=size)
+        rows += [(len(rows), base.tolist()), (len(rows) + 1, (base * 3).tolist()), (len(rows) + 2, (-base).tolist())]
+    rows += [(1000, [1e300, 1e-300]), (1001, [2e300, 0.0]), (1002, [1e-300, 1e300]), (1003, [0.0, 5e-324]), (1004, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    for k in range(0, 210, 3):
+        # One-dimensional and two-dimensional vectors may meet others of their length only.
+        assert got[k + 1][1] == got[k][1] and got[k][0] >= 1
+    assert got[3 * 69] == (1, 207) and got[3 * 69 + 2] == (0, 209)
+    assert got[1000][1] == got[1001][1] and got[1002][1] == got[1003][1] and got[1004] == (0, 1004)
+
+
+@pytest.mark.parametrize("tile, rare", [(7, 0), (16_384, 0), (7, 2048)])
+def test_near_vectors(spark, monkeypatch, tile, rare):
     monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "RARE_LENGTH", rare)
     made = np.random.default_rng(4)
     centers = made.normal(size=(6, 16))
     rows = [(i, (centers[i % 6] + made.normal(size=16) * made.choice([0.02, 0.2])).astype("float32").tolist()) for i in range(60)]
