@@ -199,4 +199,8 @@ def test_pieces_round_trip(spark, vocabulary):
         if r.text:
             assert model.decode(r.piece_ids) == r.text and r.others[0] == r.piece_ids
             assert list(r.nbest_scores) == sorted(r.nbest_scores, reverse=True)
-    assert all(r.round_trip for r in pieces.piece_report(df).collect())
+    for r in pieces.piece_report(df).collect():
+        ids = pieces.segment(vocabulary, texts[r.doc_id] or "", 1)[0][1]
+        assert r.round_trip and r.n_pieces == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
