@@ -43,8 +43,7 @@ CACHE_SEARCHES = 20_000
 CACHED_LENGTH = 64
 #: Text bytes whose pieces are held at a time, besides a longer text.
 PART_BYTES = 2 * 1024 * 1024
-#: What is remembered of a chunk: ids and score of its best segmentation, what the second best loses, the ids in decimal, the decoded bytes.
-IDS, SCORE, LOSS, DECIMAL, DECODED = map(itemgetter, range(5))
+IDS, SCORE, LOSS = map(itemgetter, range(3))
 NBEST = 4
 
 
@@ -204,7 +203,7 @@ def ranked(vocabulary: Vocabulary, text: str, n: int) -> tuple[list[tuple], floa
         text = text.replace(SPACE, LITERAL)
     chunks = vocabulary.chunks.findall(SPACE + text.replace(" ", SPACE))
     found = list(map(vocabulary.cache.get, chunks))
-    if not all(found):
+    if None in found:
         fill(vocabulary, chunks, found)
     base = sum(map(SCORE, found))
     combined: list[tuple[float, tuple[Change, ...]]] = [(0.0, ())]
@@ -216,7 +215,7 @@ def ranked(vocabulary: Vocabulary, text: str, n: int) -> tuple[list[tuple], floa
         cut = np.partition(losses, n - 2)[n - 2]
         near = sorted(np.flatnonzero(losses <= cut).tolist(), key=lambda i: (losses[i], i))[: n - 1]
     for place in sorted(near):
-        ids, top = found[place][:2]
+        ids, top, _ = found[place]
         others = [(top - score, other) for score, other in searched(vocabulary, chunks[place], n) if other != ids]
         combined = heapq.nsmallest(n, chain(combined, (
             (loss + more, (*changes, (place, other))) for loss, changes in combined for more, other in others[: n - 1])))
@@ -286,8 +285,6 @@ def fill(vocabulary: Vocabulary, chunks: list[str], found: list) -> None:
                 entry = vocabulary.old.get(chunk)
                 if entry is None:
                     entry = best_path(vocabulary, chunk)
-                    ids = entry[0]
-                    entry = (*entry, " ".join(map(str, ids)), b"".join([vocabulary.texts[i] for i in ids]))
                 if len(chunk) <= CACHED_LENGTH:
                     if len(vocabulary.cache) >= CACHE_CHUNKS // 2:
                         vocabulary.old, vocabulary.cache = vocabulary.cache, {}
@@ -297,12 +294,8 @@ def fill(vocabulary: Vocabulary, chunks: list[str], found: list) -> None:
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     """The text of a segmentation: the space put before the text goes, bytes are joined."""
-    return plain(b"".join([vocabulary.texts[i] for i in ids]))
-
-
-def plain(joined: bytes) -> str:
-    text = joined.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    joined = b"".join([vocabulary.texts[i] for i in ids]).decode("utf-8", "replace")
+    return joined[1:] if joined.startswith(" ") else joined
 
 
 def with_pieces(
@@ -373,11 +366,13 @@ def piece_report(df: DataFrame, model: str = MODEL, n: int = NBEST) -> DataFrame
                   "nbest_scores array<double>, nbest_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
         vocabulary, rows = shared.value, []
+        decimal = [str(number) for number in range(len(vocabulary.texts))]
         for value in texts:
             found, base, combined = ranked(vocabulary, value, n) if value else ([], 0.0, [(0.0, ())])
-            text = plain(b"".join(map(DECODED, found)))
+            best = list(chain.from_iterable(map(IDS, found)))
+            text = decode(vocabulary, best)
             rows.append((
-                sum(map(len, map(IDS, found))), hashlib.sha256(" ".join(map(DECIMAL, found)).encode()).hexdigest(),
+                len(best), hashlib.sha256(" ".join([decimal[i] for i in best]).encode()).hexdigest(),
                 hashlib.sha256(text.encode()).hexdigest(), text == (value or ""), [base - loss for loss, _ in combined],
                 hashlib.sha256(changes_text(found, combined).encode()).hexdigest()))
         return pd.DataFrame(rows, columns=[
