@@ -52,6 +52,13 @@ def release(scratch: Scratch) -> None:
     scratch.spark._jvm.System.gc()
 
 
+def forget(scratch: Scratch, *tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads, and the shuffle files of the steps that are done."""
+    for location in {file.rsplit("/", 1)[0] for df in tables for file in df.inputFiles()}:
+        delete(scratch.spark, location)
+    release(scratch)
+
+
 def delete(spark: SparkSession, location: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(location)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -17,13 +17,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, release
+from quire.llm.common import Scratch, forget, release
 from quire.llm.components import components
 from quire.llm.hashing import U, Group, mix, run_bytes, signed, word_groups
 
@@ -33,8 +34,10 @@ HOT_BUCKET = 32
 #: Frequent tokens are paired where that gives at most this many entries per token; a set with more
 #: of them indexes them alone.
 PAIRS_PER_TOKEN = 4
-#: An entry names up to this many earlier tokens of its set.
+#: An entry names up to this many earlier tokens of its set; one of a pair of frequent tokens names the earlier frequent ones too.
 LEAD = 8
+#: Prefix tokens are counted in so many slices of their hashes, one after the other; a power of 2.
+TOKEN_SLICES = 4
 BROADCAST_BYTES = 8 * 1024 * 1024
 
 #: Words of the parity sketch of a set, 64 bits each.
@@ -140,20 +143,34 @@ def reachable(percent: int) -> Column:
     return (smaller * 100 >= larger * percent) & (seen <= apart)
 
 
-def heads(reps: DataFrame, percent: int) -> DataFrame:
+def shared_tokens(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sid, t, f) of the prefix tokens that ``f`` sets have, at least two.
+
+    Most prefix tokens belong to one set and are gone after the count. They are counted in slices whose shuffle files go
+    before the next, so what lies on disk at a time is a slice of all tokens and the few that are shared.
+    """
+    slices = []
+    for k in range(TOKEN_SLICES):
+        tokens = reps.select("sid", F.explode("prefix").alias("t")).filter(F.col("t").bitwiseAND(TOKEN_SLICES - 1) == k)
+        shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+        slices.append(scratch.store(tokens.join(shared, "t").select("sid", "t", "f"), f"tokens-{k}"))
+        del tokens, shared
+        release(scratch)
+    return reduce(DataFrame.union, slices)
+
+
+def heads(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Index tokens of each set that can have a partner: (sid, head, often, wide, u).
 
     ``u`` counts prefix tokens that no other set has; ``head`` holds the rarest others as (f, t),
     ``often`` the frequent ones of these. A set is ``wide`` when its frequent tokens are indexed alone:
     a partner may share only one token, or there are too many to pair them.
     """
-    tokens = reps.select("sid", "n", F.size("prefix").alias("_w"), F.explode("prefix").alias("t"))
-    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     partner = F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0) - F.lit(1e-9))
     need = (F.floor(partner / 32) + 1).cast("int")
-    ranked = tokens.join(shared, "t").groupBy("sid", "n", "_w").agg(
-        F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ranked")
-    ).withColumn("need", need).filter(F.size("ranked") >= F.col("need"))
+    # The tokens of one set: bounded by its prefix.
+    ranked = shared.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ranked")).join(
+        reps.select("sid", "n", F.size("prefix").alias("_w")), "sid").withColumn("need", need).filter(F.size("ranked") >= F.col("need"))
     kept = F.size("ranked") - F.col("need") + F.least(F.col("need"), F.lit(2))
     often = F.filter("head", lambda t: t["f"] > HOT_BUCKET)
     return ranked.withColumn("head", F.slice("ranked", F.lit(1), kept)).withColumn("often", often).select(
@@ -167,8 +184,9 @@ def entries(listed: DataFrame) -> DataFrame:
 
     ``lone`` entries serve only pairs of which one set is ``wide``. ``lead`` holds tokens that come before the entry's own
     and whose buckets compare the set as well: two sets that have one of them in common meet there already. They
-    are those with the least hashes among the first half of the tokens before it or more, so that sets
-    with much in common have the same ones.
+    are all of them where LEAD holds them, else those with the least hashes among two thirds of them or more, so that sets
+    with much in common have the same ones. The entry of two frequent tokens names all frequent ones before the later of
+    them as well: sets that share one of these meet in a pair of earlier tokens, so of all pairs they share only the first is left.
     """
 
     def least(tokens: Column) -> Column:
@@ -178,13 +196,15 @@ def entries(listed: DataFrame) -> DataFrame:
         "sid", "wide", "label", F.transform("head", lambda t: t["t"]).alias("all"),
         F.transform(F.filter("head", lambda t: t["f"] <= HOT_BUCKET), lambda t: t["t"]).alias("rare"),
         F.transform("often", lambda t: t["t"]).alias("often"))
-    doublings = F.sequence(F.lit(0), F.floor(F.log2(F.size("all") + 1)).cast("int"))
-    split = split.withColumn("leads", F.transform(
-        doublings, lambda k: least(F.slice("all", F.lit(1), F.pow(F.lit(2), k).cast("int")))))
-    none = F.array().cast("array<bigint>")
+    # Beginnings of LEAD, 1.5 LEAD, 2 LEAD, 3 LEAD, ... tokens, by number of tokens before an entry.
+    doublings = F.sequence(F.lit(0), F.greatest(F.floor(F.log2(F.size("all") / LEAD)), F.lit(0)).cast("int"))
+    split = split.withColumn("leads", F.flatten(F.transform(doublings, lambda k: F.array(*[
+        least(F.slice("all", F.lit(1), (F.pow(F.lit(2), k) * length).cast("int"))) for length in (LEAD, LEAD * 3 // 2)]))))
 
     def before(at: Column) -> Column:
-        return F.when(at > 0, F.get("leads", F.floor(F.log2(at)).cast("int"))).otherwise(none)
+        octave = F.floor(F.log2(F.greatest(at, F.lit(LEAD)) / LEAD)).cast("int")
+        upper = (at >= F.pow(F.lit(2), octave) * (LEAD * 3 // 2)).cast("int")
+        return F.when(at <= LEAD, F.slice("all", F.lit(1), at)).otherwise(F.get("leads", octave * 2 + upper))
 
     def entry(kind: str, lead: Column, *tokens: Column) -> Column:
         return F.struct(
@@ -195,7 +215,8 @@ def entries(listed: DataFrame) -> DataFrame:
     lone = F.transform("often", lambda t, i: entry("lone", before(F.size("rare") + i), t))
     pairs = F.flatten(F.transform("often", lambda a, i: F.transform(
         F.slice("often", i + 2, F.size("often")),
-        lambda b: entry("pair", least(F.col("rare")), F.least(a, b), F.greatest(a, b)))))
+        lambda b, j: entry("pair", F.concat(least(F.col("rare")), F.array_remove(
+            F.slice("often", F.lit(1), i + 1 + j), a)), F.least(a, b), F.greatest(a, b)))))
     no_entry = F.array().cast("array<struct<sig:bigint,lone:boolean,lead:array<bigint>>>")
     return split.select("sid", "wide", "label", F.explode(F.concat(
         rare, lone, F.when(F.col("wide"), no_entry).otherwise(pairs))).alias("e")
@@ -214,18 +235,22 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Verified links (a, b) between distinct sets that connect all that belong together; links
     inside one component may be left out."""
-    listed = scratch.store(heads(reps, percent), "heads")
-    release(scratch)
+    shared = shared_tokens(reps, scratch)
+    listed = scratch.store(heads(reps, shared, percent), "heads")
+    forget(scratch, shared)
     facts = reps.select("sid", "n", *SKETCH)
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.store(pairs.distinct(), f"{name}-candidates")
+        release(scratch)
         ids = scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{name}-ids")
         wanted = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
         sets = scratch.store(whole_sets(
             texts.join(wanted, F.col("row") == F.col("sid"), "left_semi"), size
         ).select(F.col("row").alias("sid"), F.size("tokens").alias("n"), "tokens"), f"{name}-sets")
-        return scratch.store(verify(pairs, sets, percent), name)
+        verified = scratch.store(verify(pairs, sets, percent), name)
+        forget(scratch, pairs, ids, sets)
+        return verified
 
     # Every set with a frequent token against the token's pivot.
     whole = ["u", "sid", "n", *SKETCH]
@@ -248,9 +273,12 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: S
     members = scratch.store(
         found.join(useful, "sig").filter("not lone or _wide").join(facts, "sid")
         .withColumn("inner", F.col("label") == F.col("main")).drop("_wide", "_labels", "main"), "members")
+    del by_label, useful
+    forget(scratch, found)
 
     def joined(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
-        lone = ~F.col("x.lone") | F.col("x.wide") | F.col("y.wide")
+        # Both sides are asked alike, so that one shuffle serves either.
+        lone = ~(F.col("x.lone") & F.col("y.lone")) | F.col("x.wide") | F.col("y.wide")
         apart = F.col("x.label") != F.col("y.label")
         first = ~F.arrays_overlap("x.lead", "y.lead")
         return left.alias("x").join(
@@ -259,7 +287,9 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: S
 
     outer, inner = members.filter("not inner"), members.filter("inner")
     candidates = joined(outer, outer, F.col("x.sid") < F.col("y.sid")).union(joined(inner, outer, F.lit(True)))
-    return spokes.union(checked(candidates, "links"))
+    outside = checked(candidates, "links")
+    forget(scratch, members)
+    return spokes.union(outside)
 
 
 def near_duplicates(
