@@ -2,7 +2,8 @@
 
 Each input row is a whole artifact or one part of it that starts and ends on a block
 boundary, so every row is parsed by itself: no shuffle, and one bad artifact does not stop
-the others.
+the others. An artifact of any size comes in parts; :func:`with_flags` gives all of them the flags of
+its header, and :func:`judged_whole` its status.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 from quire import constants as C
 from quire.functions.paths import contained_path, decode_heading
 from quire.functions.text import strip_line_numbers
+from quire.operators.scale import stored
 
 STATUS_OK = "ok"
 STATUS_HUNKS = "hunk_export"
 STATUS_MALFORMED = "malformed"
 STATUS_BAD_NUMBERS = "invalid_line_number"
 STATUS_UNSAFE = "unsafe_path"
+#: Flags of up to this many artifacts, some 50 bytes each, are broadcast.
+BROADCAST_HEADERS = 500_000
 
 _PREAMBLE_END = r"(?md)^## "
 _OTHER_LINES = r"(?:(?!## )[^\n]*\n)*+"
@@ -56,8 +60,20 @@ def preamble_flags(body: Column) -> tuple[Column, Column]:
 
 
 def with_flags(artifacts: DataFrame) -> DataFrame:
-    """Fill ``part``, ``line_numbers`` and ``hunks`` for whole artifacts ``(repo, body)``."""
+    """Fill ``part``, ``line_numbers`` and ``hunks`` for whole artifacts ``(repo, body)``.
+
+    With a column ``part`` the rows are parts of artifacts, and the flags of part 0, which holds the header, are those of all. ``artifacts``
+    is then read twice and should be stored; bodies stay in place while the headers are few.
+    """
     numbers, hunks = preamble_flags(F.col("body"))
+    if "part" in artifacts.columns:
+        headers = stored(artifacts.filter("part = 0").select(
+            F.col("repo").alias("_repo"), numbers.alias("line_numbers"), hunks.alias("hunks")))
+        if headers.count() <= BROADCAST_HEADERS:
+            headers = F.broadcast(headers)
+        return artifacts.join(headers, F.col("repo").eqNullSafe(F.col("_repo")), "left").select(
+            "repo", "part", F.coalesce("line_numbers", F.lit(False)).alias("line_numbers"),
+            F.coalesce("hunks", F.lit(False)).alias("hunks"), "body")
     return artifacts.select(
         "repo",
         F.lit(0).cast("bigint").alias("part"),
@@ -119,6 +135,22 @@ def unpack(
     ))
 
 
+def judged_whole(read: DataFrame) -> DataFrame:
+    """Rows of :func:`unpack` for parts as it gives them for whole artifacts.
+
+    An artifact with changed lines or with any part that cannot be read has one row with its status and no file. ``read``
+    needs ``repo`` and ``status`` and is read twice, so it should be stored.
+    """
+    lost = stored(
+        read.filter(F.col("status").isin(STATUS_HUNKS, STATUS_MALFORMED)).groupBy(F.col("repo").alias("_repo"))
+        .agg(F.when(F.bool_or(F.col("status") == STATUS_HUNKS), STATUS_HUNKS).otherwise(STATUS_MALFORMED).alias("_status")))
+    known = F.broadcast(lost) if lost.count() <= BROADCAST_HEADERS else lost
+    kept = read.join(known, F.col("repo").eqNullSafe(F.col("_repo")), "left_anti")
+    empty = {"repo": F.col("_repo"), "status": F.col("_status"), "part": F.lit(0)}
+    return kept.unionByName(lost.select(*[
+        empty.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in read.dtypes]))
+
+
 def checked_files(rows: DataFrame) -> DataFrame:
     """Paths and texts of ``(repo, part, ord, line_numbers, heading, body, status)`` with the final status."""
     plain = F.when(F.col("line_numbers"), strip_line_numbers(F.col("body"))).otherwise(F.col("body"))

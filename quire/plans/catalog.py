@@ -36,7 +36,7 @@ from quire.operators.scale import stored, written_folder
 from quire.operators.selection import in_subtree, parse_path_lists, select_files, worktree_paths
 from quire.operators.stored_artifacts import unpack_stored
 from quire.operators.tree import tree_nodes, tree_rows
-from quire.operators.unpack import unpack, with_flags
+from quire.operators.unpack import judged_whole, unpack, with_flags
 from quire.options import ExportOptions
 from quire.plans import corpora
 from quire.plans.export import export_changes, export_files, export_snapshots
@@ -54,6 +54,10 @@ NUMBERED = ExportOptions(
 HUNKS = ExportOptions(mode="staged", generated_at=STAMP, hunks=True, hunk_context=2, max_file_bytes=WHOLE)
 #: Parts this small make every repository continue over several rows.
 SMALL_PART = 65_536
+#: Parts of whole artifacts: a repository may be larger than any row.
+ARTIFACT_PART = 1_048_576
+#: Characters missing at the end of an artifact that breaks off.
+CUT_END = 40
 BUDGET = ExportOptions(
     ignore_lines=("!build/keep/*.txt",), generated_at=STAMP, warn_tokens=20_000, max_tokens=24_000
 )
@@ -508,18 +512,28 @@ def written_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broken_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and files of artifacts, most of which break off, hold changed lines, lost a fence or a line number."""
     options = ExportOptions(generated_at=STAMP, line_numbers=True, max_file_bytes=WHOLE)
-    whole = export_files(corpora.plain_document_files(spark, sf_dir), options).parts(2_000_000_000)
+    # Artifacts of any size, in parts: stored, as they are read for their lengths, their flags and their files.
+    whole = stored(export_files(corpora.plain_document_files(spark, sf_dir), options).parts(ARTIFACT_PART).select(
+        "repo", "part", "body"))
     last = F.right("repo", F.lit(1))
     body = F.col("body")
+    # What is cut from the end of an artifact may reach over its last parts: characters behind each of these.
+    behind = Window.partitionBy("repo").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = stored(
+        whole.select("repo", "part", F.length(body).alias("n")).withColumn("behind", F.coalesce(F.sum("n").over(behind), F.lit(0)))
+        .filter(F.col("behind") < CUT_END).select("repo", "part", "behind"))
     spoiled = (
-        F.when(last == "0", F.expr("left(body, length(body) - 40)"))
+        F.when(last == "0", F.when(F.col("behind").isNull(), body).otherwise(
+            F.left(body, F.greatest(F.length(body) + F.col("behind") - CUT_END, F.lit(0)).cast("int"))))
         .when(last == "1", F.replace(body, F.lit("\nMode: "), F.lit("\nHunks: on (context: 1)\nMode: ")))
         .when(last == "2", F.regexp_replace(body, r"\n\n(`{3,}\n {0,6}1 \| )", "\n\nno fence\n$1"))
         .when(last == "3", F.replace(body, F.lit("1 | "), F.lit("1 ")))
-        .when(last == "4", F.replace(body, F.lit("\n## doc/"), F.lit("\n## ../")))
+        # A part may begin with a heading, the newline before it being in the part before.
+        .when(last == "4", F.regexp_replace(body, r"(\A|\n)## doc/", "$1## ../"))
         .otherwise(body))
-    read = unpack(with_flags(whole.select("repo", spoiled.alias("body"))))
-    return read.groupBy("repo", "status").agg(F.count("path").alias("files"))
+    parts = whole.join(ends, ["repo", "part"], "left").select("repo", "part", spoiled.alias("body"))
+    read = stored(unpack(with_flags(parts)).select("repo", "path", "status"))
+    return judged_whole(read).groupBy("repo", "status").agg(F.count("path").alias("files"))
 
 
 def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
