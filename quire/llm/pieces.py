@@ -11,10 +11,12 @@ them decode to the same text, but are not those of the model's own encoder, whic
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import chain
@@ -292,6 +294,18 @@ def fill(vocabulary: Vocabulary, chunks: list[str], found: list) -> None:
             found[place] = entry
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Keep the cycle collector from walking through all remembered chunks again and again; a search makes no cycles."""
+    active = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if active:
+            gc.enable()
+
+
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     """The text of a segmentation: the space put before the text goes, bytes are joined."""
     joined = b"".join([vocabulary.texts[i] for i in ids]).decode("utf-8", "replace")
@@ -325,7 +339,8 @@ def with_pieces(
         for batch in batches:
             for part in parts(batch, pa.compute.binary_length(batch.column(0).field(place))):
                 texts = part.column(0).field(place).to_pylist()
-                found = [None if t is None else segment(vocabulary, t, n, bool(alternatives)) for t in texts]
+                with uncollected():
+                    found = [None if t is None else segment(vocabulary, t, n, bool(alternatives)) for t in texts]
                 columns = [
                     pa.array([None if r is None else np.array(r[0][1], dtype=np.int32) for r in found], pa.list_(pa.int32())),
                     pa.array([None if r is None else [s for s, _ in r] for r in found], pa.list_(pa.float64()))]
@@ -367,14 +382,15 @@ def piece_report(df: DataFrame, model: str = MODEL, n: int = NBEST) -> DataFrame
     def run(texts: pd.Series) -> pd.DataFrame:
         vocabulary, rows = shared.value, []
         decimal = [str(number) for number in range(len(vocabulary.texts))]
-        for value in texts:
-            found, base, combined = ranked(vocabulary, value, n) if value else ([], 0.0, [(0.0, ())])
-            best = list(chain.from_iterable(map(IDS, found)))
-            text = decode(vocabulary, best)
-            rows.append((
-                len(best), hashlib.sha256(" ".join([decimal[i] for i in best]).encode()).hexdigest(),
-                hashlib.sha256(text.encode()).hexdigest(), text == (value or ""), [base - loss for loss, _ in combined],
-                hashlib.sha256(changes_text(found, combined).encode()).hexdigest()))
+        with uncollected():
+            for value in texts:
+                found, base, combined = ranked(vocabulary, value, n) if value else ([], 0.0, [(0.0, ())])
+                best = list(chain.from_iterable(map(IDS, found)))
+                text = decode(vocabulary, best)
+                rows.append((
+                    len(best), hashlib.sha256(" ".join([decimal[i] for i in best]).encode()).hexdigest(),
+                    hashlib.sha256(text.encode()).hexdigest(), text == (value or ""), [base - loss for loss, _ in combined],
+                    hashlib.sha256(changes_text(found, combined).encode()).hexdigest()))
         return pd.DataFrame(rows, columns=[
             "n_pieces", "ids_sha256", "decoded_sha256", "round_trip", "nbest_scores", "nbest_sha256"])
 
