@@ -11,7 +11,8 @@
 4. Sets that share many tokens meet in few of their buckets: an entry names some of the set's
    earlier tokens, and a pair that has one of them in common is left to that token's bucket.
    Candidates must fit in size and in parity sketch, a lower bound on the symmetric difference;
-   the rest are verified on their whole sets. Components follow from the links.
+   in large buckets in a sketch with two bits and more for each token as well, as a short one is full there and
+   lets all edited copies of a long text pass. The rest are verified on their whole sets. Components follow from the links.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ BROADCAST_BYTES = 8 * 1024 * 1024
 
 #: Words of the parity sketch of a set, 64 bits each.
 SKETCH = ("s0", "s1", "s2", "s3")
-SETS = "row bigint, n int, k1 bigint, k2 bigint, prefix array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH)
+#: Entries of large buckets carry a sketch of at least two bits for each token, up to this many words; a power of 2.
+FAR_WORDS = 128
+SETS = "row bigint, n int, k1 bigint, k2 bigint, prefix array<bigint>, far array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
 
 def shingles(group: Group, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,8 +88,24 @@ def most_apart(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100)
 
 
+def far_sketches(gram: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Parity sketches of sets of ``n`` tokens, 2 n bits or more each: a token flips one bit.
+
+    Their lengths are powers of 2, and the place of a token in a shorter one is that in a longer one by the remainder, so
+    the halves of a sketch, flipped into each other, are the sketch of half the length.
+    """
+    needed = np.clip(-(-2 * n // 64), len(SKETCH), FAR_WORDS)
+    length = np.left_shift(1, np.ceil(np.log2(needed)).astype(np.int64))
+    starts = np.concatenate(([0], np.cumsum(length)))
+    bit = (gram >> U(8)) & (length[owner] * 64 - 1).astype(U)
+    flat = np.zeros(starts[-1], dtype=U)
+    np.bitwise_xor.at(flat, starts[owner] + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    flat = signed(flat)
+    return [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
 def set_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(row, text) to size, two hashes and the prefix of the set; long shingles come first."""
+    """(row, text) to size, two hashes, the prefix and the sketches of the set; long shingles come first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,6 +130,7 @@ def set_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     "row": ids[group.rows.start : group.rows.stop], "n": n,
                     "k1": signed(sums[0]), "k2": signed(sums[1]),
                     "prefix": [tokens[s : s + w] for s, w in zip(starts[:-1], width, strict=True)],
+                    "far": far_sketches(gram, owner, n),
                     **{s: signed(v) for s, v in sketch.items()}})
 
     return docs.mapInPandas(run, SETS)
@@ -135,14 +155,40 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def may_differ(percent: int) -> Column:
+    """Tokens that only one of the sets x and y may have if they are linked."""
+    return F.col("x.n") + F.col("y.n") - least_overlap(F.col("x.n"), F.col("y.n"), percent) * 2
+
+
 def reachable(percent: int) -> Column:
     """Sizes and sketches allow sets x and y to be linked."""
-    apart = F.col("x.n") + F.col("y.n") - least_overlap(F.col("x.n"), F.col("y.n"), percent) * 2
+    apart = may_differ(percent)
     smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     seen = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in SKETCH), F.lit(0))
     return (smaller * 100 >= larger * percent) & (seen <= apart)
 
 
+def near_by_far(percent: int) -> Column:
+    """The long sketches, where entries carry them, allow sets x and y to be linked.
+
+    Sizes that :func:`reachable` lets through at 50 percent and above differ by no more than a factor of two, so one fold
+    makes the sketches equally long; where it does not, the pair stays.
+    """
+    x, y = F.col("x.far"), F.col("y.far")
+
+    def flipped(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda v, w: v.bitwiseXOR(w))
+
+    def folded(long: Column, words: Column) -> Column:
+        return flipped(F.slice(long, F.lit(1), words), F.slice(long, words + 1, words))
+
+    apart = F.when(F.size(x) == F.size(y), flipped(x, y)).when(
+        F.size(x) == F.size(y) * 2, flipped(folded(x, F.size(y)), y)).when(
+        F.size(y) == F.size(x) * 2, flipped(x, folded(y, F.size(x))))
+    seen = F.aggregate(apart, F.lit(0), lambda total, word: total + F.bit_count(word))
+    return F.coalesce(seen <= may_differ(percent), F.lit(True))
+
+
 def shared_tokens(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """(sid, t, f) of the prefix tokens that ``f`` sets have, at least two.
 
@@ -268,11 +314,12 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: S
     found = scratch.store(entries(labelled), "entries")
     by_label = found.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("_n"), F.max("wide").alias("_wide"))
     useful = by_label.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("_labels"), F.max("_wide").alias("_wide"),
+        F.count(F.lit(1)).alias("_labels"), F.max("_wide").alias("_wide"), (F.sum("_n") > HOT_BUCKET).alias("_hot"),
         F.max(F.struct("_n", "label"))["label"].alias("main")).filter("_labels > 1")
     members = scratch.store(
-        found.join(useful, "sig").filter("not lone or _wide").join(facts, "sid")
-        .withColumn("inner", F.col("label") == F.col("main")).drop("_wide", "_labels", "main"), "members")
+        found.join(useful, "sig").filter("not lone or _wide").join(reps.select("sid", "n", "far", *SKETCH), "sid")
+        .withColumn("inner", F.col("label") == F.col("main")).withColumn("far", F.when(F.col("_hot"), F.col("far")))
+        .drop("_wide", "_labels", "_hot", "main"), "members")
     del by_label, useful
     forget(scratch, found)
 
@@ -282,7 +329,7 @@ def links(reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: S
         apart = F.col("x.label") != F.col("y.label")
         first = ~F.arrays_overlap("x.lead", "y.lead")
         return left.alias("x").join(
-            right.alias("y"), (F.col("x.sig") == F.col("y.sig")) & lone & apart & extra & first & reachable(percent)
+            right.alias("y"), (F.col("x.sig") == F.col("y.sig")) & lone & apart & extra & first & reachable(percent) & near_by_far(percent)
         ).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
     outer, inner = members.filter("not inner"), members.filter("inner")
@@ -314,7 +361,7 @@ def near_duplicates(
     keys = source.select("key", "row")
     equal = ["k1", "k2", "n"]
     reps = scratch.store(
-        sets_of.filter("n > 0").groupBy(*equal).agg(F.min("row").alias("sid"), *[F.first(c).alias(c) for c in ("prefix", *SKETCH)]),
+        sets_of.filter("n > 0").groupBy(*equal).agg(F.min("row").alias("sid"), *[F.first(c).alias(c) for c in ("prefix", "far", *SKETCH)]),
         "reps")
     # From here on only the representatives need their prefixes.
     rows_of = scratch.store(sets_of.select("row", *equal), "rows")
