@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import constants as C
+from quire.functions.core import bind
 from quire.functions.ignore import RuleColumn
 from quire.functions.language import language_of
 from quire.functions.paths import basename, display_path
@@ -53,18 +54,24 @@ def skip_reason(options: ExportOptions, own_rules: Column | None = None) -> Colu
         reason = reason.when(seen, at_sight)
     if not options.allow_sensitive:
         reason = reason.when(is_sensitive_name(basename(path)), C.SKIP_SENSITIVE_NAME)
-    reason = (
+
+    def of_body(body: Column) -> Column:
+        found = (
+            F.when(body.isNull(), C.SKIP_UNREADABLE)
+            .when(F.octet_length(body) > options.max_file_bytes, C.SKIP_TOO_LARGE)
+            .when(F.octet_length(body) == 0, C.SKIP_EMPTY)
+            .when(is_binary(body), C.SKIP_BINARY)
+        )
+        if options.allow_sensitive:
+            return found
+        return found.when(has_secret(body.cast("string"), options.secret_rules), C.SKIP_SENSITIVE_CONTENT)
+
+    # Bound: a filter on the reason would take a derived body anew for every rule that looks at it.
+    return (
         reason.when(kind == "changed", C.SKIP_CHANGED)
-        .when((kind == "unreadable") | content.isNull(), C.SKIP_UNREADABLE)
-        .when(F.octet_length(content) > options.max_file_bytes, C.SKIP_TOO_LARGE)
-        .when(F.octet_length(content) == 0, C.SKIP_EMPTY)
-        .when(is_binary(content), C.SKIP_BINARY)
+        .when(kind == "unreadable", C.SKIP_UNREADABLE)
+        .otherwise(bind(content, of_body))
     )
-    if not options.allow_sensitive:
-        reason = reason.when(
-            has_secret(content.cast("string"), options.secret_rules), C.SKIP_SENSITIVE_CONTENT
-        )
-    return reason
 
 
 def decide(files: DataFrame, options: ExportOptions) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -130,13 +131,17 @@ def export_changes(
     if options.hunks and hunks is None:
         raise ValueError("hunks are switched on but not given")
     wanted = stored(change_ops.export_changes(distinct_changes(shown_paths(changes))))
-    return _export_wanted(one_per_path(files), wanted, options, None if hunks is None else shown_paths(hunks))
+    return _export_wanted(one_per_path(files), wanted, options, lambda *_: shown_paths(hunks))
 
 
 def _export_wanted(
-    files: DataFrame, wanted: DataFrame, options: ExportOptions, hunks: DataFrame | None
+    files: DataFrame, wanted: DataFrame, options: ExportOptions,
+    hunks_of: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> Export:
-    """``wanted`` holds distinct change records and is stored."""
+    """``wanted`` holds distinct change records and is stored.
+
+    ``hunks_of`` gets the accepted files and their change records, so no body is judged a second time for its hunks.
+    """
     key = ["repo", "path"]
     repos = files.select("repo").distinct()
     chosen = narrow_by_keys(files, wanted, key)
@@ -144,7 +149,7 @@ def _export_wanted(
     # From here on the accepted files are known by path.
     accepted = describe(narrow_by_keys(files, listed, key))
     if options.hunks:
-        ranges = stored(hunk_ops.file_ranges(hunks, accepted, options.hunk_context))
+        ranges = stored(hunk_ops.file_ranges(hunks_of(accepted, listed), accepted, options.hunk_context))
         accepted = hunk_ops.with_render_mode(accepted, listed, ranges)
     return Export(options, repos, chosen, accepted, listed)
 
@@ -155,14 +160,15 @@ def export_snapshots(base: DataFrame, head: DataFrame, options: ExportOptions) -
         raise ValueError("comparing snapshots needs one of the modes staged, unstaged and diff")
     base, head = one_per_path(base), one_per_path(head)
     changes = stored(delta.snapshot_changes(base, head))
-    hunks = None
-    if options.hunks:
-        modified = changes.filter("change_type <> 'A'")
-        after = narrow_by_keys(head, modified, ["repo", "path"])
+
+    def hunks_of(accepted: DataFrame, listed: DataFrame) -> DataFrame:
+        modified = listed.filter("change_type <> 'A'")
+        after = narrow_by_keys(accepted, modified, ["repo", "path"])
         old_paths = modified.selectExpr("repo", "coalesce(previous_path, path) AS path")
         before = narrow_by_keys(base, old_paths, ["repo", "path"])
-        hunks = delta.line_hunks(delta.changed_pairs(before, entries(after, options), modified))
-    return _export_wanted(head, changes, options, hunks)
+        return delta.line_hunks(delta.changed_pairs(before, after, modified))
+
+    return _export_wanted(head, changes, options, hunks_of)
 
 
 def unpack_files(artifacts: DataFrame, options: ExportOptions | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire import ExportOptions, export_changes, export_files, export_snapshots, unpack_files
 from quire.operators.metrics import TokenBudgetExceeded, artifact_metrics, within_budget
 from quire.operators.unpack import unpack, with_flags
+from quire.plans import export as plans_export
 from quire.schemas import ARTIFACTS, CHANGES, HUNKS, SELECTED_PATHS
 
 STAMP = "2026-03-16T12:34:56Z"
@@ -152,6 +153,14 @@ def section(text, path):
     return text.split(f"## {path}\n", 1)[1].split("\n## ", 1)[0]
 
 
+def test_bodies_are_judged_once_for_a_review(make_files, monkeypatch):
+    judged = []
+    judge = plans_export.entries
+    monkeypatch.setattr(plans_export, "entries", lambda *given: judged.append(given) or judge(*given))
+    assert "another verse" in review(make_files, hunks=True)
+    assert len(judged) == 1
+
+
 def test_review_of_whole_files(make_files):
     text = review(make_files, show_tree=False)
     context = text.split("## Change Context\n\n", 1)[1].split("\n<!--", 1)[0]
