@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,10 @@ from quire.operators.scale import hot_key_join, hot_keys, narrow_by_keys, runnin
 LEAST_PERCENT = 50
 #: Pairs of equal sets are counted out in steps of this many.
 PAIR_STEP = 100_000
+#: Repositories with up to this many pairs of classes left are matched in one task each.
+LOCAL_EDGES = 250_000
+#: Matched classes: so many files of each from the given positions on.
+MATCHED = "repo string, old_key string, new_key string, score double, old_from bigint, new_from bigint, pairs bigint"
 
 
 def similar_renames(
@@ -51,7 +56,9 @@ def similar_renames(
     edges = stored(_edges(rest, percent, hot_rows))
     matched = equal
     while not edges.isEmpty():
-        matched, edges = _take_best(matched, edges)
+        matched, edges = _take_in_order(matched, edges)
+        if not edges.isEmpty():
+            matched, edges = _take_best(matched, edges)
     # Long runs of pairs are counted out in two steps, so no row holds more than PAIR_STEP numbers.
     steps = matched.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("pairs") - 1, F.lit(PAIR_STEP))))
     numbered = steps.withColumn("i", F.explode(F.sequence(
@@ -105,6 +112,32 @@ def _edges(classes: DataFrame, percent: int, hot_rows: int | None) -> DataFrame:
         F.md5(F.concat("old_key", "new_key").cast("binary")).alias("tie"), "old_from", "old_left", "new_from", "new_left")
 
 
+def _take_in_order(matched: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Match the repositories with at most LOCAL_EDGES pairs of classes one pair after the other.
+
+    In a family of edited copies most classes are closest to the same few, so :func:`_take_best` takes as many rounds
+    as the family has members; it serves the others until they are small enough.
+    """
+    counts = stored(edges.groupBy("repo").agg(F.count(F.lit(1)).alias("_edges")))
+    # At most one in LOCAL_EDGES rows names such a repository.
+    large = F.broadcast(counts.filter(F.col("_edges") > LOCAL_EDGES).select("repo"))
+    taken = stored(edges.join(large, "repo", "left_anti").groupBy("repo").applyInPandas(_in_order, MATCHED))
+    return matched.unionByName(taken), stored(edges.join(large, "repo", "left_semi"))
+
+
+def _in_order(edges: pd.DataFrame) -> pd.DataFrame:
+    old, new, taken = {}, {}, []
+    for e in edges.sort_values(["score", "tie"], ascending=[False, True]).itertuples(index=False):
+        old_from, old_left = old.get(e.old_key, (e.old_from, e.old_left))
+        new_from, new_left = new.get(e.new_key, (e.new_from, e.new_left))
+        pairs = min(old_left, new_left)
+        if pairs:
+            taken.append((e.repo, e.old_key, e.new_key, e.score, old_from, new_from, pairs))
+            old[e.old_key] = old_from + pairs, old_left - pairs
+            new[e.new_key] = new_from + pairs, new_left - pairs
+    return pd.DataFrame(taken, columns=["repo", "old_key", "new_key", "score", "old_from", "new_from", "pairs"])
+
+
 def _take_best(matched: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Match every pair of classes that is the best one of both, and take them out of what is left.
 

@@ -273,6 +273,24 @@ def test_similar_renames(make_files, percent, hot_rows):
     assert len(found) > 20 and {r.change_type for r in found} == {"R"}
 
 
+@pytest.mark.parametrize("local_edges", [250_000, 3])
+def test_a_family_of_copies_takes_no_round_for_each(make_files, monkeypatch, local_edges):
+    from quire.operators import renames
+
+    # Every old file is closest to the new file with the fewest lines of its own, and the other way round.
+    def family(folder, last):
+        return {f"{folder}/{k}": "\n".join([*map(str, range(60)), *[f"{folder} {k} {i}" for i in range(k + 1)]]) + last for k in range(8)}
+
+    base, head = family("old", ""), family("new", "\n")
+    rounds = []
+    take = renames._take_best
+    monkeypatch.setattr(renames, "_take_best", lambda *given: rounds.append(1) or take(*given))
+    monkeypatch.setattr(renames, "LOCAL_EDGES", local_edges)
+    changes = {(r.path, r.previous_path) for r in snapshot_changes(make_files(base), make_files(head)).collect()}
+    assert changes == {(f"new/{k}", f"old/{k}") for k in range(8)}
+    assert len(rounds) == 0 if local_edges > 64 else len(rounds) > 1
+
+
 def test_classes_of_many_alike_files(make_files, monkeypatch):
     from quire.operators import renames
 
